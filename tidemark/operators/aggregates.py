@@ -75,13 +75,20 @@ def top_k(breakdown_df: DataFrame, k: int, keys: Sequence[str] = DEFAULT_KEYS) -
 def overview(datasets: DataFrame, sales: DataFrame, keys: Sequence[str] = DEFAULT_KEYS
              ) -> DataFrame:
     """AGG4: per catalogued dataset, total revenue and orders (0 when it
-    has no rows), with its row count and status.  One grouped pass over the
-    sales plus a left join from the catalogue replaces a query per dataset."""
+    has no rows), with its stored row count and status.  One grouped pass
+    over the sales plus a left join from the catalogue replaces a query per
+    dataset.  A catalogue without ``row_count``/``status`` gets them from
+    the same aggregate (processed when it holds rows)."""
     keys = list(keys)
     per = sales.groupBy(*keys).agg(F.sum("revenue").alias("_rev"),
                                    F.count(F.lit(1)).alias("_orders"))
-    return datasets.join(per, keys, "left").select(
-        *keys, "original_filename", "row_count", "status",
+    j = datasets.join(per, keys, "left")
+    stored = F.coalesce(F.col("_orders"), F.lit(0)).cast("bigint")
+    row_count = F.col("row_count") if "row_count" in datasets.columns else stored
+    status = (F.col("status") if "status" in datasets.columns
+              else F.when(stored > 0, F.lit("processed")).otherwise(F.lit("invalid")))
+    return j.select(
+        *keys, "original_filename", row_count.alias("row_count"), status.alias("status"),
         F.coalesce(round_half_up("_rev", 2), F.lit(0.0)).alias("total_revenue"),
         F.coalesce("_orders", F.lit(0)).cast("bigint").alias("total_orders"),
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import round_half_up
 from tidemark.operators import aggregates as agg
+from tidemark.operators import kpi
 from tidemark.sources.warehouse import datasets_view, sales_view
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +90,32 @@ def overview(spark, sf_dir):
 def daily_series(spark, sf_dir):
     d = agg.daily_revenue(sales_view(spark, sf_dir), keys=["dataset_id", "region"])
     return d.select("dataset_id", "region", "order_date", r2("revenue"), r2("quantity"))
+
+
+# --- KPI0-13 ---------------------------------------------------------------
+
+SALES_TARGET = 50_000_000.0
+
+
+@register("kpi_summary")
+def kpi_summary(spark, sf_dir):
+    return kpi.compute_kpis(sales_view(spark, sf_dir), catalog=datasets_view(spark, sf_dir))
+
+
+@register("kpi_mom_yoy")
+def kpi_mom_yoy(spark, sf_dir):
+    return kpi.period_growth(sales_view(spark, sf_dir), ["dataset_id", "region", "category"])
+
+
+@register("kpi_top_entities")
+def kpi_top_entities(spark, sf_dir):
+    s = sales_view(spark, sf_dir)
+    keys = ["dataset_id", "region"]
+    return (kpi.top_entity(s, "product", keys)
+            .join(kpi.top_entity(s, "category", keys), keys, "left"))
+
+
+@register("kpi_target")
+def kpi_target(spark, sf_dir):
+    k = kpi.compute_kpis(sales_view(spark, sf_dir), sales_target=SALES_TARGET)
+    return k.select("dataset_id", "total_revenue", "sales_target_achievement_pct")

@@ -85,7 +85,8 @@ ORACLE["trend_weekly"] = _trend_sql(
 ORACLE["trend_monthly"] = _trend_sql("last_day(order_date)", "", month=True)
 
 ORACLE["overview"] = with_ctes(SALES_VIEW_SQL, DATASETS_VIEW_SQL) + f"""
-SELECT d.dataset_id, d.original_filename, d.row_count, d.status,
+SELECT d.dataset_id, d.original_filename, CAST(coalesce(s.n, 0) AS BIGINT) AS row_count,
+       CASE WHEN s.n > 0 THEN 'processed' ELSE 'invalid' END AS status,
        coalesce({rnd("s.rev", 2)}, 0.0) AS total_revenue,
        CAST(coalesce(s.n, 0) AS BIGINT) AS total_orders
 FROM datasets d LEFT JOIN (
@@ -112,3 +113,78 @@ daily_raw AS (
 ORACLE["daily_series"] = with_ctes(SALES_VIEW_SQL, DAILY_SERIES_SQL) + f"""
 SELECT dataset_id, region, order_date, {rnd("revenue", 2)} AS revenue,
        {rnd("quantity", 2)} AS quantity FROM daily"""
+
+
+# --- KPIs -------------------------------------------------------------------
+
+def _growth_sql(keys: str) -> str:
+    return f"""
+m AS (
+  SELECT {keys}, date_trunc('month', order_date) AS mon, sum(revenue) AS rev
+  FROM sales GROUP BY ALL
+), mb AS (
+  SELECT {keys}, min(mon) AS lo_m, max(mon) AS hi_m FROM m GROUP BY ALL
+), growth AS (
+  SELECT {keys},
+    CASE WHEN min(mb.lo_m) < min(mb.hi_m) THEN
+      CASE WHEN coalesce(sum(rev) FILTER (WHERE mon = mb.hi_m - INTERVAL 1 MONTH), 0) = 0 THEN NULL
+      ELSE {rnd("(sum(rev) FILTER (WHERE mon = mb.hi_m) - sum(rev) FILTER (WHERE mon = mb.hi_m - INTERVAL 1 MONTH)) / sum(rev) FILTER (WHERE mon = mb.hi_m - INTERVAL 1 MONTH) * 100", 2)} END
+    END AS revenue_growth_mom_pct,
+    CASE WHEN year(min(mb.lo_m)) < year(min(mb.hi_m)) THEN
+      CASE WHEN coalesce(sum(rev) FILTER (WHERE year(mon) = year(mb.hi_m) - 1), 0) = 0 THEN NULL
+      ELSE {rnd("(sum(rev) FILTER (WHERE year(mon) = year(mb.hi_m)) - sum(rev) FILTER (WHERE year(mon) = year(mb.hi_m) - 1)) / sum(rev) FILTER (WHERE year(mon) = year(mb.hi_m) - 1) * 100", 2)} END
+    END AS revenue_growth_yoy_pct
+  FROM m JOIN mb USING ({keys}) GROUP BY ALL
+)"""
+
+
+def _top_sql(name: str, column: str, keys: str) -> str:
+    return f"""
+{name} AS (
+  SELECT {keys}, {column} AS top_{column} FROM (
+    SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY rev DESC, {column}) AS rn
+    FROM (SELECT {keys}, {column}, sum(revenue) AS rev
+          FROM sales WHERE {column} IS NOT NULL GROUP BY {keys}, {column})
+  ) WHERE rn = 1
+)"""
+
+
+ORACLE["kpi_summary"] = with_ctes(
+    SALES_VIEW_SQL, DATASETS_VIEW_SQL, _growth_sql("dataset_id"),
+    _top_sql("tp", "product", "dataset_id"), _top_sql("tc", "category", "dataset_id"),
+    _top_sql("tr", "region", "dataset_id"),
+) + f"""
+, base AS (
+  SELECT dataset_id, sum(revenue) AS rev, sum(quantity) AS units, count(*) AS n,
+         min(order_date) AS lo, max(order_date) AS hi
+  FROM sales GROUP BY dataset_id
+)
+SELECT d.dataset_id,
+  {rnd("coalesce(b.rev, 0.0)")} AS total_revenue,
+  {rnd("coalesce(b.units, 0.0)")} AS total_units_sold,
+  CASE WHEN coalesce(b.n, 0) > 0 THEN {rnd("b.rev / b.n")} ELSE 0.0 END AS average_order_value,
+  CAST(coalesce(b.n, 0) AS BIGINT) AS total_orders,
+  g.revenue_growth_mom_pct, g.revenue_growth_yoy_pct,
+  CASE WHEN b.lo IS NOT NULL THEN {rnd("b.rev / greatest(date_diff('day', b.lo, b.hi) + 1, 1)")}
+       ELSE 0.0 END AS average_daily_revenue,
+  tp.top_product, tc.top_category, tr.top_region,
+  CAST(NULL AS DOUBLE) AS forecast_accuracy_pct,
+  CAST(NULL AS DOUBLE) AS sales_target_achievement_pct
+FROM (SELECT DISTINCT dataset_id FROM datasets) d
+LEFT JOIN base b USING (dataset_id)
+LEFT JOIN growth g USING (dataset_id)
+LEFT JOIN tp USING (dataset_id) LEFT JOIN tc USING (dataset_id) LEFT JOIN tr USING (dataset_id)"""
+
+ORACLE["kpi_mom_yoy"] = with_ctes(SALES_VIEW_SQL, _growth_sql("dataset_id, region, category")) + """
+SELECT * FROM growth"""
+
+ORACLE["kpi_top_entities"] = with_ctes(
+    SALES_VIEW_SQL, _top_sql("tp", "product", "dataset_id, region"),
+    _top_sql("tc", "category", "dataset_id, region")) + """
+SELECT tp.dataset_id, tp.region, tp.top_product, tc.top_category
+FROM tp LEFT JOIN tc USING (dataset_id, region)"""
+
+ORACLE["kpi_target"] = SALES + f"""
+SELECT dataset_id, {rnd("sum(revenue)")} AS total_revenue,
+       {rnd("sum(revenue) / 50000000.0 * 100")} AS sales_target_achievement_pct
+FROM sales GROUP BY dataset_id"""
