@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import round_half_up
 from tidemark.operators import aggregates as agg
+from tidemark.operators import features as fe
 from tidemark.operators import kpi
+from tidemark.functions.calendar import calendar_features
+from tidemark.schema import FEATURE_COLS
 from tidemark.sources.warehouse import datasets_view, sales_view
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +122,49 @@ def kpi_top_entities(spark, sf_dir):
 def kpi_target(spark, sf_dir):
     k = kpi.compute_kpis(sales_view(spark, sf_dir), sales_target=SALES_TARGET)
     return k.select("dataset_id", "total_revenue", "sales_target_achievement_pct")
+
+
+# --- DT1, WIN1-7, FEA1 -----------------------------------------------------
+
+SERIES_KEYS = ["dataset_id", "region"]
+
+
+def series_daily(spark, sf_dir):
+    return agg.daily_revenue(sales_view(spark, sf_dir), keys=SERIES_KEYS)
+
+
+@register("calendar_features")
+def calendar_features_q(spark, sf_dir):
+    d = series_daily(spark, sf_dir)
+    return d.select(*SERIES_KEYS, "order_date", *calendar_features("order_date"))
+
+
+@register("lag_features")
+def lag_features_q(spark, sf_dir):
+    d = series_daily(spark, sf_dir)
+    lags = d.select(*SERIES_KEYS, "order_date", *fe.lag_features(SERIES_KEYS))
+    return lags.select(*SERIES_KEYS, "order_date",
+                       *[r2(c) for c in lags.columns if "lag" in c])
+
+
+@register("rolling_features")
+def rolling_features_q(spark, sf_dir):
+    d = series_daily(spark, sf_dir)
+    roll = d.select(*SERIES_KEYS, "order_date", *fe.rolling_features(SERIES_KEYS))
+    return roll.select(*SERIES_KEYS, "order_date",
+                       *[r2(c, 4) for c in roll.columns if "roll" in c])
+
+
+@register("feature_matrix")
+def feature_matrix_q(spark, sf_dir):
+    f = fe.build_features(series_daily(spark, sf_dir), SERIES_KEYS)
+    dbl = {"revenue", "quantity"} | {c for c in FEATURE_COLS if "lag" in c or "roll" in c}
+    return f.select(*SERIES_KEYS, "order_date",
+                    *[r2(c, 4) if c in dbl else F.col(c) for c in ["revenue", "quantity"] + FEATURE_COLS])
+
+
+@register("chrono_split")
+def chrono_split_q(spark, sf_dir):
+    f = fe.build_features(series_daily(spark, sf_dir), SERIES_KEYS)
+    s = fe.chrono_split(f, SERIES_KEYS, test_size=0.2)
+    return s.select(*SERIES_KEYS, "order_date", "is_train")

@@ -188,3 +188,78 @@ ORACLE["kpi_target"] = SALES + f"""
 SELECT dataset_id, {rnd("sum(revenue)")} AS total_revenue,
        {rnd("sum(revenue) / 50000000.0 * 100")} AS sales_target_achievement_pct
 FROM sales GROUP BY dataset_id"""
+
+
+# --- Features ----------------------------------------------------------------
+
+SERIES = "dataset_id, region"
+W_SERIES = f"PARTITION BY {SERIES} ORDER BY order_date"
+
+CALENDAR_SQL = """
+  CAST(isodow(order_date) - 1 AS BIGINT) AS day_of_week,
+  CAST(day(order_date) AS BIGINT) AS day_of_month,
+  CAST(month(order_date) AS BIGINT) AS month,
+  CAST(quarter(order_date) AS BIGINT) AS quarter,
+  CAST(year(order_date) AS BIGINT) AS year,
+  CAST(weekofyear(order_date) AS BIGINT) AS week_of_year,
+  CAST(isodow(order_date) >= 6 AS BIGINT) AS is_weekend,
+  CAST(day(order_date) = 1 AS BIGINT) AS is_month_start,
+  CAST(order_date = last_day(order_date) AS BIGINT) AS is_month_end"""
+
+LAGS_SQL = ",\n".join(
+    f"  lag(revenue, {n}) OVER ({W_SERIES}) AS revenue_lag_{n}" for n in (1, 2, 3, 7, 14, 30))
+
+ROLL_SQL = ",\n".join(
+    f"""  CASE WHEN row_number() OVER ({W_SERIES}) > {n} THEN
+    {stat}(revenue) OVER ({W_SERIES} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) END
+    AS revenue_roll_{name}_{n}"""
+    for n in (7, 14, 30) for name, stat in (("mean", "avg"), ("std", "stddev_samp")))
+
+FEATURES_SQL = f"""
+feats_all AS (
+  SELECT {SERIES}, order_date, revenue, quantity,
+  {CALENDAR_SQL},
+{LAGS_SQL},
+{ROLL_SQL},
+  CAST(row_number() OVER ({W_SERIES}) - 1 AS BIGINT) AS time_index
+  FROM daily
+), feats AS (
+  SELECT * FROM feats_all
+  WHERE revenue_lag_30 IS NOT NULL AND revenue_roll_std_30 IS NOT NULL
+    AND revenue_lag_1 IS NOT NULL AND revenue_roll_mean_7 IS NOT NULL
+)"""
+
+FEATURE_NAMES = ["day_of_week", "day_of_month", "month", "quarter", "year", "week_of_year",
+                 "is_weekend", "is_month_start", "is_month_end"] + [
+    f"revenue_lag_{n}" for n in (1, 2, 3, 7, 14, 30)] + [
+    f"revenue_roll_{k}_{n}" for n in (7, 14, 30) for k in ("mean", "std")] + ["time_index"]
+
+ORACLE["calendar_features"] = with_ctes(SALES_VIEW_SQL, DAILY_SERIES_SQL) + f"""
+SELECT {SERIES}, order_date, {CALENDAR_SQL} FROM daily"""
+
+ORACLE["lag_features"] = with_ctes(SALES_VIEW_SQL, DAILY_SERIES_SQL) + f"""
+SELECT {SERIES}, order_date, """ + ", ".join(
+    f"{rnd(f'lag(revenue, {n}) OVER ({W_SERIES})')} AS revenue_lag_{n}"
+    for n in (1, 2, 3, 7, 14, 30)) + " FROM daily"
+
+ORACLE["rolling_features"] = with_ctes(SALES_VIEW_SQL, DAILY_SERIES_SQL, FEATURES_SQL) + f"""
+SELECT {SERIES}, order_date, """ + ", ".join(
+    f"{rnd(f'revenue_roll_{k}_{n}', 4)} AS revenue_roll_{k}_{n}"
+    for n in (7, 14, 30) for k in ("mean", "std")) + " FROM feats_all"
+
+ORACLE["feature_matrix"] = with_ctes(SALES_VIEW_SQL, DAILY_SERIES_SQL, FEATURES_SQL) + f"""
+SELECT {SERIES}, order_date, """ + ", ".join(
+    (f"{rnd(c, 4)} AS {c}" if ("lag" in c or "roll" in c or c in ("revenue", "quantity")) else c)
+    for c in ["revenue", "quantity"] + FEATURE_NAMES) + " FROM feats"
+
+ORACLE["chrono_split"] = with_ctes(SALES_VIEW_SQL, DAILY_SERIES_SQL, FEATURES_SQL) + f"""
+, numbered AS (
+  SELECT {SERIES}, order_date,
+         row_number() OVER ({W_SERIES}) AS rn,
+         count(*) OVER (PARTITION BY {SERIES}) AS n
+  FROM feats
+)
+SELECT {SERIES}, order_date,
+       rn <= CASE WHEN greatest(CAST(floor(n * 0.8) AS BIGINT), 1) >= n THEN n - 1
+                  ELSE greatest(CAST(floor(n * 0.8) AS BIGINT), 1) END AS is_train
+FROM numbered"""
