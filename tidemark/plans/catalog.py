@@ -17,8 +17,12 @@ from tidemark.functions.columns import round_half_up
 from tidemark.operators import aggregates as agg
 from tidemark.operators import features as fe
 from tidemark.operators import kpi
+from tidemark.operators import metrics as evl
+from tidemark.operators import selection as sel
+from tidemark.plans import baselines
 from tidemark.functions.calendar import calendar_features
 from tidemark.schema import FEATURE_COLS
+from tidemark.session import materialize
 from tidemark.sources.warehouse import datasets_view, sales_view
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -168,3 +172,56 @@ def chrono_split_q(spark, sf_dir):
     f = fe.build_features(series_daily(spark, sf_dir), SERIES_KEYS)
     s = fe.chrono_split(f, SERIES_KEYS, test_size=0.2)
     return s.select(*SERIES_KEYS, "order_date", "is_train")
+
+
+# --- EVL1-4, MOD1-5 (seasonal-naive runs) ---------------------------------------
+
+METRICS = ["mae", "rmse", "mape", "r2"]
+
+
+def dataset_features(spark, sf_dir):
+    daily = agg.daily_revenue(sales_view(spark, sf_dir), keys=["dataset_id"])
+    return fe.build_features(daily, ["dataset_id"])
+
+
+def registry_rows(spark, sf_dir):
+    return baselines.naive_registry(dataset_features(spark, sf_dir), ["dataset_id"])
+
+
+def _registry_out(df):
+    return df.select("dataset_id", "model_id", "algorithm", "version", "file_path", "status",
+                     *[r2(m, 4) for m in METRICS], "hyperparameters", "is_active", "trained_at")
+
+
+@register("eval_metrics")
+def eval_metrics(spark, sf_dir):
+    f = materialize(fe.build_features(series_daily(spark, sf_dir), SERIES_KEYS))
+    m = baselines.naive_run_metrics(f, SERIES_KEYS, 0.2)
+    return m.select(*SERIES_KEYS, "algorithm", *[r2(c, 4) for c in METRICS])
+
+
+@register("confidence_score")
+def confidence_score(spark, sf_dir):
+    m = baselines.naive_run_metrics(dataset_features(spark, sf_dir), ["dataset_id"], 0.2)
+    m = evl.with_confidence(m)
+    return m.select("dataset_id", "algorithm", r2("mape", 4), "confidence_score")
+
+
+@register("pick_best")
+def pick_best_q(spark, sf_dir):
+    return _registry_out(registry_rows(spark, sf_dir))
+
+
+@register("compare_models")
+def compare_models_q(spark, sf_dir):
+    return _registry_out(sel.compare_models(sel.current_active(registry_rows(spark, sf_dir))))
+
+
+@register("resolve_model")
+def resolve_model_q(spark, sf_dir):
+    return _registry_out(sel.resolve_model(registry_rows(spark, sf_dir)))
+
+
+@register("resolve_model_named")
+def resolve_model_named_q(spark, sf_dir):
+    return _registry_out(sel.resolve_model(registry_rows(spark, sf_dir), algorithm="naive_lag_7"))

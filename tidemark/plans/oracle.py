@@ -93,23 +93,28 @@ FROM datasets d LEFT JOIN (
   SELECT dataset_id, sum(revenue) AS rev, count(*) AS n FROM sales GROUP BY dataset_id
 ) s USING (dataset_id)"""
 
-DAILY_SERIES_SQL = """
-daily_raw AS (
-  SELECT dataset_id, region, order_date, sum(revenue) AS revenue, sum(quantity) AS quantity
+def daily_sql(keys: str = "dataset_id, region", name: str = "daily") -> str:
+    on = " AND ".join(f"c.{k.strip()} = d.{k.strip()}" for k in keys.split(","))
+    ckeys = ", ".join(f"c.{k.strip()}" for k in keys.split(","))
+    return f"""
+{name}_raw AS (
+  SELECT {keys}, order_date, sum(revenue) AS revenue, sum(quantity) AS quantity
   FROM sales GROUP BY ALL
-), daily_cal AS (
-  SELECT dataset_id, region,
-         CAST(unnest(generate_series(CAST(min(order_date) AS TIMESTAMP),
-                                     CAST(max(order_date) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE)
-           AS order_date
-  FROM daily_raw GROUP BY dataset_id, region
-), daily AS (
-  SELECT c.dataset_id, c.region, c.order_date,
+), {name}_bounds AS (
+  SELECT {keys}, CAST(min(order_date) AS TIMESTAMP) AS lo, CAST(max(order_date) AS TIMESTAMP) AS hi
+  FROM {name}_raw GROUP BY ALL
+), {name}_cal AS (
+  SELECT {keys}, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS order_date
+  FROM {name}_bounds
+), {name} AS (
+  SELECT {ckeys}, c.order_date,
          coalesce(d.revenue, 0.0) AS revenue, coalesce(d.quantity, 0.0) AS quantity
-  FROM daily_cal c LEFT JOIN daily_raw d
-    ON c.dataset_id = d.dataset_id AND c.region = d.region AND c.order_date = d.order_date
+  FROM {name}_cal c LEFT JOIN {name}_raw d ON {on} AND c.order_date = d.order_date
 )"""
 
+
+DAILY_SERIES_SQL = daily_sql()
+
 ORACLE["daily_series"] = with_ctes(SALES_VIEW_SQL, DAILY_SERIES_SQL) + f"""
 SELECT dataset_id, region, order_date, {rnd("revenue", 2)} AS revenue,
        {rnd("quantity", 2)} AS quantity FROM daily"""
@@ -195,6 +200,7 @@ FROM sales GROUP BY dataset_id"""
 SERIES = "dataset_id, region"
 W_SERIES = f"PARTITION BY {SERIES} ORDER BY order_date"
 
+
 CALENDAR_SQL = """
   CAST(isodow(order_date) - 1 AS BIGINT) AS day_of_week,
   CAST(day(order_date) AS BIGINT) AS day_of_month,
@@ -206,6 +212,28 @@ CALENDAR_SQL = """
   CAST(day(order_date) = 1 AS BIGINT) AS is_month_start,
   CAST(order_date = last_day(order_date) AS BIGINT) AS is_month_end"""
 
+def features_sql(keys: str = SERIES, src: str = "daily", name: str = "feats") -> str:
+    w = f"PARTITION BY {keys} ORDER BY order_date"
+    lags = ",\n".join(f"  lag(revenue, {n}) OVER ({w}) AS revenue_lag_{n}"
+                       for n in (1, 2, 3, 7, 14, 30))
+    rolls = ",\n".join(
+        f"""  CASE WHEN row_number() OVER ({w}) > {n} THEN
+    {stat}(revenue) OVER ({w} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) END
+    AS revenue_roll_{nm}_{n}"""
+        for n in (7, 14, 30) for nm, stat in (("mean", "avg"), ("std", "stddev_samp")))
+    return f"""
+{name}_all AS (
+  SELECT {keys}, order_date, revenue, quantity,
+  {CALENDAR_SQL},
+{lags},
+{rolls},
+  CAST(row_number() OVER ({w}) - 1 AS BIGINT) AS time_index
+  FROM {src}
+), {name} AS (
+  SELECT * FROM {name}_all
+  WHERE revenue_lag_30 IS NOT NULL AND revenue_roll_std_30 IS NOT NULL
+)"""
+
 LAGS_SQL = ",\n".join(
     f"  lag(revenue, {n}) OVER ({W_SERIES}) AS revenue_lag_{n}" for n in (1, 2, 3, 7, 14, 30))
 
@@ -263,3 +291,120 @@ SELECT {SERIES}, order_date,
        rn <= CASE WHEN greatest(CAST(floor(n * 0.8) AS BIGINT), 1) >= n THEN n - 1
                   ELSE greatest(CAST(floor(n * 0.8) AS BIGINT), 1) END AS is_train
 FROM numbered"""
+
+
+# --- Metrics, registry, selection ------------------------------------------------
+
+def _split_sql(keys: str, test_size: float, src: str = "feats") -> str:
+    frac = 1.0 - test_size
+    return f"""
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY order_date) AS rn,
+         count(*) OVER (PARTITION BY {keys}) AS n
+  FROM {src}
+) WHERE rn > CASE WHEN greatest(CAST(floor(n * {frac!r}) AS BIGINT), 1) >= n THEN n - 1
+                  ELSE greatest(CAST(floor(n * {frac!r}) AS BIGINT), 1) END"""
+
+
+def _naive_metrics_sql(keys: str, test_size: float, name: str) -> str:
+    preds = " UNION ALL ".join(
+        f"SELECT {keys}, order_date, revenue, 'naive_lag_{k}' AS algorithm, "
+        f"revenue_lag_{k} AS prediction FROM {name}_test" for k in (1, 7, 14))
+    return f"""
+{name}_test AS ({_split_sql(keys, test_size)}),
+{name}_preds AS ({preds}),
+{name}_mean AS (SELECT {keys}, algorithm, avg(revenue) AS mean_y FROM {name}_preds GROUP BY ALL),
+{name} AS (
+  SELECT {keys}, algorithm,
+         avg(abs(revenue - prediction)) AS mae,
+         sqrt(avg((revenue - prediction) * (revenue - prediction))) AS rmse,
+         avg(CASE WHEN revenue <> 0 THEN abs((revenue - prediction) / revenue) END) * 100 AS mape,
+         CASE WHEN sum((revenue - mean_y) * (revenue - mean_y)) > 0
+              THEN 1 - sum((revenue - prediction) * (revenue - prediction))
+                       / sum((revenue - mean_y) * (revenue - mean_y)) END AS r2
+  FROM {name}_preds JOIN {name}_mean USING ({keys}, algorithm)
+  GROUP BY ALL
+)"""
+
+
+def _metric_cols(prefix: str = "") -> str:
+    return ", ".join(f"{rnd(prefix + m, 4)} AS {m}" for m in ("mae", "rmse", "mape", "r2"))
+
+
+ORACLE["eval_metrics"] = with_ctes(
+    SALES_VIEW_SQL, daily_sql(SERIES), features_sql(SERIES),
+    _naive_metrics_sql(SERIES, 0.2, "m1")) + f"""
+SELECT {SERIES}, algorithm, {_metric_cols()} FROM m1"""
+
+CONFIDENCE_SQL = """CASE WHEN {m} IS NULL THEN 0.5
+     ELSE """ + rnd("least(greatest(0.0, 1 - {m} / 100), 0.99)", 3) + " END"
+
+ORACLE["confidence_score"] = with_ctes(
+    SALES_VIEW_SQL, daily_sql("dataset_id", "dd"), features_sql("dataset_id", "dd", "fd"),
+    _naive_metrics_sql("dataset_id", 0.2, "m1").replace("FROM feats", "FROM fd")) + f"""
+SELECT dataset_id, algorithm, {rnd("mape", 4)} AS mape,
+       {CONFIDENCE_SQL.format(m="mape")} AS confidence_score
+FROM m1"""
+
+
+def _registry_sql() -> str:
+    runs = []
+    for run, ts in ((1, 0.2), (2, 0.3)):
+        runs.append(_naive_metrics_sql("dataset_id", ts, f"r{run}").replace("FROM feats", "FROM fd"))
+    body = ",\n".join(runs)
+    ranked = " UNION ALL ".join(
+        f"""SELECT r{run}.*, {run} AS run,
+       row_number() OVER (PARTITION BY dataset_id ORDER BY mae ASC NULLS LAST,
+         CASE algorithm WHEN 'naive_lag_1' THEN 0 WHEN 'naive_lag_7' THEN 1 ELSE 2 END) = 1
+       AND mae IS NOT NULL AS is_active
+FROM r{run}""" for run in (1, 2))
+    return body + f""",
+last_day AS (SELECT dataset_id, max(order_date) AS last FROM fd GROUP BY dataset_id),
+ranked AS ({ranked}),
+reg0 AS (
+  SELECT k.*, CAST(l.last AS TIMESTAMP) + to_hours(k.run) AS trained_at
+  FROM ranked k JOIN last_day l USING (dataset_id)
+),
+registry AS (
+  SELECT dataset_id,
+         dataset_id || ':' || strftime(trained_at, '%Y%m%d%H%M%S') || '_'
+           || substr(md5(dataset_id), 1, 6) || ':' || algorithm AS model_id,
+         algorithm,
+         strftime(trained_at, '%Y%m%d%H%M%S') || '_' || substr(md5(dataset_id), 1, 6) AS version,
+         CAST(NULL AS VARCHAR) AS file_path, 'ready' AS status,
+         mae, rmse, mape, r2,
+         '{{"lag":' || regexp_extract(algorithm, '([0-9]+)$', 1) || '}}' AS hyperparameters,
+         is_active, trained_at
+  FROM reg0
+),
+latest AS (SELECT dataset_id, max(trained_at) AS latest FROM registry GROUP BY dataset_id),
+registry_now AS (
+  SELECT r.* REPLACE (r.is_active AND r.trained_at = l.latest AS is_active)
+  FROM registry r JOIN latest l USING (dataset_id)
+)"""
+
+
+REGISTRY_CTES = with_ctes(
+    SALES_VIEW_SQL, daily_sql("dataset_id", "dd"), features_sql("dataset_id", "dd", "fd"),
+    _registry_sql())
+
+REGISTRY_COLS = ("dataset_id, model_id, algorithm, version, file_path, status, "
+                 + _metric_cols() + ", hyperparameters, is_active, trained_at")
+
+ORACLE["pick_best"] = REGISTRY_CTES + f"""
+SELECT {REGISTRY_COLS} FROM registry"""
+
+ORACLE["compare_models"] = REGISTRY_CTES + f"""
+SELECT {REGISTRY_COLS} FROM registry_now"""
+
+ORACLE["resolve_model"] = REGISTRY_CTES + f"""
+SELECT {REGISTRY_COLS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY trained_at DESC, model_id DESC) AS k
+  FROM registry_now WHERE status = 'ready' AND is_active
+) WHERE k = 1"""
+
+ORACLE["resolve_model_named"] = REGISTRY_CTES + f"""
+SELECT {REGISTRY_COLS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY trained_at DESC, model_id DESC) AS k
+  FROM registry_now WHERE status = 'ready' AND algorithm = 'naive_lag_7'
+) WHERE k = 1"""

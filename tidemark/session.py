@@ -72,3 +72,13 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, *parts)
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage
+    (reliable ``checkpoint``, never a local one).  Used for small derived
+    panels — daily series, feature matrices — that several branches of a
+    plan read, so the fact scan below them runs once; a lost executor then
+    re-reads the checkpoint instead of recomputing the scan."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
