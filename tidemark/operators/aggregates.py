@@ -95,15 +95,20 @@ def overview(datasets: DataFrame, sales: DataFrame, keys: Sequence[str] = DEFAUL
 
 
 def daily_revenue(sales: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
-                  date_col: str = "order_date") -> DataFrame:
+                  date_col: str = "order_date", with_counts: bool = False) -> DataFrame:
     """AGG6: revenue and quantity per day on a gap-free calendar from each
-    key's first to last day; missing days are 0.0 (JON1: calendar left join)."""
+    key's first to last day; missing days are 0.0 (JON1: calendar left join).
+    ``with_counts`` adds ``n_rows``, the sales rows behind each day."""
     keys = list(keys)
-    per_day = sales.groupBy(*keys, F.col(date_col).alias("order_date")).agg(
-        F.sum("revenue").alias("revenue"), F.sum("quantity").alias("quantity"))
+    aggs = [F.sum("revenue").alias("revenue"), F.sum("quantity").alias("quantity")]
+    if with_counts:
+        aggs.append(F.count(F.lit(1)).alias("n_rows"))
+    per_day = sales.groupBy(*keys, F.col(date_col).alias("order_date")).agg(*aggs)
     cal = calendar_by_key(per_day, keys, "order_date", "D", out_col="order_date")
+    extra = [F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows")] if with_counts else []
     return cal.join(per_day, keys + ["order_date"], "left").select(
         *keys, "order_date",
         F.coalesce("revenue", F.lit(0.0)).alias("revenue"),
         F.coalesce("quantity", F.lit(0.0)).alias("quantity"),
+        *extra,
     )

@@ -65,3 +65,21 @@ def naive_registry(features: DataFrame, keys: Sequence[str] = ("dataset_id",),
         F.to_json(F.struct(lag.alias("lag"))).alias("hyperparameters"),
         "is_active", "trained_at",
     )
+
+
+def naive_forecast(daily: DataFrame, keys: Sequence[str], lag: int, horizon: int) -> DataFrame:
+    """Seasonal-naive forecast: day ``last + h`` repeats the value ``lag``
+    days before it, i.e. the last ``lag`` days cycle forward (direct, no
+    fitting).  One generated row per (series, step) joined back to the
+    series' own history."""
+    keys = list(keys)
+    last = daily.groupBy(*keys).agg(F.max("order_date").alias("_last"))
+    steps = last.select(*keys, "_last", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    back = F.col("step") - F.lit(lag) * F.ceil(F.col("step") / F.lit(lag))
+    src = steps.select(*keys, "step", F.date_add("_last", 1).alias("_first"),
+                       F.date_add("_last", back.cast("int")).alias("_src"))
+    return src.join(daily.select(*keys, F.col("order_date").alias("_src"), "revenue"),
+                    keys + ["_src"], "left").select(
+        *keys, F.col("step").cast("int").alias("step"),
+        F.date_add("_first", F.col("step") - 1).alias("target_date"),
+        F.coalesce("revenue", F.lit(0.0)).alias("predicted_revenue"))

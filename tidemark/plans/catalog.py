@@ -20,6 +20,9 @@ from tidemark.operators import kpi
 from tidemark.operators import metrics as evl
 from tidemark.operators import selection as sel
 from tidemark.plans import baselines
+from tidemark.operators import forecast as fc
+from tidemark.operators import training as trn
+from tidemark.plans.forecasting import forecast_run
 from tidemark.functions.calendar import calendar_features
 from tidemark.schema import FEATURE_COLS
 from tidemark.session import materialize
@@ -225,3 +228,89 @@ def resolve_model_q(spark, sf_dir):
 @register("resolve_model_named")
 def resolve_model_named_q(spark, sf_dir):
     return _registry_out(sel.resolve_model(registry_rows(spark, sf_dir), algorithm="naive_lag_7"))
+
+
+# --- FCT3, FCT6, KPI11/JON3 on the seasonal-naive registry ------------------------
+
+HORIZON = 30
+
+
+@register("forecast_band")
+def forecast_band_q(spark, sf_dir):
+    """Active model per dataset forecast 30 days, with band and confidence."""
+    daily = materialize(agg.daily_revenue(sales_view(spark, sf_dir), ["dataset_id"]))
+    feats = fe.build_features(daily, ["dataset_id"])
+    active = sel.resolve_model(baselines.naive_registry(feats, ["dataset_id"])).cache()
+    parts = []
+    for k in baselines.NAIVE_LAGS:
+        m = active.where(F.col("algorithm") == f"naive_lag_{k}")
+        pts = baselines.naive_forecast(daily.join(m.select("dataset_id"), "dataset_id", "left_semi"),
+                                       ["dataset_id"], k, HORIZON)
+        parts.append(fc.tree_band(pts, m, ["dataset_id"], ["dataset_id"]))
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return fc.response_points(out, ["dataset_id"])
+
+
+@register("kpi_forecast_accuracy")
+def kpi_forecast_accuracy_q(spark, sf_dir):
+    active = sel.resolve_model(registry_rows(spark, sf_dir))
+    k = kpi.compute_kpis(sales_view(spark, sf_dir), active_models=active)
+    return k.select("dataset_id", "total_revenue", "forecast_accuracy_pct")
+
+
+# --- TRN1-9, FCT2/4/5 (rows-only: learned models) ---------------------------------
+
+def _train(spark, sf_dir, algorithms, tune=False):
+    run = trn.train_and_compare(sales_view(spark, sf_dir), ["dataset_id"], algorithms,
+                                test_size=0.2, tune=tune)
+    return run
+
+
+def _metrics_out(run):
+    return run.registry.select("dataset_id", "algorithm", "implementation",
+                               *[r2(m, 4) for m in METRICS], "is_active")
+
+
+@register("train_gbt")
+def train_gbt(spark, sf_dir):
+    return _metrics_out(_train(spark, sf_dir, ["gradient_boosting"]))
+
+
+@register("train_rf")
+def train_rf(spark, sf_dir):
+    return _metrics_out(_train(spark, sf_dir, ["random_forest"]))
+
+
+@register("train_compare")
+def train_compare(spark, sf_dir):
+    return _metrics_out(_train(spark, sf_dir, trn.AVAILABLE_ALGORITHMS))
+
+
+@register("tune_cv")
+def tune_cv(spark, sf_dir):
+    run = _train(spark, sf_dir, ["gradient_boosting"], tune=True)
+    return run.registry.select("dataset_id", "algorithm", "hyperparameters",
+                               *[r2(m, 4) for m in METRICS], "is_active")
+
+
+@register("forecast_recursive")
+def forecast_recursive(spark, sf_dir):
+    sales = sales_view(spark, sf_dir)
+    run = trn.train_and_compare(sales, ["dataset_id"], ["gradient_boosting"])
+    return fc.response_points(forecast_run(run, sales, HORIZON), ["dataset_id", "algorithm"])
+
+
+@register("forecast_segment")
+def forecast_segment(spark, sf_dir):
+    """Dataset-level models applied to every region segment at once."""
+    sales = sales_view(spark, sf_dir)
+    run = trn.train_and_compare(sales, ["dataset_id"], ["gradient_boosting"])
+    out = forecast_run(run, sales, HORIZON, segment_keys=["region"])
+    return fc.response_points(out, ["dataset_id", "region", "algorithm"])
+
+
+@register("forecast_additive")
+def forecast_additive(spark, sf_dir):
+    sales = sales_view(spark, sf_dir)
+    run = trn.train_and_compare(sales, ["dataset_id"], ["prophet"])
+    return fc.response_points(forecast_run(run, sales, HORIZON), ["dataset_id", "algorithm"])

@@ -408,3 +408,48 @@ SELECT {REGISTRY_COLS} FROM (
   SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY trained_at DESC, model_id DESC) AS k
   FROM registry_now WHERE status = 'ready' AND algorithm = 'naive_lag_7'
 ) WHERE k = 1"""
+
+
+# --- Forecast band on the seasonal-naive registry ------------------------------
+
+ORACLE["forecast_band"] = REGISTRY_CTES + f"""
+, active AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY trained_at DESC, model_id DESC) AS k
+    FROM registry_now WHERE status = 'ready' AND is_active
+  ) WHERE k = 1
+), lastd AS (SELECT dataset_id, max(order_date) AS last FROM dd GROUP BY dataset_id),
+steps AS (
+  SELECT a.dataset_id, a.rmse, a.mape, CAST(regexp_extract(a.algorithm, '([0-9]+)$', 1) AS INT) AS lag,
+         l.last, unnest(generate_series(1, 30)) AS step
+  FROM active a JOIN lastd l USING (dataset_id)
+), pts AS (
+  SELECT s.*, CAST(s.last + to_days(CAST(s.step AS INT)) AS DATE) AS target_date,
+         coalesce(d.revenue, 0.0) AS pred
+  FROM steps s LEFT JOIN dd d ON d.dataset_id = s.dataset_id
+   AND d.order_date = CAST(s.last + to_days(CAST(s.step - s.lag * ceil(s.step / s.lag) AS INT)) AS DATE)
+), sd AS (SELECT dataset_id, stddev_samp(pred) AS sd FROM pts GROUP BY dataset_id),
+banded AS (
+  SELECT p.*, CASE WHEN p.rmse IS NOT NULL AND p.rmse <> 0 THEN p.rmse
+                   WHEN sd.sd IS NOT NULL AND NOT isnan(sd.sd) AND sd.sd <> 0 THEN sd.sd
+                   ELSE 1.0 END * sqrt(p.step) AS band
+  FROM pts p JOIN sd USING (dataset_id)
+)
+SELECT dataset_id, CAST(step AS INT) AS step, target_date AS date,
+       {rnd("pred")} AS predicted_revenue,
+       {rnd("greatest(pred - band, 0.0)")} AS lower_bound,
+       {rnd("pred + band")} AS upper_bound,
+       {CONFIDENCE_SQL.format(m="mape")} AS confidence_score
+FROM banded"""
+
+ORACLE["kpi_forecast_accuracy"] = REGISTRY_CTES + f"""
+, active AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY trained_at DESC, model_id DESC) AS k
+    FROM registry_now WHERE status = 'ready' AND is_active
+  ) WHERE k = 1
+)
+SELECT s.dataset_id, {rnd("sum(s.revenue)")} AS total_revenue,
+       CASE WHEN any_value(a.mape) IS NULL THEN NULL
+            ELSE {rnd("greatest(0.0, 100 - any_value(a.mape))")} END AS forecast_accuracy_pct
+FROM sales s LEFT JOIN active a USING (dataset_id) GROUP BY s.dataset_id"""
