@@ -87,7 +87,7 @@ def tree_nodes(spark: SparkSession, models: DataFrame, model_keys: Sequence[str]
         F.col("nodeData.leftChild").alias("left"),
         F.col("nodeData.rightChild").alias("right"),
         F.col("nodeData.split.featureIndex").alias("feature"),
-        F.element_at("nodeData.split.leftCategoriesOrThreshold", 1).alias("threshold"),
+        F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold"),
     ).join(weights, ["_dir", "tree_id"])
     m = models.select(*model_keys, "algorithm", norm.alias("_dir"),
                       (F.col("algorithm") == "random_forest").alias("average"))

@@ -20,6 +20,8 @@ from tidemark.operators import kpi
 from tidemark.operators import metrics as evl
 from tidemark.operators import selection as sel
 from tidemark.plans import baselines
+from tidemark.operators import ingest
+from tidemark.sources import uploads
 from tidemark.operators import forecast as fc
 from tidemark.operators import training as trn
 from tidemark.plans.forecasting import forecast_run
@@ -314,3 +316,42 @@ def forecast_additive(spark, sf_dir):
     sales = sales_view(spark, sf_dir)
     run = trn.train_and_compare(sales, ["dataset_id"], ["prophet"])
     return fc.response_points(forecast_run(run, sales, HORIZON), ["dataset_id", "algorithm"])
+
+
+# --- ING1-14 on uploads derived from the tables ----------------------------------
+
+CLEAN_COLS = ["dataset_id", "order_date", "product", "category", "region"]
+
+
+def _clean_out(clean):
+    return clean.select(*CLEAN_COLS, r2("quantity"), r2("unit_price"), r2("revenue"), "cost")
+
+
+def _report_out(report):
+    return report.select("dataset_id", "is_valid", "total_rows", "valid_rows", "invalid_rows",
+                         F.array_join("warnings", " | ").alias("warnings"),
+                         F.size("errors").cast("bigint").alias("n_errors"))
+
+
+@register("ingest_clean")
+def ingest_clean(spark, sf_dir):
+    clean, _ = ingest.validate_and_clean(uploads.dirty_upload_view(spark, sf_dir))
+    return _clean_out(clean)
+
+
+@register("ingest_report")
+def ingest_report(spark, sf_dir):
+    _, report = ingest.validate_and_clean(uploads.dirty_upload_view(spark, sf_dir))
+    return _report_out(report)
+
+
+@register("ingest_fallback")
+def ingest_fallback(spark, sf_dir):
+    clean, _ = ingest.validate_and_clean(uploads.fallback_upload_view(spark, sf_dir))
+    return _clean_out(clean)
+
+
+@register("ingest_fallback_report")
+def ingest_fallback_report(spark, sf_dir):
+    _, report = ingest.validate_and_clean(uploads.fallback_upload_view(spark, sf_dir))
+    return _report_out(report)

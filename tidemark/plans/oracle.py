@@ -6,6 +6,7 @@ Written independently of the Spark code, against the raw tables
 
 from __future__ import annotations
 
+from tidemark.sources.uploads import DIRTY_BASE_SQL, DIRTY_UPLOAD_SQL
 from tidemark.sources.warehouse import ACTIVITY_VIEW_SQL, DATASETS_VIEW_SQL, SALES_VIEW_SQL
 
 ORACLE: dict[str, str] = {}
@@ -453,3 +454,75 @@ SELECT s.dataset_id, {rnd("sum(s.revenue)")} AS total_revenue,
        CASE WHEN any_value(a.mape) IS NULL THEN NULL
             ELSE {rnd("greatest(0.0, 100 - any_value(a.mape))")} END AS forecast_accuracy_pct
 FROM sales s LEFT JOIN active a USING (dataset_id) GROUP BY s.dataset_id"""
+
+
+# --- Ingest -----------------------------------------------------------------------
+
+INGEST_SQL = """
+fmt AS (
+  SELECT dataset_id,
+         CASE WHEN try_strptime(first_s, '%Y-%m-%d') IS NOT NULL THEN 1
+              WHEN try_strptime(first_s, '%m/%d/%Y') IS NOT NULL THEN 6 END AS f
+  FROM (SELECT dataset_id, arg_min(order_date_s, _row) AS first_s
+        FROM raw WHERE order_date_s IS NOT NULL GROUP BY dataset_id)
+), typed AS (
+  SELECT r.*,
+    CASE WHEN f.f = 1 THEN try_strptime(order_date_s, '%Y-%m-%d')
+         WHEN f.f = 6 THEN try_strptime(order_date_s, '%m/%d/%Y')
+         ELSE coalesce(try_strptime(order_date_s, '%Y-%m-%d'),
+                       try_strptime(order_date_s, '%m/%d/%Y')) END AS ts,
+    CASE WHEN rev IS NULL AND qty > 0 AND price > 0 THEN qty * price ELSE rev END AS rev2
+  FROM raw r LEFT JOIN fmt f USING (dataset_id)
+), filled AS (
+  SELECT *, coalesce(qty, 1.0) AS q, coalesce(price, rev2) AS p, coalesce(rev2, 0.0) AS r
+  FROM typed
+)"""
+
+ORACLE["ingest_clean"] = with_ctes(DIRTY_BASE_SQL, DIRTY_UPLOAD_SQL, INGEST_SQL) + f"""
+SELECT dataset_id, CAST(ts AS DATE) AS order_date,
+       coalesce(product_s, 'Unknown Product') AS product,
+       coalesce(category_s, 'Uncategorized') AS category,
+       coalesce(region_s, 'Unknown Region') AS region,
+       {rnd("q")} AS quantity, {rnd("p")} AS unit_price, {rnd("r")} AS revenue,
+       CAST(NULL AS DOUBLE) AS cost
+FROM filled WHERE ts IS NOT NULL AND r >= 0"""
+
+ORACLE["ingest_report"] = with_ctes(DIRTY_BASE_SQL, DIRTY_UPLOAD_SQL, INGEST_SQL) + """
+, counts AS (
+  SELECT dataset_id, count(*) AS total,
+         count(*) FILTER (WHERE ts IS NULL) AS bad,
+         count(*) FILTER (WHERE ts IS NOT NULL AND r < 0) AS neg
+  FROM filled GROUP BY dataset_id
+)
+SELECT dataset_id, total - bad - neg > 0 AS is_valid, CAST(total AS BIGINT) AS total_rows,
+       CAST(total - bad - neg AS BIGINT) AS valid_rows, CAST(bad + neg AS BIGINT) AS invalid_rows,
+       concat_ws(' | ',
+         CASE WHEN bad > 0 THEN 'Dropped ' || bad || ' row(s) with unparseable dates.' END,
+         CASE WHEN neg > 0 THEN 'Dropped ' || neg || ' row(s) with negative revenue.' END)
+         AS warnings,
+       CAST(CASE WHEN total - bad - neg = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_errors
+FROM counts"""
+
+FALLBACK_SQL = """
+fb AS (
+  SELECT c_mktsegment AS dataset_id, _row,
+         CAST(strftime(o_orderdate, '%Y-%m-%d') AS DATE) AS order_date,
+         l_extendedprice AS zeta,
+         CASE WHEN _row % 211 = 0 THEN 'x' ELSE CAST(l_quantity AS VARCHAR) END AS alpha
+  FROM base
+)"""
+
+ORACLE["ingest_fallback"] = with_ctes(DIRTY_BASE_SQL, FALLBACK_SQL) + f"""
+SELECT dataset_id, order_date, 'Unknown Product' AS product, 'Uncategorized' AS category,
+       'Unknown Region' AS region, CAST(1.0 AS DOUBLE) AS quantity,
+       {rnd("zeta")} AS unit_price, {rnd("zeta")} AS revenue, CAST(NULL AS DOUBLE) AS cost
+FROM fb WHERE zeta >= 0"""
+
+ORACLE["ingest_fallback_report"] = with_ctes(DIRTY_BASE_SQL, FALLBACK_SQL) + """
+SELECT dataset_id, count(*) FILTER (WHERE zeta >= 0) > 0 AS is_valid,
+       CAST(count(*) AS BIGINT) AS total_rows,
+       CAST(count(*) FILTER (WHERE zeta >= 0) AS BIGINT) AS valid_rows,
+       CAST(count(*) FILTER (WHERE zeta < 0) AS BIGINT) AS invalid_rows,
+       'Revenue auto-mapped from numeric column ''Zeta''.' AS warnings,
+       CAST(0 AS BIGINT) AS n_errors
+FROM fb GROUP BY dataset_id"""
