@@ -92,7 +92,8 @@ def compute_kpis(
 
     ``active_models`` (keys + ``mape``) feeds forecast accuracy (KPI11, JON3);
     ``sales_target`` feeds target achievement (KPI12); ``catalog`` (keys)
-    keeps keys without sales as a zero row.
+    keeps keys without sales as a zero row.  A pre-aggregated input may
+    carry ``n_rows`` (rows behind each aggregated row) for the order count.
     """
     keys = list(keys)
     dims = [c for c in ("product", "category", "region") if c not in keys]
@@ -102,7 +103,7 @@ def compute_kpis(
     sets = [keys + ["_m"]] + [keys + [d] for d in dims]
     g = sales.groupingSets(sets, *keys, "_m", *dims).agg(
         F.sum("revenue").alias("_rev"), F.sum("quantity").alias("_units"),
-        F.count(F.lit(1)).alias("_n"),
+        (F.sum("n_rows") if "n_rows" in sales.columns else F.count(F.lit(1))).alias("_n"),
         F.min("order_date").alias("_lo"), F.max("order_date").alias("_hi"),
         F.grouping("_m").alias("_g_m"),
         *[F.grouping(d).alias(f"_g_{d}") for d in dims],

@@ -100,7 +100,7 @@ def make_estimator(algorithm: str, params: dict, label: str = "revenue",
         return RandomForestRegressor(
             numTrees=params["n_estimators"], maxDepth=depth,
             minInstancesPerNode=params.get("min_samples_leaf", 1),
-            featureSubsetStrategy="all", maxMemoryInMB=1024, **common,
+            featureSubsetStrategy="all", maxMemoryInMB=1024, cacheNodeIds=True, **common,
         ), "mllib.RandomForestRegressor"
     if algorithm == "xgboost":
         native = _xgboost_spark()

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import round_half_up
@@ -22,6 +22,10 @@ from tidemark.operators import selection as sel
 from tidemark.plans import baselines
 from tidemark.operators import ingest
 from tidemark.sources import uploads
+from tidemark.operators import activity as act
+from tidemark.sinks.store import cascade_delete
+from tidemark.plans.dashboard import dashboard_payload
+from tidemark.sources.warehouse import activity_view
 from tidemark.operators import forecast as fc
 from tidemark.operators import training as trn
 from tidemark.plans.forecasting import forecast_run
@@ -355,3 +359,94 @@ def ingest_fallback(spark, sf_dir):
 def ingest_fallback_report(spark, sf_dir):
     _, report = ingest.validate_and_clean(uploads.fallback_upload_view(spark, sf_dir))
     return _report_out(report)
+
+
+# --- SRC4, SRT1-3, JON4/SNK7, JSN1, AGG5 ------------------------------------------
+
+@register("owner_filter")
+def owner_filter(spark, sf_dir):
+    """Datasets a non-admin user 1 sees, newest first."""
+    return act.visible_datasets(datasets_view(spark, sf_dir), user_id=1, is_admin=False)
+
+
+@register("recent_activity_user")
+def recent_activity_user(spark, sf_dir):
+    """Every user's own last 200 activity rows, newest first (per-user top-k)."""
+    w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("event_id").desc())
+    a = activity_view(spark, sf_dir)
+    return (a.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 200)
+            .select("user_id", "rank", "event_id", "action", "details", "created_at"))
+
+
+@register("recent_activity_all")
+def recent_activity_all(spark, sf_dir):
+    return act.recent_activity(activity_view(spark, sf_dir)).select(
+        "user_id", "event_id", "action", "details", "ip_address", "created_at")
+
+
+@register("cascade_delete")
+def cascade_delete_q(spark, sf_dir):
+    """Delete user 1's datasets: the sales and models that remain."""
+    gone = datasets_view(spark, sf_dir).where(F.col("owner_id") == 1).select("dataset_id")
+    sales = cascade_delete(sales_view(spark, sf_dir), gone)
+    left = sales.groupBy("dataset_id").agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
+                                           F.sum("revenue").alias("revenue"))
+    return left.select("dataset_id", "rows", r2("revenue"))
+
+
+@register("json_roundtrip")
+def json_roundtrip(spark, sf_dir):
+    _, report = ingest.validate_and_clean(uploads.dirty_upload_view(spark, sf_dir))
+    back = act.report_from_json(act.report_to_json(report))
+    return back.select("dataset_id", "is_valid", "total_rows", "valid_rows", "invalid_rows",
+                       F.size("warnings").cast("bigint").alias("n_warnings"),
+                       F.col("detected_columns")["revenue"].alias("revenue_source"),
+                       F.col("detected_columns")["quantity"].alias("quantity_source"))
+
+
+@register("dashboard_payload")
+def dashboard_payload_q(spark, sf_dir):
+    return dashboard_payload(sales_view(spark, sf_dir), "ME")
+
+
+# --- SRC6 (rows-only: streaming) ---------------------------------------------------
+
+@register("stream_ingest")
+def stream_ingest(spark, sf_dir):
+    """Each segment of the dirty uploads lands as its own CSV file; the
+    stream ingests every file as a dataset; per file: status, rows, revenue."""
+    import uuid
+
+    from tidemark.session import shared_path
+    from tidemark.sinks.store import Store
+    from tidemark.streaming.file_ingest import start_file_ingest
+
+    root = shared_path(spark, "stream_ingest", uuid.uuid4().hex)
+    landing = f"{root}/landing"
+    raw = uploads.dirty_upload_view(spark, sf_dir)
+    (raw.repartition("dataset_id").sortWithinPartitions("_row").drop("_row")
+     .write.partitionBy("dataset_id").option("header", True).csv(f"{root}/staged"))
+    # one file per dataset, moved into the landing folder
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    staged = jvm.org.apache.hadoop.fs.Path(f"{root}/staged")
+    fs = staged.getFileSystem(conf)
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(landing))
+    for part_dir in fs.listStatus(staged):
+        name = part_dir.getPath().getName()
+        if not name.startswith("dataset_id="):
+            continue
+        for f in fs.listStatus(part_dir.getPath()):
+            if f.getPath().getName().endswith(".csv"):
+                fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(
+                    f"{landing}/{name.split('=', 1)[1].lower()}_{f.getPath().getName()}"))
+    store = Store(spark, f"{root}/store")
+    q = start_file_ingest(spark, landing, store, f"{root}/checkpoint")
+    q.awaitTermination()
+    cat = store.datasets().select("dataset_id", "original_filename", "status", "row_count")
+    sales = store.read("sales").groupBy("dataset_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("stored_rows"),
+        F.sum("revenue").alias("revenue"))
+    return (cat.join(sales, "dataset_id", "left")
+            .select(F.regexp_extract("original_filename", r"^([a-z]+)_", 1).alias("segment"),
+                    "status", "row_count", "stored_rows", r2("revenue")))

@@ -526,3 +526,38 @@ SELECT dataset_id, count(*) FILTER (WHERE zeta >= 0) > 0 AS is_valid,
        'Revenue auto-mapped from numeric column ''Zeta''.' AS warnings,
        CAST(0 AS BIGINT) AS n_errors
 FROM fb GROUP BY dataset_id"""
+
+
+# --- Listings, activity, delete, JSON ------------------------------------------------
+
+ORACLE["owner_filter"] = with_ctes(DATASETS_VIEW_SQL) + """
+SELECT * FROM datasets WHERE owner_id = 1"""
+
+ORACLE["recent_activity_user"] = with_ctes(ACTIVITY_VIEW_SQL) + """
+SELECT user_id, rank, event_id, action, details, created_at FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, event_id DESC)
+                 AS INT) AS rank
+  FROM activity
+) WHERE rank <= 200"""
+
+ORACLE["recent_activity_all"] = with_ctes(ACTIVITY_VIEW_SQL) + """
+SELECT user_id, event_id, action, details, ip_address, created_at
+FROM activity ORDER BY created_at DESC, event_id DESC LIMIT 500"""
+
+ORACLE["cascade_delete"] = with_ctes(SALES_VIEW_SQL, DATASETS_VIEW_SQL) + f"""
+SELECT dataset_id, CAST(count(*) AS BIGINT) AS rows, {rnd("sum(revenue)")} AS revenue
+FROM sales WHERE dataset_id NOT IN (SELECT dataset_id FROM datasets WHERE owner_id = 1)
+GROUP BY dataset_id"""
+
+ORACLE["json_roundtrip"] = with_ctes(DIRTY_BASE_SQL, DIRTY_UPLOAD_SQL, INGEST_SQL) + """
+, counts AS (
+  SELECT dataset_id, count(*) AS total,
+         count(*) FILTER (WHERE ts IS NULL) AS bad,
+         count(*) FILTER (WHERE ts IS NOT NULL AND r < 0) AS neg
+  FROM filled GROUP BY dataset_id
+)
+SELECT dataset_id, total - bad - neg > 0 AS is_valid, CAST(total AS BIGINT) AS total_rows,
+       CAST(total - bad - neg AS BIGINT) AS valid_rows, CAST(bad + neg AS BIGINT) AS invalid_rows,
+       CAST((bad > 0)::INT + (neg > 0)::INT AS BIGINT) AS n_warnings,
+       'Total Sales' AS revenue_source, 'Qty' AS quantity_source
+FROM counts"""
