@@ -33,17 +33,22 @@ def safe_ratio(num: str | Column, den: str | Column) -> Column:
     return F.try_divide(col_or(num), F.nullif(col_or(den), F.lit(0)))
 
 
+# Plain decimal / scientific numbers, and the special float words.
+_NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+_SPECIAL = r"(?i)^[+-]?(inf|infinity)$"
+
+
 def to_double_strict(c: str | Column) -> Column:
     """Text -> double the way a strict numeric parser reads it.
 
-    Spark's cast also accepts a trailing type suffix (``1d``, ``2f``) that a
-    plain decimal reader rejects; those become null.  NaN becomes null too.
+    Only text shaped like a number is cast, so Spark's extra leniency (a
+    trailing type suffix such as ``1d`` / ``2f``) is rejected, and text
+    that is not a number never reaches the parser (a failed cast is costly
+    per row).  NaN becomes null.
     """
     s = F.trim(col_or(c).cast("string"))
-    parsed = F.when(s.rlike("(?i)[0-9.][df]$"), F.lit(None).cast("double")).otherwise(
-        s.try_cast("double")
-    )
-    return F.when(F.isnan(parsed), F.lit(None).cast("double")).otherwise(parsed)
+    looks_numeric = s.rlike(_NUMBER) | s.rlike(_SPECIAL)
+    return F.when(looks_numeric, s.try_cast("double")).otherwise(F.lit(None).cast("double"))
 
 
 def confidence_from_mape(mape: str | Column) -> Column:

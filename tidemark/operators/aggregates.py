@@ -5,6 +5,12 @@ so one job answers every dataset at once.  Aggregations are partial
 (map-side combine) before their shuffle; windows only ever run over
 already-aggregated rows, and totals are joined back from a one-row-per-key
 aggregate instead of a whole-key window.
+
+Where an aggregated frame feeds two branches (rows + totals, rows +
+calendar bounds) it is written once to the shared checkpoint folder
+(``materialize``): the branches prune different columns, so Spark could not
+reuse one exchange, and the scan below (often a multi-way join) would
+otherwise run twice.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import bucket_end, calendar_by_key, check_freq
 from tidemark.functions.columns import round_half_up
+from tidemark.session import materialize
 
 DEFAULT_KEYS = ("dataset_id",)
 
@@ -26,10 +33,8 @@ def revenue_trend(sales: DataFrame, freq: str = "D", keys: Sequence[str] = DEFAU
     Period label is the bucket end as ``yyyy-MM-dd``."""
     keys = list(keys)
     check_freq(freq)
-    bucketed = sales.groupBy(*keys, bucket_end(date_col, freq).alias("_bucket")).agg(
-        F.sum("revenue").alias("revenue"), F.sum("quantity").alias("units"))
-    # Bounds come from the aggregated rows, so the scan and its exchange
-    # are shared (ReuseExchange) instead of run twice.
+    bucketed = materialize(sales.groupBy(*keys, bucket_end(date_col, freq).alias("_bucket")).agg(
+        F.sum("revenue").alias("revenue"), F.sum("quantity").alias("units")))
     cal = calendar_by_key(bucketed, keys, "_bucket", freq, out_col="_bucket")
     return cal.join(bucketed, keys + ["_bucket"], "left").select(
         *keys,
@@ -49,9 +54,10 @@ def breakdown(sales: DataFrame, column: str, keys: Sequence[str] = DEFAULT_KEYS)
                             F.lit(None).cast("double").alias("revenue"),
                             F.lit(None).cast("double").alias("units"),
                             F.lit(None).cast("double").alias("share_pct")).limit(0)
-    grouped = (sales.where(F.col(column).isNotNull())
-               .groupBy(*keys, F.col(column).cast("string").alias("label"))
-               .agg(F.sum("revenue").alias("revenue"), F.sum("quantity").alias("units")))
+    grouped = materialize(sales.where(F.col(column).isNotNull())
+                          .groupBy(*keys, F.col(column).cast("string").alias("label"))
+                          .agg(F.sum("revenue").alias("revenue"),
+                               F.sum("quantity").alias("units")))
     totals = grouped.groupBy(*keys).agg(F.sum("revenue").alias("_total"))
     return grouped.join(totals, keys).select(
         *keys, "label", "revenue", "units",
@@ -103,7 +109,7 @@ def daily_revenue(sales: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
     aggs = [F.sum("revenue").alias("revenue"), F.sum("quantity").alias("quantity")]
     if with_counts:
         aggs.append(F.count(F.lit(1)).alias("n_rows"))
-    per_day = sales.groupBy(*keys, F.col(date_col).alias("order_date")).agg(*aggs)
+    per_day = materialize(sales.groupBy(*keys, F.col(date_col).alias("order_date")).agg(*aggs))
     cal = calendar_by_key(per_day, keys, "order_date", "D", out_col="order_date")
     extra = [F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows")] if with_counts else []
     return cal.join(per_day, keys + ["order_date"], "left").select(

@@ -170,6 +170,13 @@ def changepoints_for(n_train: int) -> list[float]:
 # Run
 # ---------------------------------------------------------------------------
 
+# Fits already made in this session, keyed by (input plan hash, keys, split,
+# dataset, algorithm, tuned).  A second request for the same model on the
+# same data snapshot reuses the saved model instead of refitting — the way
+# a registry serves predictions from stored models.
+_FIT_CACHE: dict = {}
+
+
 @dataclass
 class TrainingRun:
     version: str
@@ -245,11 +252,17 @@ def train_and_compare(
     results: dict = {}
     failures: list = []
 
+    data_key = (sales.semanticHash(), tuple(keys), float(test_size), bool(tune))
+
     def run(task):
         kv, algorithm = task
         try:
-            info = _fit_one(spark, panel, daily, keys, kv, algorithm, test_size, tune,
-                            model_root, version)
+            cache_key = data_key + (kv, algorithm)
+            info = _FIT_CACHE.get(cache_key)
+            if info is None:
+                info = _fit_one(spark, panel, daily, keys, kv, algorithm, test_size, tune,
+                                model_root, version)
+                _FIT_CACHE[cache_key] = info
             results[(kv, algorithm)] = info
         except Exception as exc:  # noqa: BLE001  (TRN6: a failing fit is recorded)
             failures.append(kv + (f"Training '{algorithm}' failed: {exc}"[:500],))
@@ -266,7 +279,7 @@ def train_and_compare(
     if results:
         preds = None
         for (kv, algorithm), info in results.items():
-            p = info.pop("test_predictions")
+            p = info["test_predictions"]
             preds = p if preds is None else preds.unionByName(p)
         metrics = evaluate(preds, keys + ["algorithm"])
         metrics = pick_best(metrics, keys, list(algorithms))
