@@ -18,7 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.schema import (ACTIVITY_ACTIONS, ACTIVITY_SCHEMA, DATASET_SCHEMA, DATASET_STATUSES,
-                             PREDICTION_SCHEMA, SALES_COLUMNS)
+                             PREDICTION_SCHEMA, SALES_COLUMNS, SALES_SCHEMA)
+
+
+REGISTRY_SCHEMA = (
+    "dataset_id bigint, model_id string, algorithm string, version string, file_path string, "
+    "status string, mae double, rmse double, mape double, r2 double, hyperparameters string, "
+    "is_active boolean, trained_at timestamp_ntz, kind string, implementation string")
+TABLE_SCHEMAS = {"sales": SALES_SCHEMA, "datasets": DATASET_SCHEMA, "models": REGISTRY_SCHEMA,
+                 "predictions": PREDICTION_SCHEMA, "activity": ACTIVITY_SCHEMA}
 
 
 class Store:
@@ -36,12 +44,16 @@ class Store:
         return os.path.join(self.root, table)
 
     def exists(self, table: str) -> bool:
+        """True when the table holds at least one data file."""
         p = self.path(table)
-        return os.path.exists(p) and any(not n.startswith((".", "_")) or n == "_SUCCESS"
-                                         for n in os.listdir(p))
+        for _, _, files in os.walk(p):
+            if any(f.endswith(".parquet") for f in files):
+                return True
+        return False
 
     def read(self, table: str, schema=None) -> DataFrame:
         if not self.exists(table):
+            schema = schema or TABLE_SCHEMAS.get(table)
             if schema is None:
                 raise FileNotFoundError(self.path(table))
             return self.spark.createDataFrame([], schema)
