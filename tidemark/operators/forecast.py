@@ -181,13 +181,24 @@ def _recursive_group(series_keys: list[str], horizon: int):
 
 
 def recursive_forecast(daily: DataFrame, nodes: DataFrame, series_keys: Sequence[str],
-                       model_keys: Sequence[str], horizon: int = DEFAULT_HORIZON) -> DataFrame:
+                       model_keys: Sequence[str], horizon: int = DEFAULT_HORIZON,
+                       salt: int = 1) -> DataFrame:
     """FCT2: ``horizon`` days per series, each step fed the previous
     predictions (clipped at 0).  ``daily`` is gap-free per series;
-    ``nodes`` comes from ``tree_nodes`` keyed by ``model_keys``."""
+    ``nodes`` comes from ``tree_nodes`` keyed by ``model_keys``.
+
+    With ``salt`` > 1 a dataset's series are spread over ``salt`` hash
+    buckets and its model's nodes are replicated once per bucket (an
+    ``explode``, not a join), so a dataset holding many series is served by
+    several tasks instead of one."""
     check_horizon(horizon)
     series_keys, model_keys = list(series_keys), list(model_keys)
     hist = last_days(daily, series_keys)
+    if salt > 1:
+        hist = hist.withColumn("_salt", F.pmod(F.xxhash64(*series_keys), F.lit(salt)))
+        nodes = nodes.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                                F.lit(salt - 1).cast("bigint"))))
+        model_keys = model_keys + ["_salt"]
     schema_fields = ", ".join(f"`{k}` {t}" for k, t in
                               zip(series_keys, [hist.schema[k].dataType.simpleString()
                                                 for k in series_keys]))

@@ -20,6 +20,9 @@ from tidemark.operators.selection import current_active, resolve_model
 from tidemark.operators.training import TrainingRun
 
 
+SEGMENT_SALT = 8
+
+
 def forecast_run(run: TrainingRun, sales: DataFrame, horizon: int = 30,
                  algorithm: str | None = None, category: str | None = None,
                  region: str | None = None, segment_keys: Sequence[str] = ()) -> DataFrame:
@@ -37,8 +40,10 @@ def forecast_run(run: TrainingRun, sales: DataFrame, horizon: int = 30,
         if "tree" in kinds:
             tree_models = models.where(F.col("kind") == "tree")
             nodes = fc.tree_nodes(spark, tree_models, keys)
+            # Segment forecasts (many series per dataset model) are salted.
+            salt = SEGMENT_SALT if len(series_keys) > len(keys) else 1
             points = fc.recursive_forecast(daily.join(tree_models.select(*keys), keys, "left_semi"),
-                                           nodes, series_keys, keys, horizon)
+                                           nodes, series_keys, keys, horizon, salt=salt)
             parts.append(fc.tree_band(points, tree_models, series_keys, keys)
                          .join(tree_models.select(*keys, "algorithm", "model_id"), keys))
         if "additive" in kinds:

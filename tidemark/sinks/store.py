@@ -142,8 +142,11 @@ class Store:
 
 def cascade_delete(child: DataFrame, deleted: DataFrame, keys: Sequence[str] = ("dataset_id",)
                    ) -> DataFrame:
-    """JON4: rows of ``child`` whose parent was not deleted (left anti join)."""
-    return child.join(deleted.select(*keys).distinct(), list(keys), "left_anti")
+    """JON4: rows of ``child`` whose parent was not deleted (left anti join).
+    The deleted side is a list of catalogue ids (one row per dataset or
+    model), so it is broadcast and the child is never shuffled by a key
+    that may hold a third of its rows."""
+    return child.join(F.broadcast(deleted.select(*keys).distinct()), list(keys), "left_anti")
 
 
 def _rewrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
