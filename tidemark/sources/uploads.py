@@ -44,12 +44,13 @@ def read_upload_csv(spark: SparkSession, path: str, dataset_id) -> DataFrame:
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey",
-                    "l_quantity", "l_extendedprice", "l_discount")
+                    "l_quantity", "l_extendedprice", "l_discount").hint("no_broadcast_hash")
     o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     c = read_table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment", "c_nationkey")
     n = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name")
     p = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")
-    oc = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == n.n_nationkey)
+    oc = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n),
+                                                    F.col("c_nationkey") == n.n_nationkey)
     return (li.join(oc, li.l_orderkey == oc.o_orderkey).join(p, li.l_partkey == p.p_partkey)
             .withColumn("_row", F.col("l_orderkey") * 8 + F.col("l_linenumber")))
 
