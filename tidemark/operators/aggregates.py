@@ -101,10 +101,12 @@ def overview(datasets: DataFrame, sales: DataFrame, keys: Sequence[str] = DEFAUL
 
 
 def daily_revenue(sales: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
-                  date_col: str = "order_date", with_counts: bool = False) -> DataFrame:
+                  date_col: str = "order_date", with_counts: bool = False,
+                  fill: float | None = 0.0) -> DataFrame:
     """AGG6: revenue and quantity per day on a gap-free calendar from each
     key's first to last day; missing days are 0.0 (JON1: calendar left join).
-    ``with_counts`` adds ``n_rows``, the sales rows behind each day."""
+    ``with_counts`` adds ``n_rows``, the sales rows behind each day;
+    ``fill=None`` leaves missing days null (for forward filling)."""
     keys = list(keys)
     aggs = [F.sum("revenue").alias("revenue"), F.sum("quantity").alias("quantity")]
     if with_counts:
@@ -114,7 +116,8 @@ def daily_revenue(sales: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
     extra = [F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows")] if with_counts else []
     return cal.join(per_day, keys + ["order_date"], "left").select(
         *keys, "order_date",
-        F.coalesce("revenue", F.lit(0.0)).alias("revenue"),
-        F.coalesce("quantity", F.lit(0.0)).alias("quantity"),
+        (F.col("revenue") if fill is None else F.coalesce("revenue", F.lit(fill))).alias("revenue"),
+        (F.col("quantity") if fill is None else F.coalesce("quantity", F.lit(fill)))
+        .alias("quantity"),
         *extra,
     )

@@ -85,3 +85,12 @@ def chrono_split(features: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
     split = F.when(split >= n, n - 1).otherwise(split)
     return features.withColumn("_rn", F.row_number().over(w)).withColumn(
         "is_train", F.col("_rn") <= split).drop("_rn")
+
+
+def forward_fill(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
+                 date_col: str = "order_date") -> DataFrame:
+    """FIL1: nulls take the series' last non-null value (leading nulls
+    stay null); a running window over one series' days."""
+    w = series_window(keys, date_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.select(*[F.last(c, ignorenulls=True).over(w).alias(c) if c in columns else F.col(c)
+                       for c in df.columns])

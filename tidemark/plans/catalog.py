@@ -450,3 +450,11 @@ def stream_ingest(spark, sf_dir):
     return (cat.join(sales, "dataset_id", "left")
             .select(F.regexp_extract("original_filename", r"^([a-z]+)_", 1).alias("segment"),
                     "status", "row_count", "stored_rows", r2("revenue")))
+
+
+@register("daily_ffill")
+def daily_ffill(spark, sf_dir):
+    """FIL1: per (segment, region) day, missing days carry the last value."""
+    d = agg.daily_revenue(sales_view(spark, sf_dir), keys=SERIES_KEYS, fill=None)
+    f = fe.forward_fill(d, SERIES_KEYS, ["revenue", "quantity"])
+    return f.select(*SERIES_KEYS, "order_date", r2("revenue"), r2("quantity"))

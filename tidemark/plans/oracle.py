@@ -561,3 +561,15 @@ SELECT dataset_id, total - bad - neg > 0 AS is_valid, CAST(total AS BIGINT) AS t
        CAST((bad > 0)::INT + (neg > 0)::INT AS BIGINT) AS n_warnings,
        'Total Sales' AS revenue_source, 'Qty' AS quantity_source
 FROM counts"""
+
+
+ORACLE["daily_ffill"] = with_ctes(SALES_VIEW_SQL, DAILY_SERIES_SQL) + f"""
+, gaps AS (
+  SELECT c.dataset_id, c.region, c.order_date, d.revenue, d.quantity
+  FROM daily_cal c LEFT JOIN daily_raw d
+    ON c.dataset_id = d.dataset_id AND c.region = d.region AND c.order_date = d.order_date
+)
+SELECT dataset_id, region, order_date,
+  {rnd("last_value(revenue IGNORE NULLS) OVER (PARTITION BY dataset_id, region ORDER BY order_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")} AS revenue,
+  {rnd("last_value(quantity IGNORE NULLS) OVER (PARTITION BY dataset_id, region ORDER BY order_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")} AS quantity
+FROM gaps"""

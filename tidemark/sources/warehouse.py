@@ -14,10 +14,8 @@ Join order keeps the big fact shuffled as few times as possible: orders are
 first joined to customer (with its nation/region geography), then line
 items are joined to that on order key, then to part.  The geography is
 broadcast explicitly — nation and region have 25 and 5 rows at every scale
-factor.  Line items are marked never-broadcast: the fact always streams,
-even when missing statistics make a join subtree look larger than it.
-Every other choice is Spark's size-checked auto-broadcast (and AQE at
-runtime), with sort-merge joins beyond the limit.
+factor.  Every other choice is Spark's size-checked auto-broadcast (and
+AQE at runtime), with sort-merge joins beyond the limit.
 """
 
 from __future__ import annotations
@@ -43,7 +41,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 
 def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity",
-                    "l_extendedprice", "l_discount").hint("no_broadcast_hash")
+                    "l_extendedprice", "l_discount")
     orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     cust = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
     nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")
