@@ -77,3 +77,12 @@ def test_horizon_and_registry_helpers():
     assert len(new_version()) == 21
     assert list_algorithms() == ["gradient_boosting", "random_forest", "xgboost", "lightgbm",
                                  "prophet"]
+
+
+def test_guards_refuse_short_history(spark, f2):
+    short = f2.where(F.col("order_date") < dt.date(2024, 1, 11)).withColumn(
+        "dataset_id", F.lit(2).cast("bigint"))
+    run = train_and_compare(f2.unionByName(short), ["dataset_id"], ["prophet"])
+    errs = {r.dataset_id: r.error for r in run.errors.collect()}
+    assert list(errs) == [2] and "Not enough historical data" in errs[2]
+    assert {r.dataset_id for r in run.registry.collect()} == {1}
