@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import math
 from collections.abc import Sequence
 
 import numpy as np

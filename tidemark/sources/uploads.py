@@ -13,7 +13,6 @@ so the cleaning rules can be checked against SQL on the shared tables.
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
