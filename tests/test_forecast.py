@@ -86,3 +86,23 @@ def test_guards_refuse_short_history(spark, f2):
     errs = {r.dataset_id: r.error for r in run.errors.collect()}
     assert list(errs) == [2] and "Not enough historical data" in errs[2]
     assert {r.dataset_id for r in run.registry.collect()} == {1}
+
+
+def test_additive_forecast_matches_transform(spark, f2):
+    import json
+    from pyspark.ml.regression import LinearRegressionModel
+    from tidemark.operators.training import additive_term_names, additive_terms
+    run = train_and_compare(f2, ["dataset_id"], ["prophet"])
+    row = run.registry.collect()[0]
+    pts = forecast_run(run, f2, horizon=5).orderBy("step").collect()
+    assert [p.target_date for p in pts] == [dt.date(2024, 3, 1) + dt.timedelta(days=i)
+                                             for i in range(5)]
+    cps = json.loads(row.hyperparameters)["changepoints"]
+    fut = spark.createDataFrame([(dt.date(2024, 3, 1) + dt.timedelta(days=i), float(60 + i))
+                                 for i in range(5)], "d date, t double")
+    design = VectorAssembler(inputCols=additive_term_names(len(cps)), outputCol="features") \
+        .transform(fut.select("d", *additive_terms("d", "t", cps)))
+    ref = [max(r.prediction, 0.0) for r in
+           LinearRegressionModel.load(row.file_path).transform(design).orderBy("d").collect()]
+    assert max(abs(p.predicted_revenue - r) for p, r in zip(pts, ref)) < 1e-6
+    assert all(p.lower_bound <= p.predicted_revenue <= p.upper_bound for p in pts)

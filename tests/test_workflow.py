@@ -40,6 +40,8 @@ def test_train_predict_delete(spark, env):
     assert len(models) == 2 and sum(m.is_active for m in models) == 1
     pts = wf.predict(spark, store, ds, horizon=7).collect()
     assert len(pts) == 7
+    active = [m for m in models if m.is_active][0]
+    assert pts[0].evaluation.mae == active.mae and pts[0].horizon_days == 7
     assert all(p.lower_bound <= p.predicted_revenue <= p.upper_bound for p in pts)
     preds = store.predictions().collect()
     assert len(preds) == 7 and {p.segment for p in preds} == {"category=all;region=all"}

@@ -21,13 +21,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import confidence_from_mape, round_half_up, segment_label
-from tidemark.operators.training import additive_term_names, additive_terms
+from tidemark.operators.training import additive_terms
 from tidemark.schema import DEFAULT_HORIZON, LAGS, MAX_HORIZON, ROLL_WINDOWS, WARMUP_DAYS
 
 HISTORY = WARMUP_DAYS  # the recursion never looks further back than 30 days
@@ -230,33 +228,45 @@ def tree_band(forecast: DataFrame, models: DataFrame, series_keys: Sequence[str]
     )
 
 
-def additive_forecast(spark: SparkSession, daily: DataFrame, model_row, series_keys: Sequence[str],
-                      horizon: int = DEFAULT_HORIZON) -> DataFrame:
+ADDITIVE_PARAMS = ("struct<changepoints: array<double>, band: array<double>, "
+                   "coefficients: array<double>, intercept: double>")
+
+
+def additive_forecast(daily: DataFrame, models: DataFrame, series_keys: Sequence[str],
+                      model_keys: Sequence[str], horizon: int = DEFAULT_HORIZON) -> DataFrame:
     """FCT4: direct forecast of the additive model for the ``horizon`` days
-    after each series' last day; value and 10/90 % band clipped at 0."""
+    after each series' last day; value and 10/90 % band clipped at 0.
+
+    Every dataset is scored in one job: its model's changepoints and
+    coefficients (a few dozen numbers, kept with the registry row) are
+    joined to its series, hinge terms come from ``transform`` over the
+    changepoints and the prediction is a ``zip_with`` dot product — the same
+    design columns, in the same order, as the fit."""
     check_horizon(horizon)
-    series_keys = list(series_keys)
-    params = json.loads(model_row["hyperparameters"])
-    cps = params["changepoints"]
-    lo_q, hi_q = params["band"]
-    model = LinearRegressionModel.load(model_row["file_path"])
+    series_keys, model_keys = list(series_keys), list(model_keys)
+    m = models.select(*model_keys, F.from_json("hyperparameters", ADDITIVE_PARAMS).alias("_p"),
+                      F.col("mape").alias("_mape"))
     bounds = daily.groupBy(*series_keys).agg(F.max("order_date").alias("_last"),
                                             F.count(F.lit(1)).alias("_n"))
-    fut = bounds.select(*series_keys, "_n", F.posexplode(F.sequence(
-        F.date_add("_last", 1), F.date_add("_last", horizon))).alias("_i", "target_date"))
-    fut = fut.select(*series_keys, (F.col("_i") + 1).alias("step"), "target_date",
-                     (F.col("_n") + F.col("_i")).cast("double").alias("_t"))
-    design = fut.select(*series_keys, "step", "target_date",
-                        *additive_terms("target_date", "_t", cps))
-    design = VectorAssembler(inputCols=additive_term_names(len(cps)),
-                             outputCol="features").transform(design)
-    yhat = F.col("prediction")
-    return model.transform(design).select(
-        *series_keys, F.col("step").cast("int").alias("step"), "target_date",
+    fut = bounds.join(m, model_keys).select(
+        *series_keys, "_n", "_p", "_mape",
+        F.posexplode(F.sequence(F.date_add("_last", 1), F.date_add("_last", horizon)))
+        .alias("_i", "target_date"))
+    t = (F.col("_n") + F.col("_i")).cast("double")
+    seasonal = [c for c in additive_terms("target_date", "_t", [])[1:]]
+    terms = F.concat(F.array(F.col("_t")),
+                     F.transform("_p.changepoints", lambda c: F.greatest(F.col("_t") - c, F.lit(0.0))),
+                     F.array(*seasonal))
+    dot = F.aggregate(F.zip_with("_p.coefficients", terms, lambda a, b: a * b),
+                      F.lit(0.0), lambda acc, x: acc + x)
+    scored = fut.withColumn("_t", t).withColumn("_yhat", F.col("_p.intercept") + dot)
+    yhat = F.col("_yhat")
+    return scored.select(
+        *series_keys, (F.col("_i") + 1).cast("int").alias("step"), "target_date",
         F.greatest(yhat, F.lit(0.0)).alias("predicted_revenue"),
-        F.greatest(yhat + F.lit(lo_q), F.lit(0.0)).alias("lower_bound"),
-        F.greatest(yhat + F.lit(hi_q), F.lit(0.0)).alias("upper_bound"),
-        confidence_from_mape(F.lit(model_row["mape"]).cast("double")).alias("confidence_score"),
+        F.greatest(yhat + F.col("_p.band")[0], F.lit(0.0)).alias("lower_bound"),
+        F.greatest(yhat + F.col("_p.band")[1], F.lit(0.0)).alias("upper_bound"),
+        confidence_from_mape("_mape").alias("confidence_score"),
     )
 
 

@@ -379,7 +379,9 @@ def _fit_additive(spark, daily, keys, kv, test_size, path, params):
         train.unpersist()
     model.write().overwrite().save(path)
     params = dict(params, changepoints=cps, n_train=split, n_days=n,
-                  band=[float(q[0]), float(q[1])])
+                  band=[float(q[0]), float(q[1])],
+                  coefficients=[float(c) for c in model.coefficients.toArray()],
+                  intercept=float(model.intercept))
     preds = model.transform(test).select(
         *keys, "order_date", "revenue", F.col("prediction").alias("prediction"),
         F.lit("prophet").alias("algorithm"))

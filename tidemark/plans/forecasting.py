@@ -32,30 +32,26 @@ def forecast_run(run: TrainingRun, sales: DataFrame, horizon: int = 30,
     spark = sales.sparkSession
     keys = run.keys
     series_keys = keys + [k for k in segment_keys if k not in keys]
+    # One row per dataset: small, read by several branches below.
     models = resolve_model(current_active(run.registry, keys), keys, algorithm).cache()
-    try:
-        kinds = {r["kind"] for r in models.select("kind").distinct().collect()}
-        daily = agg.daily_revenue(fc.segment_filter(sales, category, region), series_keys)
-        parts = []
-        if "tree" in kinds:
-            tree_models = models.where(F.col("kind") == "tree")
-            nodes = fc.tree_nodes(spark, tree_models, keys)
-            # Segment forecasts (many series per dataset model) are salted.
-            salt = SEGMENT_SALT if len(series_keys) > len(keys) else 1
-            points = fc.recursive_forecast(daily.join(tree_models.select(*keys), keys, "left_semi"),
-                                           nodes, series_keys, keys, horizon, salt=salt)
-            parts.append(fc.tree_band(points, tree_models, series_keys, keys)
-                         .join(tree_models.select(*keys, "algorithm", "model_id"), keys))
-        if "additive" in kinds:
-            for row in models.where(F.col("kind") == "additive").collect():
-                cond = F.lit(True)
-                for k in keys:
-                    cond = cond & (F.col(k) == F.lit(row[k]))
-                p = fc.additive_forecast(spark, daily.where(cond), row, series_keys, horizon)
-                parts.append(p.withColumn("algorithm", F.lit(row["algorithm"]))
-                             .withColumn("model_id", F.lit(row["model_id"])))
-    finally:
-        pass
+    kinds = {r["kind"] for r in models.select("kind").distinct().collect()}
+    if not kinds:
+        raise LookupError("No trained model found for these datasets.")
+    daily = agg.daily_revenue(fc.segment_filter(sales, category, region), series_keys)
+    parts = []
+    if "tree" in kinds:
+        tree_models = models.where(F.col("kind") == "tree")
+        nodes = fc.tree_nodes(spark, tree_models, keys)
+        # Segment forecasts (many series per dataset model) are salted.
+        salt = SEGMENT_SALT if len(series_keys) > len(keys) else 1
+        points = fc.recursive_forecast(daily.join(tree_models.select(*keys), keys, "left_semi"),
+                                       nodes, series_keys, keys, horizon, salt=salt)
+        parts.append(fc.tree_band(points, tree_models, series_keys, keys)
+                     .join(tree_models.select(*keys, "algorithm", "model_id"), keys))
+    if "additive" in kinds:
+        add_models = models.where(F.col("kind") == "additive")
+        parts.append(fc.additive_forecast(daily, add_models, series_keys, keys, horizon)
+                     .join(add_models.select(*keys, "algorithm", "model_id"), keys))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -74,7 +74,13 @@ def predict(spark: SparkSession, store: Store, dataset_id, horizon: int = 30,
         store.append_predictions(records)
         store.log_activity(user_id, "forecast_predict",
                            {"dataset_id": int(dataset_id), "horizon_days": horizon})
-        return fc.response_points(points, ["dataset_id", "algorithm", "model_id"]).cache()
+        evaluation = chosen.select("model_id", F.struct("mae", "rmse", "mape", "r2")
+                                   .alias("evaluation"))
+        resp = fc.response_points(points, ["dataset_id", "algorithm", "model_id"])
+        resp = resp.join(evaluation, "model_id", "left").withColumn(
+            "horizon_days", F.lit(horizon)).cache()
+        resp.count()   # computed from the cached points before they are released
+        return resp
     finally:
         points.unpersist()
 
