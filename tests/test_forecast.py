@@ -106,3 +106,27 @@ def test_additive_forecast_matches_transform(spark, f2):
            LinearRegressionModel.load(row.file_path).transform(design).orderBy("d").collect()]
     assert max(abs(p.predicted_revenue - r) for p, r in zip(pts, ref)) < 1e-6
     assert all(p.lower_bound <= p.predicted_revenue <= p.upper_bound for p in pts)
+
+
+def test_pooled_model_forecast_matches_transform(spark, f2):
+    two = f2.unionByName(f2.withColumn("dataset_id", F.lit(2).cast("bigint"))
+                         .withColumn("revenue", F.col("revenue") * 2))
+    run = train_and_compare(two, ["dataset_id"], ["gradient_boosting"], pooled=True)
+    reg = run.registry.collect()
+    assert len(reg) == 2 and len({r.file_path for r in reg}) == 1
+    assert len({r.series_index for r in reg}) == 2
+    pts = forecast_run(run, two, horizon=3).where("step = 1").collect()
+    assert len(pts) == 2
+    daily = agg.daily_revenue(two)
+    nxt = spark.createDataFrame([(k, dt.date(2024, 3, 1), None, None) for k in (1, 2)],
+                                "dataset_id bigint, order_date date, revenue double, quantity double")
+    feats = fe.build_features(daily.unionByName(nxt), drop_warmup=False) \
+        .where(F.col("order_date") == dt.date(2024, 3, 1))
+    idx = {r.dataset_id: r.series_index for r in reg}
+    feats = feats.join(spark.createDataFrame(list(idx.items()), "dataset_id bigint, series_index double"),
+                       "dataset_id")
+    x = VectorAssembler(inputCols=FEATURE_COLS + ["series_index"], outputCol="features").transform(feats)
+    ref = {r.dataset_id: max(r.prediction, 0.0)
+           for r in GBTRegressionModel.load(reg[0].file_path).transform(x).collect()}
+    for p in pts:
+        assert abs(p.predicted_revenue - ref[p.dataset_id]) < 1e-6

@@ -48,47 +48,36 @@ def segment_filter(sales: DataFrame, category: str | None = None, region: str |
     return sales
 
 
-def last_days(daily: DataFrame, series_keys: Sequence[str], n: int = HISTORY) -> DataFrame:
-    """The last ``n`` daily rows of each series plus its length and last day
-    (a window over one series' days)."""
-    series_keys = list(series_keys)
-    w = Window.partitionBy(*series_keys).orderBy(F.col("order_date").desc())
-    whole = Window.partitionBy(*series_keys)
-    return (daily.select(*series_keys, "order_date", "revenue",
-                         F.row_number().over(w).alias("_back"),
-                         F.count(F.lit(1)).over(whole).alias("n_days"),
-                         F.max("order_date").over(whole).alias("last_date"))
-            .where(F.col("_back") <= n).drop("_back"))
+def local_path(c: Column) -> Column:
+    """File URI or path -> plain path (the key that ties series to models)."""
+    return F.regexp_replace(c, "^file:/+", "/")
 
 
-def tree_nodes(spark: SparkSession, models: DataFrame, model_keys: Sequence[str]) -> DataFrame:
-    """Node table of every tree model in ``models`` (model_keys, algorithm,
-    file_path), read from the saved models in one scan, with tree weights."""
-    model_keys = list(model_keys)
+def tree_nodes(spark: SparkSession, models: DataFrame) -> DataFrame:
+    """Node table of every distinct tree model in ``models`` (``file_path``,
+    ``algorithm``), read from the saved MLlib models in one scan, keyed by
+    ``_model`` (the model's folder) with tree weights.  A model shared by
+    many datasets (pooled) appears once."""
     paths = [r["file_path"] for r in models.select("file_path").distinct().collect()]
-    def local(c: Column) -> Column:
-        return F.regexp_replace(c, "^file:/+", "/")
-
-    norm = local(F.col("file_path"))
     data = (spark.read.parquet(*[p + "/data" for p in paths])
-            .withColumn("_dir", F.regexp_extract(local(F.col("_metadata.file_path")),
-                                                 r"^(.*)/data/[^/]+$", 1)))
+            .withColumn("_model", F.regexp_extract(local_path(F.col("_metadata.file_path")),
+                                                   r"^(.*)/data/[^/]+$", 1)))
     weights = (spark.read.parquet(*[p + "/treesMetadata" for p in paths])
-               .withColumn("_dir", F.regexp_extract(local(F.col("_metadata.file_path")),
-                                                    r"^(.*)/treesMetadata/[^/]+$", 1))
-               .select("_dir", F.col("_1").alias("tree_id"), F.col("_3").alias("weight")))
+               .withColumn("_model", F.regexp_extract(local_path(F.col("_metadata.file_path")),
+                                                      r"^(.*)/treesMetadata/[^/]+$", 1))
+               .select("_model", F.col("_1").alias("tree_id"), F.col("_3").alias("weight")))
     nodes = data.select(
-        "_dir", F.col("treeID").alias("tree_id"),
+        "_model", F.col("treeID").alias("tree_id"),
         F.col("nodeData.id").alias("node_id"),
         F.col("nodeData.prediction").alias("value"),
         F.col("nodeData.leftChild").alias("left"),
         F.col("nodeData.rightChild").alias("right"),
         F.col("nodeData.split.featureIndex").alias("feature"),
         F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold"),
-    ).join(weights, ["_dir", "tree_id"])
-    m = models.select(*model_keys, "algorithm", norm.alias("_dir"),
-                      (F.col("algorithm") == "random_forest").alias("average"))
-    return nodes.join(m, "_dir").drop("_dir")
+    ).join(weights, ["_model", "tree_id"])
+    kinds = models.select(local_path(F.col("file_path")).alias("_model"),
+                          (F.col("algorithm") == "random_forest").alias("average")).distinct()
+    return nodes.join(kinds, "_model")
 
 
 def _compile(nodes: pd.DataFrame):
@@ -148,12 +137,15 @@ def _recursive_group(series_keys: list[str], horizon: int):
         s = len(groups)
         buf = np.zeros((s, HISTORY + horizon))
         n_days = np.zeros(s, dtype=np.int64)
-        last = []
+        last, extra = [], []
         for i, (_, g) in enumerate(groups):
             vals = g["revenue"].to_numpy(np.float64)
             buf[i, HISTORY - len(vals):HISTORY] = vals
             n_days[i] = int(g["n_days"].iloc[0])
             last.append(pd.Timestamp(g["last_date"].iloc[0]).date())
+            e = g["_extra"].iloc[0]
+            extra.append([] if e is None else list(e))
+        extra = np.asarray(extra, dtype=np.float64).reshape(s, -1)
         out = []
         for h in range(1, horizon + 1):
             pos = HISTORY + h - 1                       # column being predicted
@@ -167,7 +159,7 @@ def _recursive_group(series_keys: list[str], horizon: int):
                 win = buf[:, pos - w:pos]
                 rolls += [win.mean(axis=1), win.std(axis=1, ddof=1)]
             t = (n_days - 1 + h).astype(np.float64)[:, None]
-            x = np.hstack([x, lags, np.stack(rolls, axis=1), t])
+            x = np.hstack([x, lags, np.stack(rolls, axis=1), t, extra])
             y = np.maximum(predict_trees(model, x), 0.0)
             buf[:, pos] = y
             for i, (key, _) in enumerate(groups):
@@ -178,31 +170,35 @@ def _recursive_group(series_keys: list[str], horizon: int):
 
 
 def recursive_forecast(daily: DataFrame, nodes: DataFrame, series_keys: Sequence[str],
-                       model_keys: Sequence[str], horizon: int = DEFAULT_HORIZON,
-                       salt: int = 1) -> DataFrame:
+                       horizon: int = DEFAULT_HORIZON, salt: int = 1) -> DataFrame:
     """FCT2: ``horizon`` days per series, each step fed the previous
-    predictions (clipped at 0).  ``daily`` is gap-free per series;
-    ``nodes`` comes from ``tree_nodes`` keyed by ``model_keys``.
-
-    With ``salt`` > 1 a dataset's series are spread over ``salt`` hash
-    buckets and its model's nodes are replicated once per bucket (an
-    ``explode``, not a join), so a dataset holding many series is served by
-    several tasks instead of one."""
+    predictions (clipped at 0).
+
+    ``daily`` is gap-free per series and carries ``_model`` (the series'
+    model folder) and ``_extra`` (features appended after the fixed 22, e.g.
+    the dataset index of a pooled model); ``nodes`` comes from
+    ``tree_nodes``.  Series and nodes meet by ``cogroup`` on the model; with
+    ``salt`` > 1 a model's series are spread over ``salt`` hash buckets and
+    its nodes replicated once per bucket (an ``explode``, not a join), so a
+    model serving many series runs in several tasks."""
     check_horizon(horizon)
-    series_keys, model_keys = list(series_keys), list(model_keys)
-    hist = last_days(daily, series_keys)
-    if salt > 1:
-        hist = hist.withColumn("_salt", F.pmod(F.xxhash64(*series_keys), F.lit(salt)))
-        nodes = nodes.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                                F.lit(salt - 1).cast("bigint"))))
-        model_keys = model_keys + ["_salt"]
-    schema_fields = ", ".join(f"`{k}` {t}" for k, t in
-                              zip(series_keys, [hist.schema[k].dataType.simpleString()
-                                                for k in series_keys]))
+    series_keys = list(series_keys)
+    w = Window.partitionBy(*series_keys).orderBy(F.col("order_date").desc())
+    whole = Window.partitionBy(*series_keys)
+    hist = (daily.select(*series_keys, "_model", "_extra", "order_date", "revenue",
+                         F.row_number().over(w).alias("_back"),
+                         F.count(F.lit(1)).over(whole).alias("n_days"),
+                         F.max("order_date").over(whole).alias("last_date"))
+            .where(F.col("_back") <= HISTORY).drop("_back"))
+    hist = hist.withColumn("_salt", F.pmod(F.xxhash64(*series_keys), F.lit(max(salt, 1))))
+    nodes = nodes.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                            F.lit(max(salt, 1) - 1).cast("bigint"))))
+    schema_fields = ", ".join(f"`{k}` {hist.schema[k].dataType.simpleString()}"
+                              for k in series_keys)
     schema = f"{schema_fields}, step int, target_date date, predicted_revenue double"
     fn = _recursive_group(series_keys, horizon)
-    return (hist.groupBy(*model_keys)
-            .cogroup(nodes.groupBy(*model_keys))
+    return (hist.groupBy("_model", "_salt")
+            .cogroup(nodes.groupBy("_model", "_salt"))
             .applyInPandas(fn, schema=schema))
 
 

@@ -210,10 +210,17 @@ def train_and_compare(
     parallelism: int = 8,
     version: str | None = None,
     trained_at: dt.datetime | None = None,
+    pooled: bool = False,
 ) -> TrainingRun:
     """TRN6/TRN9: train every requested algorithm for every dataset,
     evaluate on the chronological test split, flag the best per dataset.
-    Unknown algorithms are skipped; a failing fit is logged in ``errors``."""
+    Unknown algorithms are skipped; a failing fit is logged in ``errors``.
+
+    ``pooled=True`` fits each tree algorithm once over all datasets' panels
+    with a per-dataset index as an extra feature (``series_index``), instead
+    of one fit per dataset: the number of MLlib fits no longer grows with
+    the number of datasets.  Metrics, selection and registry rows stay per
+    dataset; the additive model stays per dataset."""
     spark: SparkSession = sales.sparkSession
     keys = list(keys)
     if not 0.0 < test_size < 0.5:
@@ -228,7 +235,9 @@ def train_and_compare(
     daily_path = _write_partitioned(daily, os.path.join(run_dir, "daily"), keys)
     daily = spark.read.parquet(daily_path)
     feats = fe.chrono_split(fe.build_features(daily, keys), keys, test_size)
-    feats = VectorAssembler(inputCols=FEATURE_COLS, outputCol="features").transform(feats)
+    feats = feats.withColumn("series_index", series_index(keys))
+    cols = FEATURE_COLS + (["series_index"] if pooled else [])
+    feats = VectorAssembler(inputCols=cols, outputCol="features").transform(feats)
     panel_path = _write_partitioned(feats, os.path.join(run_dir, "panel"), keys)
     panel = spark.read.parquet(panel_path)
 
@@ -248,7 +257,11 @@ def train_and_compare(
             ok.append(kv)
 
     wanted = [a for a in algorithms if a in AVAILABLE_ALGORITHMS]
-    tasks = [(kv, a) for kv in ok for a in wanted]
+    if pooled:
+        tasks = [(None, a) for a in wanted if a != "prophet"]
+        tasks += [(kv, a) for kv in ok for a in wanted if a == "prophet"]
+    else:
+        tasks = [(kv, a) for kv in ok for a in wanted]
     results: dict = {}
     failures: list = []
 
@@ -257,15 +270,21 @@ def train_and_compare(
     def run(task):
         kv, algorithm = task
         try:
-            cache_key = data_key + (kv, algorithm)
+            cache_key = data_key + (pooled, kv, algorithm)
             info = _FIT_CACHE.get(cache_key)
             if info is None:
-                info = _fit_one(spark, panel, daily, keys, kv, algorithm, test_size, tune,
-                                model_root, version)
+                if kv is None:
+                    info = _fit_pooled(spark, panel, keys, ok, algorithm, tune, model_root,
+                                       version)
+                else:
+                    info = _fit_one(spark, panel, daily, keys, kv, algorithm, test_size, tune,
+                                    model_root, version)
                 _FIT_CACHE[cache_key] = info
-            results[(kv, algorithm)] = info
+            for k in (ok if kv is None else [kv]):
+                results[(k, algorithm)] = info
         except Exception as exc:  # noqa: BLE001  (TRN6: a failing fit is recorded)
-            failures.append(kv + (f"Training '{algorithm}' failed: {exc}"[:500],))
+            for k in (ok if kv is None else [kv]):
+                failures.append(k + (f"Training '{algorithm}' failed: {exc}"[:500],))
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         list(pool.map(run, tasks))
@@ -277,19 +296,23 @@ def train_and_compare(
 
     # Evaluate all test predictions in one grouped job, then pick the best.
     if results:
-        preds = None
-        for (kv, algorithm), info in results.items():
+        preds, seen = None, set()
+        for info in results.values():
+            if id(info) in seen:          # a pooled fit serves many datasets
+                continue
+            seen.add(id(info))
             p = info["test_predictions"]
             preds = p if preds is None else preds.unionByName(p)
         metrics = evaluate(preds, keys + ["algorithm"])
         metrics = pick_best(metrics, keys, list(algorithms))
         meta_rows = [kv + (a, info["file_path"], info["kind"], info["implementation"],
-                           json.dumps(info["params"], default=str))
+                           json.dumps(info["params"], default=str), bool(info.get("pooled")))
                      for (kv, a), info in results.items()]
         meta_schema = T.StructType(
             [f for f in err_schema.fields if f.name in keys]
             + [T.StructField(n, T.StringType()) for n in
-               ("algorithm", "file_path", "kind", "implementation", "hyperparameters")])
+               ("algorithm", "file_path", "kind", "implementation", "hyperparameters")]
+            + [T.StructField("pooled", T.BooleanType())])
         meta = spark.createDataFrame(meta_rows, meta_schema)
         registry = metrics.join(meta, keys + ["algorithm"]).select(
             *keys,
@@ -299,6 +322,7 @@ def train_and_compare(
             "hyperparameters", "is_active",
             F.lit(trained_at).cast("timestamp_ntz").alias("trained_at"),
             "kind", "implementation",
+            F.when(F.col("pooled"), series_index(keys)).alias("series_index"),
         )
     else:
         registry = None
@@ -307,6 +331,36 @@ def train_and_compare(
                        models=results)
 
 
+def series_index(keys: Sequence[str]) -> Column:
+    """Per-dataset feature of a pooled model: a hash of the keys (exact as
+    a double, no numbering job needed)."""
+    return F.pmod(F.xxhash64(*keys), F.lit(2147483647)).cast("double")
+
+
+def _fit_pooled(spark, panel, keys, ok, algorithm, tune, model_root, version):
+    """One fit of ``algorithm`` over the training rows of every dataset that
+    passed the guards; test predictions for all of them."""
+    params = dict(DEFAULT_PARAMS[algorithm])
+    path = os.path.join(model_root, "_pooled", f"{algorithm}_{version}")
+    ok_df = spark.createDataFrame(ok, panel.select(*keys).schema)     # catalogue-sized
+    rows = panel.join(F.broadcast(ok_df), keys, "left_semi")
+    train = rows.where(F.col("is_train")).select(*keys, "order_date", "features", "revenue").cache()
+    try:
+        if tune:
+            model, params, impl = _tune(algorithm, train, keys)
+        else:
+            est, impl = make_estimator(algorithm, params)
+            model = est.fit(train)
+    finally:
+        train.unpersist()
+    model.write().overwrite().save(path)
+    preds = model.transform(rows.where(~F.col("is_train"))).select(
+        *keys, "order_date", "revenue", F.col("prediction").alias("prediction"),
+        F.lit(algorithm).alias("algorithm"))
+    return {"file_path": path, "kind": "tree", "implementation": impl + " (pooled)",
+            "params": params, "test_predictions": preds, "model": model, "pooled": True}
+
+
 def _fit_one(spark, panel, daily, keys, kv, algorithm, test_size, tune, model_root, version):
     params = dict(DEFAULT_PARAMS[algorithm])
     safe = "_".join(str(v).replace("/", "_").replace(" ", "_") for v in kv)

@@ -32,7 +32,7 @@ from tidemark.plans.forecasting import forecast_run
 from tidemark.functions.calendar import calendar_features
 from tidemark.schema import FEATURE_COLS
 from tidemark.session import materialize
-from tidemark.sources.warehouse import datasets_view, sales_view
+from tidemark.sources.warehouse import datasets_view, sales_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -52,7 +52,7 @@ def r2(c: str, places: int = 2):
 # --- AGG1-4, AGG6 ----------------------------------------------------------
 
 def _breakdown(spark, sf_dir, column):
-    b = agg.breakdown(sales_view(spark, sf_dir), column)
+    b = agg.breakdown(sales_table(spark, sf_dir), column)
     return b.select("dataset_id", "label", r2("revenue"), r2("units"), "share_pct")
 
 
@@ -73,12 +73,12 @@ def breakdown_product(spark, sf_dir):
 
 @register("top10_products")
 def top10_products(spark, sf_dir):
-    b = agg.top_k(agg.breakdown(sales_view(spark, sf_dir), "product"), 10)
+    b = agg.top_k(agg.breakdown(sales_table(spark, sf_dir), "product"), 10)
     return b.select("dataset_id", "rank", "label", r2("revenue"), r2("units"), "share_pct")
 
 
 def _trend(spark, sf_dir, freq):
-    t = agg.revenue_trend(sales_view(spark, sf_dir), freq)
+    t = agg.revenue_trend(sales_table(spark, sf_dir), freq)
     return t.select("dataset_id", "period", r2("revenue"), r2("units"))
 
 
@@ -99,12 +99,12 @@ def trend_monthly(spark, sf_dir):
 
 @register("overview")
 def overview(spark, sf_dir):
-    return agg.overview(datasets_view(spark, sf_dir), sales_view(spark, sf_dir))
+    return agg.overview(datasets_view(spark, sf_dir), sales_table(spark, sf_dir))
 
 
 @register("daily_series")
 def daily_series(spark, sf_dir):
-    d = agg.daily_revenue(sales_view(spark, sf_dir), keys=["dataset_id", "region"])
+    d = agg.daily_revenue(sales_table(spark, sf_dir), keys=["dataset_id", "region"])
     return d.select("dataset_id", "region", "order_date", r2("revenue"), r2("quantity"))
 
 
@@ -115,17 +115,17 @@ SALES_TARGET = 50_000_000.0
 
 @register("kpi_summary")
 def kpi_summary(spark, sf_dir):
-    return kpi.compute_kpis(sales_view(spark, sf_dir), catalog=datasets_view(spark, sf_dir))
+    return kpi.compute_kpis(sales_table(spark, sf_dir), catalog=datasets_view(spark, sf_dir))
 
 
 @register("kpi_mom_yoy")
 def kpi_mom_yoy(spark, sf_dir):
-    return kpi.period_growth(sales_view(spark, sf_dir), ["dataset_id", "region", "category"])
+    return kpi.period_growth(sales_table(spark, sf_dir), ["dataset_id", "region", "category"])
 
 
 @register("kpi_top_entities")
 def kpi_top_entities(spark, sf_dir):
-    s = sales_view(spark, sf_dir)
+    s = sales_table(spark, sf_dir)
     keys = ["dataset_id", "region"]
     return (kpi.top_entity(s, "product", keys)
             .join(kpi.top_entity(s, "category", keys), keys, "left"))
@@ -133,7 +133,7 @@ def kpi_top_entities(spark, sf_dir):
 
 @register("kpi_target")
 def kpi_target(spark, sf_dir):
-    k = kpi.compute_kpis(sales_view(spark, sf_dir), sales_target=SALES_TARGET)
+    k = kpi.compute_kpis(sales_table(spark, sf_dir), sales_target=SALES_TARGET)
     return k.select("dataset_id", "total_revenue", "sales_target_achievement_pct")
 
 
@@ -143,7 +143,7 @@ SERIES_KEYS = ["dataset_id", "region"]
 
 
 def series_daily(spark, sf_dir):
-    return agg.daily_revenue(sales_view(spark, sf_dir), keys=SERIES_KEYS)
+    return agg.daily_revenue(sales_table(spark, sf_dir), keys=SERIES_KEYS)
 
 
 @register("calendar_features")
@@ -189,7 +189,7 @@ METRICS = ["mae", "rmse", "mape", "r2"]
 
 
 def dataset_features(spark, sf_dir):
-    daily = agg.daily_revenue(sales_view(spark, sf_dir), keys=["dataset_id"])
+    daily = agg.daily_revenue(sales_table(spark, sf_dir), keys=["dataset_id"])
     return fe.build_features(daily, ["dataset_id"])
 
 
@@ -244,7 +244,7 @@ HORIZON = 30
 @register("forecast_band")
 def forecast_band_q(spark, sf_dir):
     """Active model per dataset forecast 30 days, with band and confidence."""
-    daily = materialize(agg.daily_revenue(sales_view(spark, sf_dir), ["dataset_id"]))
+    daily = materialize(agg.daily_revenue(sales_table(spark, sf_dir), ["dataset_id"]))
     feats = fe.build_features(daily, ["dataset_id"])
     active = sel.resolve_model(baselines.naive_registry(feats, ["dataset_id"])).cache()
     parts = []
@@ -260,14 +260,14 @@ def forecast_band_q(spark, sf_dir):
 @register("kpi_forecast_accuracy")
 def kpi_forecast_accuracy_q(spark, sf_dir):
     active = sel.resolve_model(registry_rows(spark, sf_dir))
-    k = kpi.compute_kpis(sales_view(spark, sf_dir), active_models=active)
+    k = kpi.compute_kpis(sales_table(spark, sf_dir), active_models=active)
     return k.select("dataset_id", "total_revenue", "forecast_accuracy_pct")
 
 
 # --- TRN1-9, FCT2/4/5 (rows-only: learned models) ---------------------------------
 
 def _train(spark, sf_dir, algorithms, tune=False):
-    run = trn.train_and_compare(sales_view(spark, sf_dir), ["dataset_id"], algorithms,
+    run = trn.train_and_compare(sales_table(spark, sf_dir), ["dataset_id"], algorithms,
                                 test_size=0.2, tune=tune)
     return run
 
@@ -301,7 +301,7 @@ def tune_cv(spark, sf_dir):
 
 @register("forecast_recursive")
 def forecast_recursive(spark, sf_dir):
-    sales = sales_view(spark, sf_dir)
+    sales = sales_table(spark, sf_dir)
     run = trn.train_and_compare(sales, ["dataset_id"], ["gradient_boosting"])
     return fc.response_points(forecast_run(run, sales, HORIZON), ["dataset_id", "algorithm"])
 
@@ -309,7 +309,7 @@ def forecast_recursive(spark, sf_dir):
 @register("forecast_segment")
 def forecast_segment(spark, sf_dir):
     """Dataset-level models applied to every region segment at once."""
-    sales = sales_view(spark, sf_dir)
+    sales = sales_table(spark, sf_dir)
     run = trn.train_and_compare(sales, ["dataset_id"], ["gradient_boosting"])
     out = forecast_run(run, sales, HORIZON, segment_keys=["region"])
     return fc.response_points(out, ["dataset_id", "region", "algorithm"])
@@ -317,7 +317,7 @@ def forecast_segment(spark, sf_dir):
 
 @register("forecast_additive")
 def forecast_additive(spark, sf_dir):
-    sales = sales_view(spark, sf_dir)
+    sales = sales_table(spark, sf_dir)
     run = trn.train_and_compare(sales, ["dataset_id"], ["prophet"])
     return fc.response_points(forecast_run(run, sales, HORIZON), ["dataset_id", "algorithm"])
 
@@ -388,7 +388,7 @@ def recent_activity_all(spark, sf_dir):
 def cascade_delete_q(spark, sf_dir):
     """Delete user 1's datasets: the sales and models that remain."""
     gone = datasets_view(spark, sf_dir).where(F.col("owner_id") == 1).select("dataset_id")
-    sales = cascade_delete(sales_view(spark, sf_dir), gone)
+    sales = cascade_delete(sales_table(spark, sf_dir), gone)
     left = sales.groupBy("dataset_id").agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
                                            F.sum("revenue").alias("revenue"))
     return left.select("dataset_id", "rows", r2("revenue"))
@@ -406,7 +406,7 @@ def json_roundtrip(spark, sf_dir):
 
 @register("dashboard_payload")
 def dashboard_payload_q(spark, sf_dir):
-    return dashboard_payload(sales_view(spark, sf_dir), "ME")
+    return dashboard_payload(sales_table(spark, sf_dir), "ME")
 
 
 # --- SRC6 (rows-only: streaming) ---------------------------------------------------
@@ -455,6 +455,6 @@ def stream_ingest(spark, sf_dir):
 @register("daily_ffill")
 def daily_ffill(spark, sf_dir):
     """FIL1: per (segment, region) day, missing days carry the last value."""
-    d = agg.daily_revenue(sales_view(spark, sf_dir), keys=SERIES_KEYS, fill=None)
+    d = agg.daily_revenue(sales_table(spark, sf_dir), keys=SERIES_KEYS, fill=None)
     f = fe.forward_fill(d, SERIES_KEYS, ["revenue", "quantity"])
     return f.select(*SERIES_KEYS, "order_date", r2("revenue"), r2("quantity"))

@@ -41,11 +41,20 @@ def forecast_run(run: TrainingRun, sales: DataFrame, horizon: int = 30,
     parts = []
     if "tree" in kinds:
         tree_models = models.where(F.col("kind") == "tree")
-        nodes = fc.tree_nodes(spark, tree_models, keys)
-        # Segment forecasts (many series per dataset model) are salted.
-        salt = SEGMENT_SALT if len(series_keys) > len(keys) else 1
-        points = fc.recursive_forecast(daily.join(tree_models.select(*keys), keys, "left_semi"),
-                                       nodes, series_keys, keys, horizon, salt=salt)
+        nodes = fc.tree_nodes(spark, tree_models)
+        has_index = "series_index" in tree_models.columns
+        pooled = has_index and tree_models.where(F.col("series_index").isNotNull()) \
+            .limit(1).count() > 0
+        extra = (F.when(F.col("series_index").isNotNull(), F.array(F.col("series_index")))
+                 .otherwise(F.array().cast("array<double>")) if has_index
+                 else F.array().cast("array<double>"))
+        # one row per dataset: catalogue-sized, broadcast to the daily rows
+        series_model = tree_models.select(*keys, fc.local_path(F.col("file_path")).alias("_model"),
+                                          extra.alias("_extra"))
+        tagged = daily.join(F.broadcast(series_model), keys)
+        # Many series per model (segments, or one pooled model) are salted.
+        salt = SEGMENT_SALT if (len(series_keys) > len(keys) or pooled) else 1
+        points = fc.recursive_forecast(tagged, nodes, series_keys, horizon, salt=salt)
         parts.append(fc.tree_band(points, tree_models, series_keys, keys)
                      .join(tree_models.select(*keys, "algorithm", "model_id"), keys))
     if "additive" in kinds:

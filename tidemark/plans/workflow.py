@@ -29,7 +29,7 @@ from tidemark.streaming.file_ingest import ingest_file
 
 REGISTRY_COLUMNS = ["dataset_id", "model_id", "algorithm", "version", "file_path", "status",
                     "mae", "rmse", "mape", "r2", "hyperparameters", "is_active", "trained_at",
-                    "kind", "implementation"]
+                    "kind", "implementation", "series_index"]
 
 
 def upload(spark: SparkSession, store: Store, path: str, owner_id: int = 1) -> DataFrame:

@@ -24,7 +24,8 @@ from tidemark.schema import (ACTIVITY_ACTIONS, ACTIVITY_SCHEMA, DATASET_SCHEMA,
 REGISTRY_SCHEMA = (
     "dataset_id bigint, model_id string, algorithm string, version string, file_path string, "
     "status string, mae double, rmse double, mape double, r2 double, hyperparameters string, "
-    "is_active boolean, trained_at timestamp_ntz, kind string, implementation string")
+    "is_active boolean, trained_at timestamp_ntz, kind string, implementation string, "
+    "series_index double")
 TABLE_SCHEMAS = {"sales": SALES_SCHEMA, "datasets": DATASET_SCHEMA, "models": REGISTRY_SCHEMA,
                  "predictions": PREDICTION_SCHEMA, "activity": ACTIVITY_SCHEMA}
 
