@@ -292,6 +292,14 @@ def train_compare(spark, sf_dir):
     return _metrics_out(_train(spark, sf_dir, trn.AVAILABLE_ALGORITHMS))
 
 
+@register("train_pooled")
+def train_pooled(spark, sf_dir):
+    """One GBT over every dataset's panel (dataset index as a feature)."""
+    run = trn.train_and_compare(sales_table(spark, sf_dir), ["dataset_id"],
+                                ["gradient_boosting"], pooled=True)
+    return _metrics_out(run)
+
+
 @register("tune_cv")
 def tune_cv(spark, sf_dir):
     run = _train(spark, sf_dir, ["gradient_boosting"], tune=True)
