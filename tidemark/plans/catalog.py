@@ -347,25 +347,25 @@ def _report_out(report):
 
 @register("ingest_clean")
 def ingest_clean(spark, sf_dir):
-    clean, _ = ingest.validate_and_clean(uploads.dirty_upload_view(spark, sf_dir))
+    clean, _ = ingest.validate_and_clean(uploads.dirty_upload_table(spark, sf_dir))
     return _clean_out(clean)
 
 
 @register("ingest_report")
 def ingest_report(spark, sf_dir):
-    _, report = ingest.validate_and_clean(uploads.dirty_upload_view(spark, sf_dir))
+    _, report = ingest.validate_and_clean(uploads.dirty_upload_table(spark, sf_dir))
     return _report_out(report)
 
 
 @register("ingest_fallback")
 def ingest_fallback(spark, sf_dir):
-    clean, _ = ingest.validate_and_clean(uploads.fallback_upload_view(spark, sf_dir))
+    clean, _ = ingest.validate_and_clean(uploads.fallback_upload_table(spark, sf_dir))
     return _clean_out(clean)
 
 
 @register("ingest_fallback_report")
 def ingest_fallback_report(spark, sf_dir):
-    _, report = ingest.validate_and_clean(uploads.fallback_upload_view(spark, sf_dir))
+    _, report = ingest.validate_and_clean(uploads.fallback_upload_table(spark, sf_dir))
     return _report_out(report)
 
 
@@ -404,7 +404,7 @@ def cascade_delete_q(spark, sf_dir):
 
 @register("json_roundtrip")
 def json_roundtrip(spark, sf_dir):
-    _, report = ingest.validate_and_clean(uploads.dirty_upload_view(spark, sf_dir))
+    _, report = ingest.validate_and_clean(uploads.dirty_upload_table(spark, sf_dir))
     back = act.report_from_json(act.report_to_json(report))
     return back.select("dataset_id", "is_valid", "total_rows", "valid_rows", "invalid_rows",
                        F.size("warnings").cast("bigint").alias("n_warnings"),

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.schema import ALLOWED_UPLOAD_EXTENSIONS
-from tidemark.sources.warehouse import read_table
+from tidemark.sources.warehouse import read_table, stored_table
 
 
 def check_extension(path: str) -> str:
@@ -99,6 +99,16 @@ def fallback_upload_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dirty_upload_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dirty uploads stored once per data snapshot (as an uploaded file
+    is stored once before it is processed)."""
+    return stored_table(spark, sf_dir, "dirty_uploads", dirty_upload_view)
+
+
+def fallback_upload_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_table(spark, sf_dir, "fallback_uploads", fallback_upload_view)
+
+
 DIRTY_BASE_SQL = """
 base AS (
   SELECT l.*, o.o_orderdate, c.c_mktsegment, n.n_name, p.p_name, p.p_type,

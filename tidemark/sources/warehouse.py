@@ -85,22 +85,33 @@ def _snapshot(sf_dir: str, names) -> tuple:
     return tuple(out)
 
 
+ORDER_TABLES = ["lineitem", "orders", "customer", "nation", "region", "part"]
+
+
+def stored_table(spark: SparkSession, sf_dir: str, name: str, build, sources=ORDER_TABLES,
+                 partition_by: str | None = "dataset_id") -> DataFrame:
+    """``build(spark, sf_dir)`` written once per (session, source snapshot)
+    to the shared folder and read back by every caller."""
+    from tidemark.session import shared_path  # local import: avoids an import cycle
+
+    key = (name, spark.sparkContext.applicationId, os.path.abspath(sf_dir),
+           _snapshot(sf_dir, sources))
+    path = _SALES_TABLES.get(key)
+    if path is None or not os.path.exists(os.path.join(path, "_SUCCESS")):
+        path = shared_path(spark, name, f"{abs(hash(key)):x}")
+        w = build(spark, sf_dir).write.mode("overwrite")
+        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+        _SALES_TABLES[key] = path
+    return spark.read.parquet(path)
+
+
 def sales_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical sales fact written once — Parquet partitioned by
     ``dataset_id`` in the shared folder, as the ingest stores uploads — and
     read back by every query.  The multi-way join behind ``sales_view`` then
     runs once per data snapshot instead of once per query, and reads by
     dataset prune partitions."""
-    from tidemark.session import shared_path  # local import: session imports nothing here
-
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir),
-           _snapshot(sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"]))
-    path = _SALES_TABLES.get(key)
-    if path is None or not os.path.exists(os.path.join(path, "_SUCCESS")):
-        path = shared_path(spark, "sales", f"{abs(hash(key)):x}")
-        sales_view(spark, sf_dir).write.mode("overwrite").partitionBy("dataset_id").parquet(path)
-        _SALES_TABLES[key] = path
-    return spark.read.parquet(path)
+    return stored_table(spark, sf_dir, "sales", sales_view)
 
 
 # DuckDB text of the same view, for oracle queries.
