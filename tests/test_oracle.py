@@ -51,3 +51,13 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_smoke(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_stream_ingest_stores_what_batch_validation_reports(spark):
+    q = entry.queries()
+    streamed = {r.segment: r for r in q["stream_ingest"](spark, SF).collect()}
+    report = {r.dataset_id.lower(): r for r in q["ingest_report"](spark, SF).collect()}
+    assert set(streamed) == set(report)
+    for seg, r in streamed.items():
+        assert r.status == "processed"
+        assert r.row_count == r.stored_rows == report[seg].valid_rows

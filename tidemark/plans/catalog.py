@@ -32,7 +32,7 @@ from tidemark.plans.forecasting import forecast_run
 from tidemark.functions.calendar import calendar_features
 from tidemark.schema import FEATURE_COLS
 from tidemark.session import materialize
-from tidemark.sources.warehouse import datasets_view, sales_table
+from tidemark.sources.warehouse import datasets_view, sales_table, stored_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -194,7 +194,12 @@ def dataset_features(spark, sf_dir):
 
 
 def registry_rows(spark, sf_dir):
-    return baselines.naive_registry(dataset_features(spark, sf_dir), ["dataset_id"])
+    """The seasonal-naive registry, stored once per data snapshot like the
+    model table it stands for; every read path queries the stored rows."""
+    return stored_table(spark, sf_dir, "naive_registry",
+                        lambda sp, d: baselines.naive_registry(dataset_features(sp, d),
+                                                               ["dataset_id"]),
+                        partition_by=None)
 
 
 def _registry_out(df):
@@ -245,8 +250,7 @@ HORIZON = 30
 def forecast_band_q(spark, sf_dir):
     """Active model per dataset forecast 30 days, with band and confidence."""
     daily = materialize(agg.daily_revenue(sales_table(spark, sf_dir), ["dataset_id"]))
-    feats = fe.build_features(daily, ["dataset_id"])
-    active = sel.resolve_model(baselines.naive_registry(feats, ["dataset_id"])).cache()
+    active = sel.resolve_model(registry_rows(spark, sf_dir)).cache()
     parts = []
     for k in baselines.NAIVE_LAGS:
         m = active.where(F.col("algorithm") == f"naive_lag_{k}")
