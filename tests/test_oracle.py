@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from tidemark.sources.warehouse import TABLES
 
 SF = "/root/testdata/sf0.001"
-FAST = ["breakdown_category", "top10_products", "trend_weekly", "trend_monthly", "kpi_summary",
+FAST = ["breakdown_category", "top_products", "trend_weekly", "trend_monthly", "kpi_summary",
         "daily_series", "feature_matrix", "pick_best", "forecast_band", "ingest_clean",
         "ingest_report", "recent_activity_all", "cascade_delete"]
 

@@ -71,8 +71,8 @@ def breakdown_product(spark, sf_dir):
     return _breakdown(spark, sf_dir, "product")
 
 
-@register("top10_products")
-def top10_products(spark, sf_dir):
+@register("top_products")
+def top_products(spark, sf_dir):
     b = agg.top_k(agg.breakdown(sales_table(spark, sf_dir), "product"), 10)
     return b.select("dataset_id", "rank", "label", r2("revenue"), r2("units"), "share_pct")
 

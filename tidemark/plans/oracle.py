@@ -40,7 +40,7 @@ ORACLE["breakdown_category"] = _breakdown_sql("category")
 ORACLE["breakdown_region"] = _breakdown_sql("region")
 ORACLE["breakdown_product"] = _breakdown_sql("product")
 
-ORACLE["top10_products"] = SALES + f"""
+ORACLE["top_products"] = SALES + f"""
 , g AS (
   SELECT dataset_id, product AS label, sum(revenue) AS revenue, sum(quantity) AS units
   FROM sales WHERE product IS NOT NULL GROUP BY dataset_id, product
