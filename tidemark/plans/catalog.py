@@ -361,6 +361,16 @@ def ingest_report(spark, sf_dir):
     return _report_out(report)
 
 
+@register("derive_revenue")
+def derive_revenue(spark, sf_dir):
+    """ING8-10 audit: rows and revenue per dataset by the rule that set it."""
+    clean, _ = ingest.validate_and_clean(uploads.dirty_upload_table(spark, sf_dir),
+                                         with_source=True)
+    g = clean.groupBy("dataset_id", "revenue_source").agg(
+        F.count(F.lit(1)).cast("bigint").alias("rows"), F.sum("revenue").alias("revenue"))
+    return g.select("dataset_id", "revenue_source", "rows", r2("revenue"))
+
+
 @register("ingest_fallback")
 def ingest_fallback(spark, sf_dir):
     clean, _ = ingest.validate_and_clean(uploads.fallback_upload_table(spark, sf_dir))

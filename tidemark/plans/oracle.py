@@ -573,3 +573,13 @@ SELECT dataset_id, region, order_date,
   {rnd("last_value(revenue IGNORE NULLS) OVER (PARTITION BY dataset_id, region ORDER BY order_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")} AS revenue,
   {rnd("last_value(quantity IGNORE NULLS) OVER (PARTITION BY dataset_id, region ORDER BY order_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")} AS quantity
 FROM gaps"""
+
+
+ORACLE["derive_revenue"] = with_ctes(DIRTY_BASE_SQL, DIRTY_UPLOAD_SQL, INGEST_SQL) + f"""
+SELECT dataset_id,
+       CASE WHEN rev IS NOT NULL THEN 'reported'
+            WHEN qty > 0 AND price > 0 THEN 'derived'
+            ELSE 'filled' END AS revenue_source,
+       CAST(count(*) AS BIGINT) AS rows, {rnd("sum(r)")} AS revenue
+FROM filled WHERE ts IS NOT NULL AND r >= 0
+GROUP BY ALL"""
