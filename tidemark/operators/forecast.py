@@ -208,7 +208,8 @@ def tree_band(forecast: DataFrame, models: DataFrame, series_keys: Sequence[str]
     sample std of the series' predictions, else 1.0; lower bound clipped at
     0; confidence from the model's MAPE."""
     series_keys = list(series_keys)
-    f = forecast.join(models.select(*model_keys, "rmse", "mape"), list(model_keys), "left")
+    f = forecast.join(F.broadcast(models.select(*model_keys, "rmse", "mape")),
+                      list(model_keys), "left")                 # one row per model
     sd = F.stddev_samp("predicted_revenue").over(Window.partitionBy(*series_keys))
     f = f.withColumn("_sd", sd)
     usable_sd = F.when(F.col("_sd").isNotNull() & ~F.isnan("_sd") & (F.col("_sd") != 0),
@@ -244,7 +245,7 @@ def additive_forecast(daily: DataFrame, models: DataFrame, series_keys: Sequence
                       F.col("mape").alias("_mape"))
     bounds = daily.groupBy(*series_keys).agg(F.max("order_date").alias("_last"),
                                             F.count(F.lit(1)).alias("_n"))
-    fut = bounds.join(m, model_keys).select(
+    fut = bounds.join(F.broadcast(m), model_keys).select(      # one row per model
         *series_keys, "_n", "_p", "_mape",
         F.posexplode(F.sequence(F.date_add("_last", 1), F.date_add("_last", horizon)))
         .alias("_i", "target_date"))
