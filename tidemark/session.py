@@ -67,6 +67,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or named
 
 
+def _fs_and_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence through Hadoop's FileSystem: local, HDFS or object store."""
+    fs, hpath = _fs_and_path(spark, path)
+    return bool(fs.exists(hpath))
+
+
+def file_signature(spark: SparkSession, path: str) -> tuple:
+    """(path, length, modification time) of a file or folder, any scheme."""
+    fs, hpath = _fs_and_path(spark, path)
+    if not fs.exists(hpath):
+        return (path, None, None)
+    st = fs.getFileStatus(hpath)
+    return (path, int(st.getLen()), int(st.getModificationTime()))
+
+
+def has_data_files(spark: SparkSession, path: str, suffix: str = ".parquet") -> bool:
+    """True when a table folder holds at least one data file (any depth)."""
+    fs, hpath = _fs_and_path(spark, path)
+    if not fs.exists(hpath):
+        return False
+    it = fs.listFiles(hpath, True)
+    while it.hasNext():
+        if it.next().getPath().getName().endswith(suffix):
+            return True
+    return False
+
+
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for written tables that
     cut lineage or hold models); survives executor loss."""

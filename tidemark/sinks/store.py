@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import has_data_files
 from tidemark.schema import (ACTIVITY_ACTIONS, ACTIVITY_SCHEMA, DATASET_SCHEMA, DATASET_STATUSES,
                              PREDICTION_SCHEMA, SALES_COLUMNS, SALES_SCHEMA)
 
@@ -42,15 +42,12 @@ class Store:
     def path(self, table: str) -> str:
         if table not in self.TABLES:
             raise ValueError(table)
-        return os.path.join(self.root, table)
+        return self.root.rstrip("/") + "/" + table
 
     def exists(self, table: str) -> bool:
-        """True when the table holds at least one data file."""
-        p = self.path(table)
-        for _, _, files in os.walk(p):
-            if any(f.endswith(".parquet") for f in files):
-                return True
-        return False
+        """True when the table holds at least one data file (any file
+        system Spark can read)."""
+        return has_data_files(self.spark, self.path(table))
 
     def read(self, table: str, schema=None) -> DataFrame:
         if not self.exists(table):

@@ -74,15 +74,11 @@ def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SALES_TABLES: dict = {}
 
 
-def _snapshot(sf_dir: str, names) -> tuple:
-    """Identity of the source files (path, size, mtime): a changed table
-    gets a fresh fact table instead of a stale one."""
-    out = []
-    for n in names:
-        p = table_path(sf_dir, n)
-        st = os.stat(p) if os.path.exists(p) else None
-        out.append((p, st.st_size if st else None, st.st_mtime_ns if st else None))
-    return tuple(out)
+def _snapshot(spark: SparkSession, sf_dir: str, names) -> tuple:
+    """Identity of the source files (path, size, mtime) through Hadoop's
+    FileSystem: a changed table gets a fresh derived table, not a stale one."""
+    from tidemark.session import file_signature
+    return tuple(file_signature(spark, table_path(sf_dir, n)) for n in names)
 
 
 ORDER_TABLES = ["lineitem", "orders", "customer", "nation", "region", "part"]
@@ -92,12 +88,12 @@ def stored_table(spark: SparkSession, sf_dir: str, name: str, build, sources=ORD
                  partition_by: str | None = "dataset_id") -> DataFrame:
     """``build(spark, sf_dir)`` written once per (session, source snapshot)
     to the shared folder and read back by every caller."""
-    from tidemark.session import shared_path  # local import: avoids an import cycle
+    from tidemark.session import path_exists, shared_path  # local: avoids an import cycle
 
-    key = (name, spark.sparkContext.applicationId, os.path.abspath(sf_dir),
-           _snapshot(sf_dir, sources))
+    key = (name, spark.sparkContext.applicationId, sf_dir.rstrip("/"),
+           _snapshot(spark, sf_dir, sources))
     path = _SALES_TABLES.get(key)
-    if path is None or not os.path.exists(os.path.join(path, "_SUCCESS")):
+    if path is None or not path_exists(spark, path.rstrip("/") + "/_SUCCESS"):
         path = shared_path(spark, name, f"{abs(hash(key)):x}")
         w = build(spark, sf_dir).write.mode("overwrite")
         (w.partitionBy(partition_by) if partition_by else w).parquet(path)
