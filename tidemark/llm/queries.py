@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann_tiles, line_runs, mixing, nn_descent
+from tidemark.llm import ann_tiles, line_runs, mixing, nn_descent, warc_zip
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -148,3 +148,21 @@ WITH t AS (
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM g GROUP BY doc_id"""
+
+
+@query
+def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+SQL["op4_warc_archives"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), h AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS head FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to
+FROM h"""
