@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann_tiles, line_runs, mixing, nn_descent, warc_zip
+from tidemark.llm import ann_tiles, line_runs, mixing, nn_descent, warc_zip, wrapper_html
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -166,3 +166,8 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to
 FROM h"""
+
+
+@query
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_html.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
