@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann_tiles, line_runs, mixing, nn_descent, warc_zip, wrapper_html
+from tidemark.llm import ann_tiles, kn_quality, line_runs, mixing, nn_descent, warc_zip, wrapper_html
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -171,3 +171,10 @@ FROM h"""
 @query
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper_html.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query
+def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    return kn_quality.classify(docs, labels).select("doc_id", "lang", "perplexity", "threshold", "kept")
