@@ -33,14 +33,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.kn_quality import hash_table, look_up
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
-CACHE_UNITS = 300_000
-STRIP = 1 << 20             # characters encoded at once
+CACHE_UNITS = 500_000
+SOLVE_CHARS = 250_000       # characters of units solved together
+STRIP = 2 << 20             # characters encoded at once
 LONG_UNIT = 48              # longer units are solved one by one
 SPACE = "▁"
 UNKNOWN = 10.0              # below the worst score
@@ -163,70 +165,92 @@ def solve_units(units: list[str], v: Vocabulary):
     """``(ids of all units, counts, scores, losses)``."""
     ids, counts = [None] * len(units), np.zeros(len(units), "i8")
     score, loss = np.zeros(len(units)), np.zeros(len(units))
-    by_size: dict[int, list[int]] = {}
-    for at, u in enumerate(units):
-        by_size.setdefault(len(u), []).append(at)
-    for size, members in by_size.items():
-        if size > LONG_UNIT:
-            for at in members:
-                got, score[at], loss[at] = solve_one(units[at], v)
-                ids[at], counts[at] = np.array(got, "i4"), len(got)
+    held, size = [], 0
+    for at in sorted(range(len(units)), key=lambda i: -len(units[i])):     # longest first
+        if len(units[at]) > LONG_UNIT:
+            got, score[at], loss[at] = solve_one(units[at], v)
+            ids[at], counts[at] = np.array(got, "i4"), len(got)
             continue
-        step = max(1, (1 << 21) // (size * min(size, v.longest)))
-        for first in range(0, len(members), step):
-            _solve_equal(units, members[first:first + step], size, v, ids, counts, score, loss)
+        held.append(at)
+        size += len(units[at])
+        if size > SOLVE_CHARS:
+            _solve_together(units, held, v, ids, counts, score, loss)
+            held, size = [], 0
+    if held:
+        _solve_together(units, held, v, ids, counts, score, loss)
     flat = np.concatenate(ids).astype("i4") if ids else np.zeros(0, "i4")
     return flat, counts, score, loss
 
 
-def _solve_equal(units, members, size, v, ids, counts, score, loss) -> None:
-    """Viterbi both ways over units of one length."""
+def _solve_together(units, members, v, ids, counts, score, loss) -> None:
+    """Viterbi both ways over units sorted by falling length, laid end to end:
+    one table look-up per piece width, one step per place in the units."""
     n = len(members)
-    code = np.frombuffer("".join(units[at] for at in members).encode("utf-32-le", "surrogatepass"), "<u4")
-    code = code.reshape(n, size).astype(np.uint64) + np.uint64(1)
-    f, b = np.full((n, size + 1), -np.inf), np.full((n, size + 1), -np.inf)
-    f[:, 0] = b[:, size] = 0
-    last = np.zeros((n, size + 1), "i4")
-    piece, cost = {}, {}
-    for i in range(size):
-        h = np.zeros(n, np.uint64)
-        for width in range(1, min(size - i, v.longest) + 1):
-            h = h * BASE + code[:, i + width - 1]
-            k, hit = look_up(v.table, h ^ (np.uint64(width) << np.uint64(58)))
-            k = np.where(hit, k, -1).astype("i4")
-            if not hit.any() and width > 1:
-                continue
-            s = np.where(hit, v.score[k], v.unknown if width == 1 else -np.inf)
-            piece[i, width], cost[i, width] = k, s
-            better = f[:, i] + s > f[:, i + width]
-            f[better, i + width] = (f[:, i] + s)[better]
-            last[better, i + width] = width
-    for i, width in sorted(cost, reverse=True):
-        np.maximum(b[:, i], cost[i, width] + b[:, i + width], out=b[:, i])
-    rows, at, on = np.arange(n), np.full(n, size), np.zeros((n, size + 1), "i4")
-    for _ in range(size):
-        width = last[rows, at]
-        begin = at - width
-        live = at > 0
-        on[rows[live], begin[live]] = width[live]
-        at = np.where(live, begin, 0)
-    second, chosen = np.full(n, -np.inf), np.full((n, size), -2, "i4")
-    for (i, width), s in cost.items():
-        used = on[:, i] == width
-        np.maximum(second, np.where(used, -np.inf, f[:, i] + s + b[:, i + width]), out=second)
-        chosen[used, i] = piece[i, width][used]
+    code = np.frombuffer("".join(units[at] for at in members).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    sizes = np.array([len(units[at]) for at in members])
+    start = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(n), sizes)
+    place = np.arange(len(code)) - start[owner]
+    room = sizes[owner] - place                         # characters left in the unit
+    node, first = np.arange(len(code)) + owner, start + np.arange(n)
+    longest = int(sizes[0])
+    longer = np.searchsorted(-sizes, -np.arange(longest + 2), side="right")     # units of at least that length
+    h, piece, cost = np.zeros(len(code), np.uint64), [None], [None]
+    for width in range(1, min(longest, v.longest) + 1):
+        fits = np.flatnonzero(room >= width)
+        h[fits] = h[fits] * BASE + code[fits + (width - 1)]
+        k, hit = look_up(v.table, h[fits] ^ (np.uint64(width) << np.uint64(58)))
+        piece.append(np.full(len(code), -1, "i4"))
+        piece[width][fits[hit]] = k[hit].astype("i4")
+        cost.append(np.where(piece[width] >= 0, v.score[piece[width]], v.unknown if width == 1 else -np.inf))
+    widths = range(1, len(cost))
+    f, b = np.full(len(code) + n, -np.inf), np.full(len(code) + n, -np.inf)
+    f[first] = b[first + sizes] = 0
+    last = np.zeros(len(code) + n, "i4")
+    for i in range(longest):
+        for width in widths:
+            m = longer[i + width] if i + width <= longest else 0
+            if not m:
+                break
+            to = first[:m] + (i + width)
+            new = f[first[:m] + i] + cost[width][start[:m] + i]
+            better = new > f[to]
+            f[to[better]], last[to[better]] = new[better], width
+    for i in range(longest - 1, -1, -1):
+        for width in widths:
+            m = longer[i + width] if i + width <= longest else 0
+            if not m:
+                break
+            at = first[:m] + i
+            b[at] = np.maximum(b[at], cost[width][start[:m] + i] + b[at + width])
+    on, at = np.zeros(len(code), "i4"), sizes.copy()
+    live = np.arange(n)
+    while len(live):
+        width = last[first[live] + at[live]]
+        at[live] -= width
+        on[start[live] + at[live]] = width
+        live = live[at[live] > 0]
+    second, chosen = np.full(len(code), -np.inf), np.full(len(code), -2, "i4")
+    for width in widths:
+        fits = np.flatnonzero((room >= width) & (on != width))
+        x = node[fits]
+        second[fits] = np.maximum(second[fits], f[x] + cost[width][fits] + b[x + width])
+        used = on == width
+        chosen[used] = piece[width][used]
     where = np.asarray(members)
-    score[where], loss[where] = f[:, size], f[:, size] - second
+    score[where] = f[first + sizes]
+    loss[where] = score[where] - np.maximum.reduceat(second, start)
     taken = chosen != -2
-    counts[where] = taken.sum(axis=1)
-    ends = np.cumsum(counts[where])
-    flat = chosen[taken]
-    for r, at in enumerate(members):
-        ids[at] = flat[ends[r] - counts[at]:ends[r]]
-    for r in np.flatnonzero((chosen == -1).any(axis=1)):        # characters to spell
+    many = np.add.reduceat(taken.astype("i8"), start)
+    counts[where] = many
+    flat, ends = chosen[taken], np.cumsum(many)
+    for at, i, j in zip(members, (ends - many).tolist(), ends.tolist()):
+        ids[at] = flat[i:j]
+    for r in np.unique(owner[chosen == -1]).tolist():   # characters to spell
         out, at = [], members[r]
-        for i in np.flatnonzero(taken[r]):
-            out += v.spell(units[at][i]) if chosen[r, i] < 0 else [int(chosen[r, i])]
+        for i, k in enumerate(chosen[start[r]:start[r] + sizes[r]].tolist()):
+            if k != -2:
+                out += v.spell(units[at][i]) if k < 0 else [k]
         ids[at], counts[at] = np.array(out, "i4"), len(out)
 
 
@@ -243,31 +267,37 @@ class Encoder:
         self.count, self.score, self.loss = np.zeros(0, "i8"), np.zeros(0), np.zeros(0)
         self.best: dict[str, list] = {}
 
-    def _learn(self, words) -> None:
-        new = [w for w in words if w not in self.place]
-        if len(self.place) + len(new) > self.cache_units:
-            self.clear()
-            new = list(words)
-        if new:
-            flat, count, score, loss = solve_units(new, self.v)
-            base = len(self.flat)
-            self.place.update(zip(new, range(len(self.count), len(self.count) + len(new))))
-            self.start = np.concatenate([self.start, base + np.cumsum(count) - count])
-            self.flat = np.concatenate([self.flat, flat])
-            self.count, self.score = np.concatenate([self.count, count]), np.concatenate([self.score, score])
-            self.loss = np.concatenate([self.loss, loss])
+    def _learn(self, new: list[str]) -> None:
+        flat, count, score, loss = solve_units(new, self.v)
+        base = len(self.flat)
+        self.place.update(zip(new, range(len(self.count), len(self.count) + len(new))))
+        self.start = np.concatenate([self.start, base + np.cumsum(count) - count])
+        self.flat = np.concatenate([self.flat, flat])
+        self.count, self.score = np.concatenate([self.count, count]), np.concatenate([self.score, score])
+        self.loss = np.concatenate([self.loss, loss])
 
     def encode(self, texts: list[str]):
         """Per text: piece ids and the N best, each (score, pieces, edits);
         an edit (at, gone, ids) replaces pieces of the best segmentation."""
         cut = [self.v.units.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        self._learn(dict.fromkeys(w for words in cut for w in words))
-        return [self._one(words) for words in cut]
-
-    def _one(self, words: list[str]):
+        get = self.place.get
+        at = [list(map(get, words)) for words in cut]
+        unknown = [i for i, places in enumerate(at) if None in places]
+        if unknown:
+            new = list(dict.fromkeys(w for i in unknown for w, k in zip(cut[i], at[i]) if k is None))
+            if len(self.place) + len(new) > self.cache_units:
+                self.clear()
+                get = self.place.get
+                new, unknown = list(dict.fromkeys(w for words in cut for w in words)), range(len(cut))
+            self._learn(new)
+            for i in unknown:
+                at[i] = list(map(get, cut[i]))
+        return [self._one(words, np.array(places, "i8")) for words, places in zip(cut, at)]
+
+    def _one(self, words: list[str], at: np.ndarray):
+        """One text: its units and their places in the cache."""
         if not words:
             return np.zeros(0, "i4"), [(0.0, 0, [])]
-        at = np.fromiter(map(self.place.__getitem__, words), "i8", len(words))
         count = self.count[at]
         ends = np.cumsum(count)
         total = int(ends[-1])
@@ -325,7 +355,7 @@ def encode(docs: DataFrame, text_col: str = "text", *, model_path: str = MODEL,
         encoder = Encoder(v.value, n)
         for b in batches:
             texts = b.column("__sp_text")
-            sizes = np.maximum(1, np.diff(np.asarray(texts.value_lengths() if False else _offsets(texts))))
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
             first = 0
             while first < b.num_rows:
                 after, held = first, 0
@@ -347,13 +377,6 @@ def encode(docs: DataFrame, text_col: str = "text", *, model_path: str = MODEL,
     return docs.select(*keep, text).mapInArrow(run, f"{ddl}{', ' if ddl else ''}ids array<int>, nbest {NBEST}")
 
 
-def _offsets(column) -> np.ndarray:
-    """Byte offsets of a string column, a cheap measure of its texts."""
-    import pyarrow.compute as pc
-
-    return np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))])
-
-
 def decode_ids(ids, v: Vocabulary) -> str:
     """The text a list of piece ids stands for."""
     out, run = [], bytearray()

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann_tiles, kn_quality, line_runs, mixing, nn_descent, warc_zip, wrapper_html
+from tidemark.llm import ann_tiles, kn_quality, line_runs, mixing, nn_descent, piece_nbest, warc_zip, wrapper_html
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -178,3 +178,12 @@ def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     return kn_quality.classify(docs, labels).select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
+@query
+def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    coded = piece_nbest.decode(piece_nbest.encode(docs))
+    return coded.select(
+        "doc_id", "ids", F.size("ids").alias("n_pieces"), "nbest",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
