@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann_tiles, kn_quality, line_runs, mixing, nn_descent, piece_nbest, warc_zip, wrapper_html
+from tidemark.llm import ann_tiles, kn_quality, line_runs, mixing, ngram_jaccard, nn_descent, piece_nbest, warc_zip, wrapper_html
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -187,3 +187,8 @@ def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(
         "doc_id", "ids", F.size("ids").alias("n_pieces"), "nbest",
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+@query
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
