@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann_tiles, kn_quality, line_runs, mixing, ngram_jaccard, nn_descent, piece_nbest, warc_zip, wrapper_html
+from tidemark.llm import ann_tiles, kn_quality, line_runs, mixing, ngram_jaccard, nn_descent, piece_nbest, suffix_dedup, warc_zip, wrapper_html
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -192,3 +192,9 @@ def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
