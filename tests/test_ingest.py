@@ -92,3 +92,63 @@ def test_e6_missing_date(spark, tmp_path):
     rep = report.first()
     assert clean.count() == 0
     assert not rep.is_valid and rep.invalid_rows == 2 and rep.missing_columns == ["order_date"]
+
+
+@pytest.mark.parametrize("values,days", [
+    (["1/5/2024", "1/6/2024", "12/25/2024"], ["2024-01-05", "2024-01-06", "2024-12-25"]),
+    (["13/01/2024", "2/03/2024"], ["2024-01-13", "2024-03-02"]),
+    (["2024-01-01T10:00:00Z", "2024-01-02T23:59:59Z"], ["2024-01-01", "2024-01-02"]),
+    (["2024-01-01 10:00:00.123", "2024-01-02 10:00:00"], ["2024-01-01", "2024-01-02"]),
+    (["01-Jan-2024", "15-December-2024"], ["2024-01-01", "2024-12-15"]),
+    (["Jan 5, 2024", "Feb 30, 2024"], ["2024-01-05"]),
+    (["01/02/24", "12/31/99"], ["2024-01-02", "1999-12-31"]),
+    (["20240105", "2024-01-06"], ["2024-01-05"]),
+])
+def test_dates_as_users_write_them(spark, values, days):
+    raw = spark.createDataFrame([(1, i, v, "5") for i, v in enumerate(values)],
+                                "dataset_id int, _row int, Date string, Revenue string")
+    clean, report = validate_and_clean(raw)
+    assert [str(r.order_date) for r in clean.orderBy("order_date").collect()] == sorted(days)
+
+
+def test_quoted_fields_and_reserved_headers(spark, tmp_path):
+    p = tmp_path / "jan sales.csv"
+    p.write_text('Date,Product,Revenue,dataset_id,_row\n2024-01-01,"Pro ""X"", big",10,7,a\n'
+                 '2024-01-02,"two\nlines",20,7,b\n')
+    from tidemark.sources.uploads import read_upload_csv
+    clean, report = validate_and_clean(read_upload_csv(spark, str(p), 3))
+    rows = {r["product"]: (r.dataset_id, r.revenue) for r in clean.collect()}
+    assert rows == {'Pro "X", big': (3, 10.0), "two\nlines": (3, 20.0)}
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster():
+    from tidemark.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
+
+
+def test_folder_identity_follows_files_below(spark, tmp_path):
+    from tidemark.session import file_signature
+    folder = tmp_path / "t" / "a=1"
+    folder.mkdir(parents=True)
+    (folder / "x.parquet").write_text("1")
+    before = file_signature(spark, str(tmp_path / "t"))
+    (folder / "x.parquet").write_text("22")
+    assert file_signature(spark, str(tmp_path / "t")) != before

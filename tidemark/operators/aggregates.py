@@ -58,10 +58,9 @@ def breakdown(sales: DataFrame, column: str, keys: Sequence[str] = DEFAULT_KEYS)
                           .groupBy(*keys, F.col(column).cast("string").alias("label"))
                           .agg(F.sum("revenue").alias("revenue"),
                                F.sum("quantity").alias("units")))
-    # one row per dataset (catalogue-sized): broadcast, so a dataset with
-    # many labels is never hash-shuffled onto one reducer to meet its total
+    # one row per key; Spark broadcasts it if it is small
     totals = grouped.groupBy(*keys).agg(F.sum("revenue").alias("_total"))
-    return grouped.join(F.broadcast(totals), keys).select(
+    return grouped.join(totals, keys).select(
         *keys, "label", "revenue", "units",
         F.when(F.col("_total") != 0, round_half_up(F.col("revenue") / F.col("_total") * 100, 2))
         .otherwise(F.lit(0.0)).alias("share_pct"),

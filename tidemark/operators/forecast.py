@@ -129,11 +129,20 @@ def _calendar_row(day: dt.date) -> list[float]:
 
 def _recursive_group(series_keys: list[str], horizon: int):
     def run(hist: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-        cols = series_keys + ["step", "target_date", "predicted_revenue"]
-        if hist.empty or nodes.empty:
+        cols = series_keys + ["step", "target_date", "predicted_revenue", "error"]
+        if hist.empty:
             return pd.DataFrame(columns=cols)
+        out, groups = [], []
+        for key, g in hist.sort_values("order_date").groupby(series_keys, sort=False, dropna=False):
+            why = ("the model has no stored nodes" if nodes.empty else
+                   f"fewer than {HISTORY} days of history" if g["n_days"].iloc[0] < HISTORY else None)
+            if why is None:
+                groups.append((key, g))
+            else:
+                out.append((*(key if isinstance(key, tuple) else (key,)), None, None, None, why))
+        if not groups:
+            return pd.DataFrame(out, columns=cols)
         model = _compile(nodes)
-        groups = list(hist.sort_values("order_date").groupby(series_keys, sort=False))
         s = len(groups)
         buf = np.zeros((s, HISTORY + horizon))
         n_days = np.zeros(s, dtype=np.int64)
@@ -146,7 +155,6 @@ def _recursive_group(series_keys: list[str], horizon: int):
             e = g["_extra"].iloc[0]
             extra.append([] if e is None else list(e))
         extra = np.asarray(extra, dtype=np.float64).reshape(s, -1)
-        out = []
         for h in range(1, horizon + 1):
             pos = HISTORY + h - 1                       # column being predicted
             rows = []
@@ -164,7 +172,7 @@ def _recursive_group(series_keys: list[str], horizon: int):
             buf[:, pos] = y
             for i, (key, _) in enumerate(groups):
                 key = key if isinstance(key, tuple) else (key,)
-                out.append((*key, h, last[i] + dt.timedelta(days=h), float(y[i])))
+                out.append((*key, h, last[i] + dt.timedelta(days=h), float(y[i]), None))
         return pd.DataFrame(out, columns=cols)
     return run
 
@@ -172,7 +180,8 @@ def _recursive_group(series_keys: list[str], horizon: int):
 def recursive_forecast(daily: DataFrame, nodes: DataFrame, series_keys: Sequence[str],
                        horizon: int = DEFAULT_HORIZON, salt: int = 1) -> DataFrame:
     """FCT2: ``horizon`` days per series, each step fed the previous
-    predictions (clipped at 0).
+    predictions (clipped at 0); a series with too short a history, or whose
+    model has no nodes, gives one row with ``error`` and nothing else.
 
     ``daily`` is gap-free per series and carries ``_model`` (the series'
     model folder) and ``_extra`` (features appended after the fixed 22, e.g.
@@ -195,7 +204,7 @@ def recursive_forecast(daily: DataFrame, nodes: DataFrame, series_keys: Sequence
                                                             F.lit(max(salt, 1) - 1).cast("bigint"))))
     schema_fields = ", ".join(f"`{k}` {hist.schema[k].dataType.simpleString()}"
                               for k in series_keys)
-    schema = f"{schema_fields}, step int, target_date date, predicted_revenue double"
+    schema = f"{schema_fields}, step int, target_date date, predicted_revenue double, error string"
     fn = _recursive_group(series_keys, horizon)
     return (hist.groupBy("_model", "_salt")
             .cogroup(nodes.groupBy("_model", "_salt"))
@@ -208,7 +217,7 @@ def tree_band(forecast: DataFrame, models: DataFrame, series_keys: Sequence[str]
     sample std of the series' predictions, else 1.0; lower bound clipped at
     0; confidence from the model's MAPE."""
     series_keys = list(series_keys)
-    f = forecast.join(F.broadcast(models.select(*model_keys, "rmse", "mape")),
+    f = forecast.join(models.select(*model_keys, "rmse", "mape"),
                       list(model_keys), "left")                 # one row per model
     sd = F.stddev_samp("predicted_revenue").over(Window.partitionBy(*series_keys))
     f = f.withColumn("_sd", sd)
@@ -222,6 +231,7 @@ def tree_band(forecast: DataFrame, models: DataFrame, series_keys: Sequence[str]
         F.greatest(F.col("predicted_revenue") - band, F.lit(0.0)).alias("lower_bound"),
         (F.col("predicted_revenue") + band).alias("upper_bound"),
         confidence_from_mape("mape").alias("confidence_score"),
+        *(["error"] if "error" in forecast.columns else []),
     )
 
 
@@ -245,7 +255,7 @@ def additive_forecast(daily: DataFrame, models: DataFrame, series_keys: Sequence
                       F.col("mape").alias("_mape"))
     bounds = daily.groupBy(*series_keys).agg(F.max("order_date").alias("_last"),
                                             F.count(F.lit(1)).alias("_n"))
-    fut = bounds.join(F.broadcast(m), model_keys).select(      # one row per model
+    fut = bounds.join(m, model_keys).select(      # one row per model
         *series_keys, "_n", "_p", "_mape",
         F.posexplode(F.sequence(F.date_add("_last", 1), F.date_add("_last", horizon)))
         .alias("_i", "target_date"))
@@ -281,6 +291,7 @@ def response_points(forecast: DataFrame, keys: Sequence[str]) -> DataFrame:
         round_half_up(F.coalesce(lower, p), 2).alias("lower_bound"),
         round_half_up(F.coalesce(upper, p), 2).alias("upper_bound"),
         F.coalesce(conf, F.lit(0.5)).alias("confidence_score"),
+        *(["error"] if "error" in cols else []),
     )
 
 
@@ -291,6 +302,8 @@ def prediction_records(forecast: DataFrame, model_id: Column | str,
     mid = F.col(model_id) if isinstance(model_id, str) else model_id
     created = created_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     p = F.col("predicted_revenue")
+    if "error" in forecast.columns:
+        forecast = forecast.where(F.col("error").isNull())
     return forecast.select(
         mid.alias("model_id"), "target_date", "predicted_revenue",
         F.coalesce(F.col("lower_bound"), p).alias("lower_bound"),

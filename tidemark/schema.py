@@ -38,7 +38,6 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "nan", "null"]
 
 DATASET_STATUSES = ["uploaded", "validating", "valid", "invalid", "processed"]
-MODEL_STATUSES = ["training", "ready", "failed", "archived"]
 ACTIVITY_ACTIONS = ["register", "login", "dataset_upload", "model_train", "forecast_predict"]
 
 AVAILABLE_ALGORITHMS = ["gradient_boosting", "random_forest", "xgboost", "lightgbm", "prophet"]
@@ -105,22 +104,6 @@ DATASET_SCHEMA = T.StructType([
     T.StructField("uploaded_at", T.TimestampType(), True),
 ])
 
-MODEL_SCHEMA = T.StructType([
-    T.StructField("model_id", T.StringType(), False),
-    T.StructField("dataset_id", T.LongType(), False),
-    T.StructField("algorithm", T.StringType(), False),
-    T.StructField("version", T.StringType(), False),
-    T.StructField("file_path", T.StringType(), True),
-    T.StructField("status", T.StringType(), False),
-    T.StructField("mae", T.DoubleType(), True),
-    T.StructField("rmse", T.DoubleType(), True),
-    T.StructField("mape", T.DoubleType(), True),
-    T.StructField("r2", T.DoubleType(), True),
-    T.StructField("hyperparameters", T.StringType(), True),
-    T.StructField("is_active", T.BooleanType(), False),
-    T.StructField("trained_at", T.TimestampType(), False),
-])
-
 PREDICTION_SCHEMA = T.StructType([
     T.StructField("model_id", T.StringType(), False),
     T.StructField("target_date", T.DateType(), False),
@@ -129,7 +112,7 @@ PREDICTION_SCHEMA = T.StructType([
     T.StructField("upper_bound", T.DoubleType(), True),
     T.StructField("confidence_score", T.DoubleType(), True),
     T.StructField("segment", T.StringType(), True),
-    T.StructField("created_at", T.TimestampType(), True),
+    T.StructField("created_at", T.TimestampNTZType(), True),
 ])
 
 ACTIVITY_SCHEMA = T.StructType([

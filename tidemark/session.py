@@ -8,7 +8,9 @@ for local runs and tests.  ``ensure_checkpoint_dir`` never overrides a
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -51,8 +53,9 @@ def build_session(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only when
-    the session names none (local runs and tests)."""
+    """Return the shared checkpoint folder.  Where the session names none, a
+    temporary one is made for a local master only: on a cluster each machine
+    would write to its own disk, so that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -61,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("no shared folder: set spark.checkpoint.dir to one that all executors see")
         named = tempfile.mkdtemp(prefix="tidemark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", named)
     sc.setCheckpointDir(named)
@@ -80,12 +85,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def file_signature(spark: SparkSession, path: str) -> tuple:
-    """(path, length, modification time) of a file or folder, any scheme."""
+    """Identity of a file, or of every file below a folder (a table folder's
+    own status need not change with its contents), any scheme."""
     fs, hpath = _fs_and_path(spark, path)
     if not fs.exists(hpath):
-        return (path, None, None)
-    st = fs.getFileStatus(hpath)
-    return (path, int(st.getLen()), int(st.getModificationTime()))
+        return (path, None)
+    found, it = [], fs.listFiles(hpath, True)
+    while it.hasNext():
+        st = it.next()
+        found.append((st.getPath().toString(), int(st.getLen()), int(st.getModificationTime())))
+    return (path, tuple(sorted(found)))
 
 
 def has_data_files(spark: SparkSession, path: str, suffix: str = ".parquet") -> bool:
@@ -117,3 +126,12 @@ def materialize(df):
     re-reads the checkpoint instead of recomputing the scan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_once(df, name: str):
+    """``df`` as Parquet in the shared folder, read back with its own schema:
+    for rows that several passes of a job need parsed, columns pruned."""
+    spark = df.sparkSession
+    path = shared_path(spark, name, uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

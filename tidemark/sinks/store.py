@@ -1,8 +1,7 @@
 """Append-only tables in a shared folder (SNK1-SNK7, SRC3-SRC5).
 
 Every table is Parquet; facts are partitioned by ``dataset_id`` so reads by
-dataset prune partitions (SRC3) and a delete rewrites only the touched
-partitions (dynamic partition overwrite).  Writes are idempotent per batch:
+dataset prune partitions (SRC3) and a delete drops only those folders.  Writes are idempotent per batch:
 the sales of a dataset are written with partition overwrite, so a retried
 batch replaces rather than duplicates its rows.
 """
@@ -50,12 +49,12 @@ class Store:
         return has_data_files(self.spark, self.path(table))
 
     def read(self, table: str, schema=None) -> DataFrame:
+        """The table with its declared types: keys that became folder names
+        are not guessed anew, and an empty table has the same types."""
+        schema = schema or TABLE_SCHEMAS[table]
         if not self.exists(table):
-            schema = schema or TABLE_SCHEMAS.get(table)
-            if schema is None:
-                raise FileNotFoundError(self.path(table))
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(self.path(table))
+        return self.spark.read.schema(schema).parquet(self.path(table))
 
     # --- sales -------------------------------------------------------------
     def append_sales(self, clean: DataFrame) -> None:
@@ -80,12 +79,14 @@ class Store:
 
     # --- catalogue ---------------------------------------------------------
     def register_dataset(self, rows: DataFrame) -> None:
-        """SNK1/SNK2: append catalogue rows (status processed / invalid)."""
+        """SNK1/SNK2: one catalogue row per dataset (status processed /
+        invalid); a replayed upload replaces its row."""
         bad = rows.where(~F.col("status").isin(DATASET_STATUSES)).limit(1).count()
         if bad:
             raise ValueError("unknown dataset status")
-        rows.select(*[f.name for f in DATASET_SCHEMA.fields]).write.mode("append").parquet(
-            self.path("datasets"))
+        (rows.select(*[f.name for f in DATASET_SCHEMA.fields]).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic")
+         .partitionBy("dataset_id").parquet(self.path("datasets")))
 
     def datasets(self) -> DataFrame:
         return self.read("datasets", DATASET_SCHEMA)
@@ -122,41 +123,57 @@ class Store:
 
     # --- delete ------------------------------------------------------------
     def delete_datasets(self, ids: DataFrame) -> None:
-        """SNK7: drop datasets with their sales, models and predictions.
-        Each child table is rewritten through a left-anti join against the
-        deleted ids (predictions reached through their models)."""
+        """SNK7: drop datasets with their sales, catalogue rows, models,
+        predictions and uploaded files.  Sales, catalogue and predictions are
+        partitioned by dataset or model, so only those folders go and no other
+        file is touched; children go before the catalogue row, so a delete
+        that was cut short can be repeated.  Models hold one row per run and
+        are rewritten beside the old table, which is dropped last."""
         ids = ids.select("dataset_id").distinct()
+        gone = [r["dataset_id"] for r in ids.collect()]          # one row per deleted dataset
         if self.exists("models"):
-            gone_models = self.models().join(ids, "dataset_id", "left_semi").select("model_id")
-            if self.exists("predictions"):
-                kept = cascade_delete(self.predictions(), gone_models, ["model_id"])
-                _rewrite(kept, self.path("predictions"), ["model_id"])
-            _rewrite(cascade_delete(self.models(), ids), self.path("models"))
-        if self.exists("sales"):
-            _rewrite(cascade_delete(self.read("sales"), ids), self.path("sales"), ["dataset_id"])
+            models = self.models()
+            own = models.join(ids, "dataset_id", "left_semi")
+            names = [r["model_id"] for r in own.select("model_id").distinct().collect()]
+            self._drop_partitions("predictions", "model_id", names)
+            _rewrite(cascade_delete(models, ids), self.path("models"))
+        self._drop_partitions("sales", "dataset_id", gone)
         if self.exists("datasets"):
-            _rewrite(cascade_delete(self.datasets(), ids), self.path("datasets"))
+            files = self.datasets().join(ids, "dataset_id", "left_semi").select("file_path").collect()
+            for r in files:
+                if r["file_path"]:
+                    _remove(self.spark, r["file_path"])
+            self._drop_partitions("datasets", "dataset_id", gone)
+
+    def _drop_partitions(self, table: str, key: str, values: Sequence) -> None:
+        jvm = self.spark._jvm
+        escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for v in values:
+            _remove(self.spark, f"{self.path(table)}/{key}={escape(str(v))}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cascade_delete(child: DataFrame, deleted: DataFrame, keys: Sequence[str] = ("dataset_id",)
                    ) -> DataFrame:
     """JON4: rows of ``child`` whose parent was not deleted (left anti join).
-    The deleted side is a list of catalogue ids (one row per dataset or
-    model), so it is broadcast and the child is never shuffled by a key
-    that may hold a third of its rows."""
-    return child.join(F.broadcast(deleted.select(*keys).distinct()), list(keys), "left_anti")
-
-
-def _rewrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Materialise to a sibling folder, then swap it in (a table cannot be
-    overwritten while it is being read)."""
-    tmp = path + ".rewrite"
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(tmp)
+    Spark broadcasts the id list if it is small and splits skewed keys
+    otherwise."""
+    return child.join(deleted.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def _rewrite(df: DataFrame, path: str) -> None:
+    """Written to a sibling folder, then swapped in: the old table is renamed
+    away first and removed last, so one whole copy exists at any moment."""
     spark = df.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(fs_path, True)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(tmp), fs_path)
+    df.write.mode("overwrite").parquet(path + ".rewrite")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = hadoop.Path(path + ".old")
+    fs.delete(old, True)
+    fs.rename(hadoop.Path(path), old)
+    fs.rename(hadoop.Path(path + ".rewrite"), hadoop.Path(path))
+    fs.delete(old, True)

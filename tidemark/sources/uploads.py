@@ -32,13 +32,20 @@ def check_extension(path: str) -> str:
     return path
 
 
+RESERVED = ("dataset_id", "_row")
+
+
 def read_upload_csv(spark: SparkSession, path: str, dataset_id) -> DataFrame:
     """SRC1: one upload file as all-string columns + ``dataset_id`` +
-    file-order ``_row``."""
+    file-order ``_row``.  Quotes inside quoted fields are doubled and quoted
+    fields may hold line breaks; a header that equals an internal name gets
+    the suffix ``__src``."""
     check_extension(path)
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    df = (spark.read.option("header", True).option("inferSchema", False)
+          .option("escape", '"').option("multiLine", True).csv(path))
+    named = [F.col(f"`{c}`").alias(f"{c}__src" if c.lower() in RESERVED else c) for c in df.columns]
     return df.select(F.lit(dataset_id).alias("dataset_id"),
-                     F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`") for c in df.columns])
+                     F.monotonically_increasing_id().alias("_row"), *named)
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,7 +74,7 @@ def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SALES_TABLES: dict = {}
 
 
-def _snapshot(spark: SparkSession, sf_dir: str, names) -> tuple:
+def snapshot(spark: SparkSession, sf_dir: str, names) -> tuple:
     """Identity of the source files (path, size, mtime) through Hadoop's
     FileSystem: a changed table gets a fresh derived table, not a stale one."""
     from tidemark.session import file_signature
@@ -91,7 +91,7 @@ def stored_table(spark: SparkSession, sf_dir: str, name: str, build, sources=ORD
     from tidemark.session import path_exists, shared_path  # local: avoids an import cycle
 
     key = (name, spark.sparkContext.applicationId, sf_dir.rstrip("/"),
-           _snapshot(spark, sf_dir, sources))
+           snapshot(spark, sf_dir, sources))
     path = _SALES_TABLES.get(key)
     if path is None or not path_exists(spark, path.rstrip("/") + "/_SUCCESS"):
         path = shared_path(spark, name, f"{abs(hash(key)):x}")

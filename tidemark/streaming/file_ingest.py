@@ -1,8 +1,8 @@
 """File-arrival ingest on Structured Streaming (SRC6).
 
 The stream watches a landing folder; its checkpoint records which files
-were taken, so each upload is processed exactly once even across restarts
-or lost executors.  Every file is its own dataset with its own header
+were taken, so each upload is taken once; a batch that is replayed after a
+failure replaces the rows and the catalogue entry it wrote before.  Every file is its own dataset with its own header
 layout, so ``foreachBatch`` takes the micro-batch's file paths (names only)
 and runs the batch ingest per file: distributed CSV read (all text), header
 mapping, one lazy cleaning chain, report aggregate, partition-overwrite
@@ -15,29 +15,51 @@ from __future__ import annotations
 
 import datetime as dt
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.activity import report_to_json
 from tidemark.operators.ingest import validate_and_clean
+from tidemark.schema import REPORT_SCHEMA
 from tidemark.sinks.store import Store
 from tidemark.sources.uploads import read_upload_csv
 
 
+ARRIVAL = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def dataset_id_for(path_col) -> F.Column:
     """Stable id from the file path: a retried batch gets the same id."""
     return F.pmod(F.xxhash64(path_col), F.lit(2**62))
 
 
+def _refused(spark: SparkSession, ds_id: int, why: str) -> DataFrame:
+    """The report of an upload that holds no readable rows."""
+    row = (ds_id, False, 0, 0, 0, [], {}, [], [why])
+    schema = T.StructType([T.StructField("dataset_id", T.LongType()), *REPORT_SCHEMA.fields])
+    return spark.createDataFrame([row], schema)
+
+
 def ingest_file(spark: SparkSession, path: str, store: Store, owner_id: int = 1,
                 match: str = "substring", date_mode: str = "first_format") -> DataFrame:
-    """One upload: validate, store rows (if valid) and catalogue it."""
+    """One upload: validate, store rows (if valid) and catalogue it.  A file
+    that is empty or cannot be read becomes an INVALID dataset whose report
+    says why; it never stops the uploads after it."""
     ds_id = spark.range(1).select(dataset_id_for(F.lit(path)).alias("id")).first()["id"]
-    raw = read_upload_csv(spark, path, ds_id)
-    clean, report = validate_and_clean(raw, match=match, date_mode=date_mode)
-    report = report.cache()
+    clean, report = None, None
     try:
+        raw = read_upload_csv(spark, path, ds_id)
+        clean, report = validate_and_clean(raw, match=match, date_mode=date_mode)
+        report = report.cache()
         rep = report.select("is_valid", "valid_rows").first()
+        if rep is None:
+            report = _refused(spark, ds_id, "The file holds no data rows.")
+    except (AnalysisException, Py4JJavaError, ValueError) as exc:
+        report, rep = _refused(spark, ds_id, f"The file could not be read: {exc}"), None
+    try:
         valid = bool(rep and rep["is_valid"])
         if valid:
             store.append_sales(clean)
@@ -59,19 +81,37 @@ def ingest_file(spark: SparkSession, path: str, store: Store, owner_id: int = 1,
 
 
 def start_file_ingest(spark: SparkSession, landing_dir: str, store: Store, checkpoint: str,
-                      owner_id: int = 1, available_now: bool = True):
+                      owner_id: int = 1, available_now: bool = True, files_per_trigger: int = 100):
     """Start the stream; with ``available_now`` it drains what is there and
-    stops (batch-style scheduling), otherwise it keeps watching."""
-    arrivals = (spark.readStream.format("text")
-                .option("maxFilesPerTrigger", 1)
+    stops (batch-style scheduling), otherwise it keeps watching.  Arrivals are
+    listed by path alone (no content is read), so empty files are seen too."""
+    arrivals = (spark.readStream.format("binaryFile").schema(ARRIVAL)
+                .option("maxFilesPerTrigger", files_per_trigger)
                 .option("pathGlobFilter", "*.csv")
-                .load(landing_dir)
-                .select(F.col("_metadata.file_path").alias("path")))
+                .load(landing_dir).select("path"))
+
+    # Spark's file sources pass over files of no length: they are looked up
+    # by name when the stream starts and with every batch.
+    def empty_files() -> None:
+        known = store.datasets().select("file_path")
+        for path in _empty_uploads(spark, landing_dir):
+            if not known.where(F.col("file_path") == path).limit(1).count():
+                ingest_file(spark, path, store, owner_id)
 
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
         for row in batch.select("path").distinct().collect():   # file names only
             ingest_file(spark, row["path"], store, owner_id)
+        empty_files()
 
+    empty_files()
     writer = arrivals.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
+
+
+def _empty_uploads(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the CSV files of no length in a landing folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().toString() for f in fs.listStatus(path)
+            if f.isFile() and f.getLen() == 0 and f.getPath().getName().lower().endswith(".csv")]
