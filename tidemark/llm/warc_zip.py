@@ -118,7 +118,7 @@ def stored_members(f) -> list[tuple[str, int, int]]:
     tail_at = max(0, total - 22 - FULL16)       # the end record and its comment
     tail = read_range(f, tail_at, total - tail_at)
     at = tail.rfind(END)
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and tail[at + 20:at + 22] != struct.pack("<H", max(0, len(tail) - at - 22)):
         at = tail.rfind(END, 0, at)             # the mark may stand in the comment
     if at < 0:
         raise ValueError("no end record: not a ZIP archive")
