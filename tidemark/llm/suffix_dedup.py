@@ -15,9 +15,10 @@ one record stands for a run of windows.
   pass 2  records of the other anchors - the run's bytes - are sorted by
           anchor, document and place, and inside a group the digit is the
           rest of the window: a window seen before in this order is a repeat.
-          An anchor with over ``HOT`` records has its windows dealt one by
-          one instead (partial min aggregates, then a join), so that no group
-          is held whole.
+          An anchor with over ``HOT`` records takes its last digits at once:
+          each of its windows is a record of its own under the hash of the
+          whole window, so the group is dealt over all tasks and no task
+          holds more of a group than its different windows.
 
 Repeated windows become byte intervals, which are merged per document.
 
@@ -41,9 +42,9 @@ from tidemark.llm.ngram_jaccard import BASE, INVERSE, mixed
 
 DEPTH = 100
 ANCHOR = 32
-HOT = 1 << 16
+HOT = 1 << 19
 BROADCAST_KEYS = 4_000_000
-STRIP = 2 << 20                 # bytes hashed at once; at most 2 ** PLACE_BITS
+STRIP = 1 << 20                 # bytes hashed at once; at most 2 ** PLACE_BITS
 PLACE_BITS = 22
 
 
@@ -153,14 +154,16 @@ def _keep(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[at] == keys
 
 
-def window_records(docs: DataFrame, repeated: DataFrame, depth: int, anchor: int, broadcast_keys: int) -> DataFrame:
+def window_records(docs: DataFrame, repeated: DataFrame, depth: int, anchor: int, hot: int, broadcast_keys: int) -> DataFrame:
     """One record per window run of a repeated anchor: its anchor's key, the
     document, the first window's start, how far before the anchor that is, and
-    the run's bytes."""
+    the run's bytes; for an anchor with over ``hot`` records one record per
+    window, under the window's hash and without bytes."""
     keys = None
     if repeated.count() <= broadcast_keys:
-        wanted = np.sort(repeated.select("key").toArrow().column("key").to_numpy().view("u8"))
-        keys = docs.sparkSession.sparkContext.broadcast(wanted)
+        got = repeated.toArrow()
+        wanted, often = got.column("key").to_numpy().view("u8"), got.column("n").to_numpy() > hot
+        keys = docs.sparkSession.sparkContext.broadcast((np.sort(wanted), np.sort(wanted[often])))
         source = docs.select("id", "text")
     else:
         # too many keys to send around: each document is joined with its own
@@ -177,25 +180,44 @@ def window_records(docs: DataFrame, repeated: DataFrame, depth: int, anchor: int
                          pa.array([hashes[r] for r in rows], pa.int64())], ["key", "id", "row"])
 
         lists = (docs.select("id", "text").mapInArrow(own, "key long, id long, row long")
-                 .join(repeated.select("key"), "key", "left_semi")
-                 .groupBy("id", "row").agg(F.collect_set("key").alias("keys")))
-        source = with_row(docs.select("id", "text")).join(lists, ["id", "row"]).select("id", "text", "keys")
+                 .join(repeated, "key").groupBy("id", "row").agg(
+                     F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("n") > hot, F.col("key"))).alias("often")))
+        source = with_row(docs.select("id", "text")).join(lists, ["id", "row"]).select("id", "text", "keys", "often")
+
+    def single(parts, ids, texts, who, key, place):
+        rows = np.array([p[0] for p in parts])[who]
+        hashes = {r: _row_hash(texts[r]) for r in set(rows.tolist())}
+        place = place + np.array([p[1] for p in parts])[who]
+        for i in range(0, len(key), 1 << 15):
+            part = slice(i, i + (1 << 15))
+            here = rows[part].tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[part].view("i8")), pa.array([ids[r] for r in here], pa.int64()),
+                 pa.array([hashes[r] for r in here], pa.int64()), pa.array(place[part].astype("i8")),
+                 pa.array(np.zeros(len(here), "i4")), pa.array([b""] * len(here), pa.binary())],
+                ["key", "id", "row", "start", "lead", "body"])
 
     def records(batches):
         roller = Roller()
         for b in batches:
             ids, texts = b.column("id").to_pylist(), b.column("text").to_pylist()
-            lists = None if keys is not None else b.column("keys")
+            lists = None if keys is not None else (b.column("keys"), b.column("often"))
             for parts in pieces(b.column("text"), depth):
                 data, owner, start, many, place, key, begin = anchored(parts, roller, depth, anchor)
                 if lists is None:
-                    keep = _keep(key, keys.value)
+                    keep, often = _keep(key, keys.value[0]), _keep(key, keys.value[1])
                 else:
-                    keep = np.zeros(len(key), bool)
+                    keep, often = np.zeros(len(key), bool), np.zeros(len(key), bool)
                     for o in range(len(parts)):
                         here = owner == o
-                        mine = np.sort(lists[parts[o][0]].values.to_numpy().view("u8"))
-                        keep[here] = _keep(key[here], mine)
+                        for got, column in ((keep, lists[0]), (often, lists[1])):
+                            got[here] = _keep(key[here], np.sort(column[parts[o][0]].values.to_numpy().view("u8")))
+                if often.any():         # their windows one by one
+                    n = many[often]
+                    one = np.repeat(start[often] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    who = np.repeat(owner[often], n)
+                    yield from single(parts, ids, texts, who, roller.at(roller.sums(data), one, depth), one - begin[who])
+                keep &= ~often
                 owner, start, many, place, key = (x[keep] for x in (owner, start, many, place, key))
                 if not len(key):
                     continue
@@ -226,11 +248,16 @@ def with_row(docs: DataFrame) -> DataFrame:
 
 
 def _windows(bodies: list[bytes], roller: Roller, depth: int):
-    """Hashes of all windows of the records, and their record."""
+    """Hashes of all windows of the records, and their record; a record
+    without bytes is one window, told by its key alone."""
     data = np.frombuffer(b"".join(bodies), np.uint8)
-    many = np.array([len(x) for x in bodies]) - depth + 1
+    size = np.array([len(x) for x in bodies])
+    many = np.maximum(size - depth + 1, 1)
     record = np.repeat(np.arange(len(bodies)), many)
-    return roller.at(roller.sums(data), np.arange(len(record)) + record * (depth - 1), depth), record, many
+    place = np.arange(len(record)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.cumsum(size) - size, many)
+    h, real = np.zeros(len(record), np.uint64), (size > 0)[record]
+    h[real] = roller.at(roller.sums(data), place[real], depth)
+    return h, record, many
 
 
 def repeats(records: DataFrame, depth: int) -> DataFrame:
@@ -281,27 +308,6 @@ def repeats(records: DataFrame, depth: int) -> DataFrame:
     return records.mapInArrow(scan, "id long, row long, start long, length long")
 
 
-def hot_repeats(records: DataFrame, depth: int) -> DataFrame:
-    """The same for records of very frequent anchors, window by window."""
-
-    def windows(batches):
-        roller = Roller()
-        for b in batches:
-            for i in range(0, b.num_rows, 1 << 13):
-                part = b.slice(i, 1 << 13)
-                key, ids, row, start = (part.column(c).to_numpy() for c in ("key", "id", "row", "start"))
-                h, record, many = _windows(part.column("body").to_pylist(), roller, depth)
-                place = start[record] + np.arange(len(h)) - (np.cumsum(many) - many)[record]
-                h = mixed(h ^ key.view("u8")[record])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view("i8")), pa.array(ids[record]), pa.array(row[record]),
-                                                  pa.array(place)], ["h", "id", "row", "start"])
-
-    all_windows = records.mapInArrow(windows, "h long, id long, row long, start long")
-    first = all_windows.groupBy("h").agg(F.min(F.struct("id", "row", "start")).alias("first"))
-    return (all_windows.join(first, "h").where(F.struct("id", "row", "start") != F.col("first"))
-            .select("id", "row", "start", F.lit(depth).cast("long").alias("length")).distinct())
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, depth: int = DEPTH,
                    anchor: int = ANCHOR, hot: int = HOT, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept binary)`` of every row."""
@@ -309,18 +315,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchor = min(anchor, depth)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
     repeated = stored(anchor_counts(base, depth, anchor), "suffix-keys")
-    records = window_records(base, repeated, depth, anchor, broadcast_keys)
-    frequent = repeated.where(F.col("n") > hot).select("key")
-    found = None
-    if frequent.limit(1).count():
-        records = stored(records, "suffix-records")
-        found = hot_repeats(records.join(frequent, "key", "left_semi"), depth)
-        records = records.join(frequent, "key", "left_anti")
+    records = window_records(base, repeated, depth, anchor, hot, broadcast_keys)
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = records.repartition(width, "key").sortWithinPartitions("key", "id", "row", "start")
-    spans = repeats(ordered, depth)
-    spans = spans if found is None else spans.unionByName(found)
-    lists = spans.groupBy("id", "row").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    lists = repeats(ordered, depth).groupBy("id", "row").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     full = with_row(base).join(lists, ["id", "row"], "left").select("id", "text", "spans")
 
     def cut(batches):
