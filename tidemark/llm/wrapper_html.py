@@ -32,6 +32,9 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.common import stored
+
+BROADCAST_HOSTS = 100_000
 GROUP_PAGES = 96            # pages aligned with one seed, on average at most
 SUPPORT = 8                 # different pages a template text must stand in
 ALIGN_DEPTH = 64
@@ -301,15 +304,18 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                         F.coalesce(F.col(html_col), F.lit("")).alias("html"), host_of(F.col(url_col)).alias("host"))
     large = rows.groupBy("host").count().where(F.col("count") > group_pages).select(
         "host", F.ceil(F.col("count") / group_pages).cast("int").alias("parts"))
-    # one row per large host; Spark broadcasts it only if it is small
-    rows = rows.join(large, "host", "left")
+    # one row per large host, so that pages are not dealt by host to be counted
+    large = stored(large, "large-hosts")
+    rows = rows.join(F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large, "host", "left")
     part = F.coalesce(F.pmod(F.xxhash64("page_id", F.xxhash64("html")), F.col("parts")), F.lit(0))
+    # one key of both: a dealing by host alone would serve a group of two columns
+    group = F.concat_ws("\u0001", part.cast("string"), "host")
 
     def extract(t: pa.Table) -> pa.Table:
         texts = extract_group(t.column("html").to_pylist())
         return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(texts, pa.string())})
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    out = rows.select("host", part.alias("part"), "page_id", "url", "html").groupBy("host", "part").applyInArrow(
+    out = rows.select(group.alias("group"), "page_id", "url", "html").groupBy("group").applyInArrow(
         extract, f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
