@@ -45,11 +45,11 @@ from tidemark.llm.common import LAST_ID, connected_components, stored
 
 WORDS = 4
 PERCENT = 85
-HOT_SHARE = 0.001
-SMALL = 16                      # members up to which a region gives pairs
+HOT_SHARE = 0.0002
+SMALL = 64                      # members up to which a region gives pairs
 TILE = 1024                     # members of one side of a tile
 BROADCAST_IDS = 1_000_000
-STRIP = 4 << 20                 # bytes of text hashed at once
+STRIP = 2 << 20                 # bytes of text hashed at once
 BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
@@ -146,14 +146,14 @@ def hot_grams(text: DataFrame, words: int, share: float) -> tuple[np.ndarray, np
                     (keys, counts), held = merge(), []
         if docs:
             keys, counts = merge()
-            often = counts >= max(3, int(docs * share))
+            often = counts >= max(2, int(docs * share))
             for i in range(0, int(often.sum()), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[often][i:i + (1 << 16)].view("i8")),
                                                   pa.array(counts[often][i:i + (1 << 16)])], ["gram", "n"])
 
     n_docs = text.count()
     seen = text.mapInArrow(local, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    got = seen.where(F.col("n") >= max(8, int(n_docs * share / 2))).toArrow()
+    got = seen.where(F.col("n") >= max(4, int(n_docs * share / 2))).toArrow()
     gram, n = got.column("gram").to_numpy().view("u8"), got.column("n").to_numpy()
     order = np.argsort(gram)
     return gram[order], n[order]
@@ -204,21 +204,18 @@ def document_rows(docs: DataFrame, hot, words: int, percent: int, seed: int) ->
     return stored(docs.mapInArrow(rows, ROWS), "jaccard-rows")
 
 
-def _first_pairs(regions: DataFrame, percent: int, hot) -> DataFrame:
+def _first_pairs(regions: DataFrame, percent: int) -> DataFrame:
     """From region rows sorted by n-gram: pairs to compare (``kind`` 0) and
     the rows of large regions (``kind`` 1: n-gram, node)."""
-    held = regions.sparkSession.sparkContext.broadcast(hot[0])
 
     def scan(batches):
-        hot_gram = held.value
         carry: list[np.ndarray] = [np.zeros(0, "i8")] * 3
         leader = None                   # (n-gram, node, size) of the large region that goes on
 
         def run(g, node, size, place, whole):
             """One region, or a part of a large one."""
             nonlocal leader
-            often = len(hot_gram) and hot_gram[min(np.searchsorted(hot_gram, np.int64(g).view("u8")), len(hot_gram) - 1)] == np.int64(g).view("u8")
-            if whole and leader is None and not often:
+            if whole and leader is None:
                 if len(node) <= SMALL:
                     i, j = np.triu_indices(len(node), 1)
                     need = -(-percent * (size[i] + size[j]) // (100 + percent))
@@ -276,8 +273,7 @@ def _first_pairs(regions: DataFrame, percent: int, hot) -> DataFrame:
 
 def node_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, seed: int) -> DataFrame:
     """``(node, grams)`` of ``nodes(node)``, from one document of each."""
-    wanted = stored(rows.join(nodes, "node").groupBy("node").agg(F.min("id").alias("id")), "jaccard-wanted")
-    ids = wanted.select("id").distinct()
+    ids = stored(rows.join(nodes, "node").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct(), "jaccard-wanted")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
 
@@ -290,8 +286,9 @@ def node_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, se
                     [pa.array([_node(x, seed)[0] for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())],
                     ["node", "grams"])
 
-    found = docs.join(ids, "id", "left_semi").mapInArrow(sets, "node long, grams binary")
-    return stored(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
+    # ids that repeat bring other nodes along, which no pair asks for, or a
+    # node twice, which gives a pair twice
+    return stored(docs.join(ids, "id", "left_semi").mapInArrow(sets, "node long, grams binary"), "jaccard-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -319,7 +316,7 @@ def _tile_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     shape = shape.where("c > 1").select(
         "g", F.col("main.comp").alias("main"), F.ceil(F.col("k") / TILE).cast("int").alias("across"),
         F.ceil((F.col("k") - F.col("main.k")) / TILE).cast("int").alias("down"))
-    open_ = members.join(shape, "g").join(sets, "node")
+    open_ = members.join(shape, "g").join(sets.dropDuplicates(["node"]), "node")
     slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = open_.where("comp <> main").select("g", slot("down").alias("i"), each("across").alias("j"), "node", "comp", "grams")
@@ -392,7 +389,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "node", "n", F.posexplode("window").alias("at", "g")).select(
         "g", "node", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("packed"))
     regions = regions.repartition(width, "g").sortWithinPartitions("g", "node")
-    found = _first_pairs(regions, percent, hot)
+    found = _first_pairs(regions, percent)
     pairs = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     large = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("node"))
     pairs = stored(pairs, "jaccard-distinct")
