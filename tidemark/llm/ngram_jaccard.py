@@ -46,6 +46,7 @@ from tidemark.llm.common import LAST_ID, connected_components, stored
 WORDS = 4
 PERCENT = 85
 HOT_SHARE = 0.0002
+LOCAL_GRAMS = 3 << 19           # n-grams a task gathers before it merges their counts
 SMALL = 64                      # members up to which a region gives pairs
 TILE = 1024                     # members of one side of a tile
 BROADCAST_IDS = 1_000_000
@@ -135,14 +136,14 @@ def hot_grams(text: DataFrame, words: int, share: float) -> tuple[np.ndarray, np
         def merge():
             k, at = np.unique(np.concatenate([keys, *held]), return_inverse=True)
             n = np.bincount(at, np.concatenate([counts, np.ones(len(at) - len(keys), "i8")])).astype("i8")
-            keep = n >= (1 if len(k) < 1 << 22 else 2)          # bounded: rare ones are let go
+            keep = n >= (1 if len(k) < LOCAL_GRAMS else 2)      # bounded: rare ones are let go
             return k[keep], n[keep]
 
         for b in batches:
             for _, texts in _strips(b.column(0)):
                 held += hasher.sets(texts)
                 docs += len(texts)
-                if sum(map(len, held)) > 1 << 22:
+                if sum(map(len, held)) > LOCAL_GRAMS:
                     (keys, counts), held = merge(), []
         if docs:
             keys, counts = merge()
