@@ -78,6 +78,41 @@ def test_descent_matches_brute_force(spark):
     assert out == {i: (degree[i], root[i], root[i] == i) for i in range(240)}
 
 
+def dense_groups(n, dim, seed):
+    """Two groups of one label, links inside about .999 and across about .985,
+    and two more with one link across."""
+    rng = np.random.default_rng(seed)
+    noise = lambda m: rng.standard_normal((m, dim)) * np.sqrt(0.0005 / dim)
+    base, aside, far = np.linalg.qr(rng.standard_normal((dim, 3)))[0].T
+    turn = lambda u, v, c: c * u + np.sqrt(1 - c * c) * v
+    near = [base + noise(n), turn(base, aside, 0.985) + noise(n)]
+    apart = [far + noise(n), turn(far, aside, 0.955) + noise(n)]
+    apart[0][0] = turn(far, aside, 0.995)           # at .978 of the other group but for one vector
+    apart[1][0] = turn(far, aside, 0.968)
+    return np.concatenate(near + apart).astype("f4")
+
+
+@pytest.mark.parametrize("options", [{}, {"tables": 1, "rounds": 1, "recall": 1.1}])
+def test_descent_links_dense_groups(spark, options):
+    x = dense_groups(20, 32, 5)
+    labels = [0] * len(x)
+    degree, root = components(x, labels, 0.98)
+    assert len(set(root)) == 2 and min(degree) > nn_descent.NEIGHBOURS
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], 0) for i in range(len(x))], SCHEMA)
+    out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in nn_descent.near_duplicates(df, **options).collect()}
+    assert out == {i: (degree[i], root[i], root[i] == i) for i in range(len(x))}
+
+
+def test_descent_audits_small_groups(spark):
+    x = vectors(600, 24, 8)
+    x[:500] = x[0] + vectors(500, 24, 9) * 0.01     # a group with nearly all links
+    x[500:600:2] = x[501:600:2] * 1.5 + 0.01        # pairs
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], 0) for i in range(600)], SCHEMA)
+    points = nn_descent.pack_vectors(df, "vec_id", "embedding", "label")
+    comps = points.where("vec_id < 500").select(F.col("node").alias("id"), F.lit("0").alias("component"))
+    assert nn_descent._audit(points, comps, "<f4", 0.98, 64) < 0.5
+
+
 def test_descent_with_unusable_rows(spark):
     rows = [(i, v, 1) for i, v in enumerate(BAD)] + [(10, [1.0, 0.0, 0.0], 1), (11, [1.0, 0.01, 0.0], 1), (12, [1.0, 0.0, 0.0], None),
             (None, [1.0, 0.0, 0.0], 1), (13, [1.0, 0.0], 1), (14, [5.0, 5.0, 0.0], 2), (14, [5.0, 5.0, 0.0], 2)]

@@ -8,14 +8,19 @@ weighted vertex.  Edges at or above the threshold are kept and give the
 components.
 
 A list whose entries all reach the threshold is saturated: the vertex may
-have more links than it holds.  Its list is enlarged to its whole component:
-components are compared member by member in blocks of bounded size (counts
-leave the tasks, not pairs), so the number of links is exact for what the
-graph connects.
-
-Recall is audited: a bounded, hashed sample of vertices is compared with
-every vector of its label; if too many of their links cross components, the
-graph is extended from fresh hyperplanes and refined again.
+have more links than it holds, and they may lead out of its component.  Such
+vertices get a second list, of the nearest vertices outside their component,
+refined in the same way; links found there merge components, and the search
+is repeated until it finds none.  A component's own members never fill that
+list, so it is short at any group size.  Components are then compared member
+by member in blocks of bounded size (counts leave the tasks, not pairs), so
+the number of links is exact for what the graph connects.
+
+Recall is audited per vertex, by component size: of each power of two a
+bounded, hashed sample is compared with every vector of its label.  If the
+sampled vertices of one size miss too large a share of their links, the graph
+is extended from fresh hyperplanes and refined again; if that does not mend it
+either, the vectors of a label are all compared, in tiles.
 
 Defined results: labels that differ or are null, and vectors that are null,
 empty, zero, non-finite or of different length, never link; such rows come
@@ -39,8 +44,8 @@ BUCKET = 16                 # wanted vectors in a bucket
 BUCKET_MOST = 64            # larger buckets are dealt into parts
 ROUNDS = 6                  # of refinement
 SETTLED = 0.002             # share of changed entries that ends it
-AUDIT = 256                 # vertices compared with everything
-RECALL = 0.99               # wanted of the audited links
+AUDIT = 256                 # vertices of each size of component compared with everything
+RECALL = 0.99               # wanted of a vertex's links, on average in each size
 RESTARTS = 3
 BLOCK = 1024                # members of a component compared at once
 
@@ -52,8 +57,23 @@ def _edges(src, dst, sim) -> pa.Table:
                      "sim": pa.array(sim, pa.float64())})
 
 
-def _bucket_edges(points: DataFrame, code: str, bits: int, tables: int, seed: int, k: int) -> DataFrame:
-    """The ``k`` nearest inside each random hyperplane bucket."""
+def _bits(points: DataFrame) -> int:
+    """Hyperplanes that leave about ``BUCKET`` vectors of the largest label in a bucket."""
+    largest = points.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 1
+    return int(min(24, max(1, round(np.log2(max(2, largest / BUCKET))))))
+
+
+def _apart(t: pa.Table) -> np.ndarray:
+    """Which pairs of rows are of different components."""
+    of = np.unique(t.column("component").to_numpy(), return_inverse=True)[1]
+    return of[:, None] != of[None, :]
+
+
+def _bucket_edges(points: DataFrame, code: str, tables: int, seed: int, k: int) -> DataFrame:
+    """The ``k`` nearest inside each random hyperplane bucket; of points with a
+    ``component``, the nearest of other components."""
+    bits = _bits(points)
+    across = ["component"] if "component" in points.columns else []
 
     def codes(batches):
         for b in batches:
@@ -71,7 +91,7 @@ def _bucket_edges(points: DataFrame, code: str, bits: int, tables: int, seed: in
                 [*b.columns, pa.ListArray.from_arrays(ends, flat)], [*b.schema.names, "codes"])
 
     coded = points.mapInArrow(codes, points._jdf.schema().toDDL() + ", codes array<long>")
-    dealt = coded.select("node", "label", "dim", "vec", F.posexplode("codes").alias("t", "code"))
+    dealt = coded.select("node", "label", "dim", "vec", *across, F.posexplode("codes").alias("t", "code"))
     keys = ["label", "dim", "t", "code"]
     sizes = coded.select("label", "dim", F.posexplode("codes").alias("t", "code")).groupBy(*keys).count()
     large = sizes.where(F.col("count") > BUCKET_MOST).withColumn(
@@ -86,13 +106,17 @@ def _bucket_edges(points: DataFrame, code: str, bits: int, tables: int, seed: in
         x = unit(unpack(t.column("vec"), code))
         sim = x @ x.T
         np.fill_diagonal(sim, -2)
+        if across:
+            sim[~_apart(t)] = -2
         most = min(k, n - 1)
-        best = np.argpartition(-sim, most - 1, axis=1)[:, :most]
+        best = np.argpartition(-sim, most - 1, axis=1)[:, :most].ravel()
         nodes = np.array(t.column("node").to_pylist(), object)
         src = np.repeat(np.arange(n), most)
-        return _edges(nodes[src], nodes[best.ravel()], sim[src, best.ravel()])
+        real = sim[src, best] > -2
+        src, best = src[real], best[real]
+        return _edges(nodes[src], nodes[best], sim[src, best])
 
-    return dealt.select(*keys, "part", "node", "vec").groupBy(*keys, "part").applyInArrow(near, EDGE)
+    return dealt.select(*keys, "part", "node", "vec", *across).groupBy(*keys, "part").applyInArrow(near, EDGE)
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
@@ -103,12 +127,16 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return one.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k).drop("at")
 
 
-def _local_join(graph: DataFrame, points: DataFrame, code: str, k: int) -> DataFrame:
-    """New arcs between two neighbours of one vertex, if they improve a list."""
+def _local_join(graph: DataFrame, points: DataFrame, code: str, k: int, inner: DataFrame | None = None) -> DataFrame:
+    """New arcs between two neighbours of one vertex, if they improve a list.
+    ``inner`` has further arcs, inside of components, that lead to neighbours;
+    the lists are then of vertices outside the component."""
     worst = graph.groupBy("src").agg(F.min("sim").alias("worst"), F.count("*").alias("n"))
     worst = worst.select(F.col("src").alias("dst"), F.when(F.col("n") < k, -2.0).otherwise(F.col("worst")).alias("worst"))
-    side = points.select(F.col("node").alias("dst"), "vec").join(worst, "dst")
-    lists = graph.join(side, "dst").select("src", "dst", "vec", "worst")
+    across = [] if inner is None else ["component"]
+    side = points.select(F.col("node").alias("dst"), "vec", *across).join(worst, "dst", "left" if across else "inner")
+    arcs = graph.select("src", "dst") if inner is None else graph.select("src", "dst").unionByName(inner)
+    lists = arcs.join(side, "dst").select("src", "dst", "vec", F.coalesce("worst", F.lit(-2.0)).alias("worst"), *across)
 
     def join(t: pa.Table) -> pa.Table:
         if t.num_rows < 2:
@@ -116,25 +144,70 @@ def _local_join(graph: DataFrame, points: DataFrame, code: str, k: int) -> DataF
         x = unit(unpack(t.column("vec"), code))
         sim = x @ x.T
         worst = t.column("worst").to_numpy()
-        i, j = np.nonzero(np.triu(sim > np.minimum(worst[:, None], worst[None, :]), 1))
+        better = sim > np.minimum(worst[:, None], worst[None, :])
+        i, j = np.nonzero(np.triu(better & _apart(t) if across else better, 1))
         nodes = np.array(t.column("dst").to_pylist(), object)
         return _edges(nodes[i], nodes[j], sim[i, j])
 
     return lists.groupBy("src").applyInArrow(join, EDGE)
 
 
-def _audit(points: DataFrame, comps: DataFrame, code: str, n: int, threshold: float, sample: int) -> float:
-    """Share of the sampled vertices' links that lie inside components."""
-    keep = min(1.0, sample / max(n, 1))
-    limit = int(keep * (1 << 62))
+def _refine(graph: DataFrame, points: DataFrame, code: str, k: int, rounds: int, n: int,
+            inner: DataFrame | None = None) -> DataFrame:
+    """``graph`` after rounds of local joins, until few entries change."""
+    for _ in range(rounds):
+        better = graph.unionByName(_local_join(graph, points, code, k, inner))
+        refined = stored(_best(better, k), "nn-graph")
+        changed = refined.join(graph, ["src", "dst"], "left_anti").count()
+        graph = refined
+        if changed <= SETTLED * max(1, n * k):
+            break
+    return graph
+
+
+def _components(links: DataFrame) -> DataFrame:
+    ends = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id")))
+    return stored(connected_components(
+        ends.distinct(), links.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "nn-components")
+
+
+def _outward(points: DataFrame, graph: DataFrame, comps: DataFrame, code: str, threshold: float, k: int,
+             tables: int, rounds: int, seed: int) -> DataFrame | None:
+    """Links between components at vertices whose lists are full of links;
+    None if there are none.  A link that no list holds has such vertices at
+    both ends."""
+    full = graph.groupBy("src").agg(F.min("sim").alias("worst"), F.count("*").alias("n")).where(
+        (F.col("n") >= k) & (F.col("worst") >= threshold)).select(F.col("src").alias("node"))
+    full = points.select("node", "label", "dim", "vec").join(full, "node").join(
+        comps.withColumnRenamed("id", "node"), "node")
+    several = full.groupBy("label", "dim").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(
+        "a < b").select(F.col("label").alias("__label"), F.col("dim").alias("__dim"))
+    full = stored(full.join(several, F.col("label").eqNullSafe(F.col("__label")) & (F.col("dim") == F.col("__dim")),
+                            "left_semi"), "nn-full")
+    n = full.count()
+    if not n:
+        return None
+    inner = stored(graph.select("src", "dst").join(full.select(F.col("node").alias("src")), "src", "left_semi")
+                   .join(full.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "nn-inner")
+    across = stored(_best(_bucket_edges(full, code, tables, seed, k), k), "nn-graph")
+    across = _refine(across, full, code, k, rounds, n, inner)
+    found = stored(across.where(F.col("sim") >= threshold), "nn-outward")
+    return None if found.isEmpty() else found
+
+
+def _audit(points: DataFrame, comps: DataFrame, code: str, threshold: float, sample: int) -> float:
+    """Share of a sampled vertex's links that lie inside its component: the
+    mean over vertices that have links, least of all sizes of component."""
     at = points.join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    picked = at.where(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 62)) < limit)
-    picked = picked.orderBy("node").limit(2 * sample).select("node", "label", "dim", "vec", "component").collect()
-    if not picked:
-        return 1.0
+        "component", F.coalesce("component", "node")).select("node", "label", "dim", "vec", "component")
+    at = stored(at, "nn-audit")
+    sizes = at.groupBy("component").agg(F.floor(F.log2(F.count("*"))).cast("int").alias("size"))
+    order = W.partitionBy("size").orderBy(F.xxhash64("node", F.lit("audit")), "node")
+    picked = at.select("node", "component").join(sizes, "component").withColumn(
+        "at", F.row_number().over(order)).where(F.col("at") <= sample).select("node", "size")
+    picked = at.join(picked, "node").collect()
     ask: dict = {}
-    for r in picked:                    # at most 2 * sample rows
+    for r in picked:                    # at most ``sample`` rows a power of two
         ask.setdefault((r.label, r.dim), []).append(r)
     ask = {key: ([r.node for r in rows], [r.component for r in rows],
                  unit(np.frombuffer(b"".join(bytes(r.vec) for r in rows), code).reshape(len(rows), -1).astype("f8")))
@@ -143,22 +216,69 @@ def _audit(points: DataFrame, comps: DataFrame, code: str, n: int, threshold: fl
     def against(batches):
         for b in batches:
             labels, dims = b.column("label").to_pylist(), b.column("dim").to_pylist()
-            nodes, comp = b.column("node").to_pylist(), b.column("component").to_pylist()
-            there = inside = 0
-            for key, (qn, qc, q) in ask.items():
-                rows = [i for i, kk in enumerate(zip(labels, dims)) if kk == key]
-                if not rows:
+            comp = np.array(b.column("component").to_pylist(), object)
+            nodes = np.array(b.column("node").to_pylist(), object)
+            at_key: dict = {}
+            for i, key in enumerate(zip(labels, dims)):
+                at_key.setdefault(key, []).append(i)
+            out, there, inside = [], [], []
+            for key, rows in at_key.items():
+                if key not in ask:
                     continue
+                qn, qc, q = ask[key]
                 x = unit(unpack(b.column("vec").take(pa.array(rows)), code))
-                for qi, ri in zip(*np.nonzero(q @ x.T >= threshold)):
-                    if nodes[rows[ri]] != qn[qi]:
-                        there += 1
-                        inside += comp[rows[ri]] == qc[qi]
-            yield pa.RecordBatch.from_arrays([pa.array([there]), pa.array([inside])], ["there", "inside"])
+                near = q @ x.T >= threshold
+                for qi in np.flatnonzero(near.any(axis=1)):
+                    met = np.array(rows)[near[qi]]
+                    met = met[nodes[met] != qn[qi]]
+                    if len(met):
+                        out.append(qn[qi])
+                        there.append(len(met))
+                        inside.append(int((comp[met] == qc[qi]).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(there, pa.int64()),
+                                              pa.array(inside, pa.int64())], ["node", "there", "inside"])
+
+    size = {r.node: r.size for r in picked}
+    shares: dict = {}
+    for r in at.mapInArrow(against, "node string, there long, inside long").groupBy("node").agg(
+            F.sum("there").alias("there"), F.sum("inside").alias("inside")).collect():
+        shares.setdefault(size[r.node], []).append(r.inside / r.there)
+    return min((float(np.mean(x)) for x in shares.values()), default=1.0)
+
+
+def _all_links(points: DataFrame, comps: DataFrame, code: str, threshold: float) -> DataFrame:
+    """Links between components, one for each two of a tile: every vector is
+    compared with all others of its label."""
+    member = points.select("node", "label", "dim", "vec").join(comps.withColumnRenamed("id", "node"), "node", "left")
+    member = member.withColumn("component", F.coalesce("component", "node")).withColumn(
+        "g", F.xxhash64("label", F.col("label").isNull(), "dim"))
+    sizes = member.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    member = stored(member.join(sizes, "g").withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "nn-blocks")
+    columns = ["label", "dim", "component", "node", "vec"]
+    left = member.select("g", F.col("block").alias("i"),
+                         F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *columns)
+    right = member.select("g", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), *columns)
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        groups: list[dict] = [{}, {}]
+        for got, t in zip(groups, (a, b)):
+            for i, key in enumerate(zip(t.column("label").to_pylist(), t.column("dim").to_pylist())):
+                got.setdefault(key, []).append(i)
+        found: dict = {}
+        for key, rows in groups[0].items():
+            if key not in groups[1]:
+                continue
+            ra, rb = a.take(pa.array(rows)), b.take(pa.array(groups[1][key]))
+            sim = unit(unpack(ra.column("vec"), code)) @ unit(unpack(rb.column("vec"), code)).T
+            ca, cb = (np.array(t.column("component").to_pylist(), object) for t in (ra, rb))
+            na, nb = (t.column("node").to_pylist() for t in (ra, rb))
+            for i, j in zip(*np.nonzero((sim >= threshold) & (ca[:, None] != cb[None, :]))):
+                found[min(ca[i], cb[j]), max(ca[i], cb[j])] = (na[i], nb[j], sim[i, j])
+        return _edges(*([x[c] for x in found.values()] for c in range(3)))
 
-    there, inside = at.select("node", "label", "dim", "vec", "component").mapInArrow(
-        against, "there long, inside long").agg(F.sum("there"), F.sum("inside")).first()
-    return inside / there if there else 1.0
+    keys = ["g", "i", "j"]
+    return stored(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, EDGE), "nn-all")
 
 
 def _degrees(points: DataFrame, comps: DataFrame, code: str, threshold: float) -> DataFrame:
@@ -209,26 +329,24 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vec").alias("vec"),
         F.count("*").alias("weight"), F.min("vec_id").alias("least")), "nn-points")
     n = points.count()
-    largest = points.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 1
-    bits = int(min(24, max(1, round(np.log2(max(2, largest / BUCKET))))))
 
-    graph = None
+    graph = extra = None
     for restart in range(RESTARTS + 1):
-        start = _bucket_edges(points, code, bits, tables, 1 + restart, k)
+        start = _bucket_edges(points, code, tables, 1 + restart, k)
         graph = stored(_best(start if graph is None else graph.unionByName(start), k), "nn-graph")
-        for _ in range(rounds):
-            better = graph.unionByName(_local_join(graph, points, code, k))
-            refined = stored(_best(better, k), "nn-graph")
-            changed = refined.join(graph, ["src", "dst"], "left_anti").count()
-            graph = refined
-            if changed <= SETTLED * max(1, n * k):
-                break
+        graph = _refine(graph, points, code, k, rounds, n)
         links = graph.where(F.col("sim") >= threshold)
-        comps = stored(connected_components(
-            links.select(F.col("src").alias("id")).distinct(),
-            links.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "nn-components")
-        if _audit(points, comps, code, n, threshold, audit) >= recall:
+        links = links if extra is None else links.unionByName(extra)
+        comps = _components(links)
+        seed = 1000 * (1 + restart)
+        while (more := _outward(points, graph, comps, code, threshold, k, tables, rounds, seed)) is not None:
+            extra = more if extra is None else extra.unionByName(more)
+            links, seed = links.unionByName(more), seed + 1
+            comps = _components(links)
+        if _audit(points, comps, code, threshold, audit) >= recall:
             break
+    else:
+        comps = _components(links.unionByName(_all_links(points, comps, code, threshold)))
 
     linked = _degrees(points, comps, code, threshold)
     lowest = points.join(comps.withColumnRenamed("id", "node"), "node").groupBy("component").agg(
