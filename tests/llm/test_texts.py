@@ -209,6 +209,29 @@ def test_classifier_keeps_clean_and_rejects_junk(spark):
     assert kn_quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_classifier_rejects_toxic_passages(spark):
+    rng = random.Random(7)
+
+    def toxic():
+        words = prose(rng, 150).split()
+        for at in (40, 90):
+            words[at] = rng.choice(["scumbag", "idiotic", "moronic"])
+        return " ".join(words)
+
+    clean = [(i, prose(rng, 150), "en") for i in range(300)]
+    bad = [(300 + i, toxic(), "en") for i in range(60)]
+    docs = spark.createDataFrame(clean + bad, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)] + [(300 + i, 1, 1) for i in range(30)],
+                                   "doc_id long, quality int, toxic int")
+    for limit in (10**7, 0):
+        kept = {r.doc_id: r.kept for r in kn_quality.classify(docs, labels, broadcast_grams=limit).collect()}
+        assert sum(kept[i] for i in range(300)) >= 285
+        assert sum(kept[i] for i in range(330, 360)) <= 1       # unlabelled toxic documents
+        if limit:
+            first = kept
+    assert sum(kept[i] != first[i] for i in kept) <= 1          # a score on its threshold
+
+
 # ---- pieces -----------------------------------------------------------------
 
 def small_vocabulary():

@@ -14,8 +14,14 @@ reach the documents in one of two ways, with equal results: a model of at most
 size); beyond, the documents' counted n-grams are joined with the model's
 shards, order by order.
 
-A document is rejected if its perplexity exceeds its language's threshold, the
-``QUANTILE`` of the held-out trusted documents of that language (of all
+A few insults vanish in the mean of a long document.  A second model, of the
+documents labelled toxic or of quality 0, is therefore held against the
+trusted one: a document's contrast is its largest sum of log p (second model)
+- log p (trusted) over ``WINDOW`` consecutive bytes.  With fewer
+than ``LEAST`` such documents there is no contrast.
+
+A document is rejected if its perplexity or its contrast exceeds its language's threshold, so
+that both leave ``QUANTILE`` of the held-out trusted documents of that language (of all
 languages, where one has fewer than ``LEAST``).
 
 Defined results: null or empty text has no perplexity and is kept; a null
@@ -35,12 +41,14 @@ from tidemark.llm.common import stored
 ORDER = 5
 QUANTILE = 0.99
 HOLD_OUT = 5
-LEAST = 20                      # held-out documents a language needs
+LEAST = 20                      # held-out documents a language needs, and a second model
 BROADCAST_GRAMS = 4_000_000     # model entries, 12 to 24 bytes each
 BROADCAST_IDS = 1_000_000       # trusted ids
+WINDOW = 32                     # bytes of the worst passage
 STRIP = 4 << 20                 # bytes of text scored at once
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 FLOOR = 1.0 / 256               # below the unigrams: all bytes alike
+LOWEST = 4 * float(np.log(FLOOR))   # of a byte's log p in a contrast
 
 
 def gram_keys(data: np.ndarray, order: int) -> np.ndarray:
@@ -208,7 +216,7 @@ def log_p(keys: np.ndarray, tables: dict, order: int) -> np.ndarray:
     return out
 
 
-def _broadcast_score(model: DataFrame, text: Column, order: int) -> Column:
+def _tables(model: DataFrame, order: int) -> dict:
     rows = model.toArrow()          # at most BROADCAST_GRAMS rows
     n, gram = rows.column("n").to_numpy(), rows.column("gram").to_numpy().astype(np.uint64)
     p, g = rows.column("p").to_numpy(), rows.column("g").to_numpy()
@@ -216,7 +224,40 @@ def _broadcast_score(model: DataFrame, text: Column, order: int) -> Column:
     for i in range(1, order + 1):
         tables[i, "p"] = hash_table(gram[(n == i) & ~np.isnan(p)], p[(n == i) & ~np.isnan(p)])
         tables[i, "g"] = hash_table(gram[(n == i) & np.isnan(p)], g[(n == i) & np.isnan(p)])
-    held = model.sparkSession.sparkContext.broadcast(tables)
+    return tables
+
+
+def worst(x: np.ndarray) -> float:
+    """The largest sum of ``WINDOW`` consecutive values, or of all of fewer."""
+    total = np.concatenate([[0], np.cumsum(x)])
+    v = min(WINDOW, len(x))
+    return float((total[v:] - total[:len(total) - v]).max())
+
+
+def _broadcast_contrast(model: DataFrame, against: DataFrame, text: Column, order: int) -> Column:
+    held = model.sparkSession.sparkContext.broadcast((_tables(model, order), _tables(against, order)))
+
+    @F.arrow_udf("double")
+    def contrast(column: pa.Array) -> pa.Array:
+        good, bad = held.value
+        out = []
+        for _, texts in strips(column, order):
+            for t in texts:
+                best, last, data = None, np.zeros(0), _padded([t], order)
+                for at in range(0, len(t), STRIP):      # a very long text, in overlapping strips
+                    keys = gram_keys(data[at:at + STRIP + order - 1], order)
+                    x = np.concatenate([last, np.maximum(log_p(keys, bad, order), LOWEST)
+                                                - np.maximum(log_p(keys, good, order), LOWEST)])
+                    best = worst(x) if best is None else max(best, worst(x))
+                    last = x[-(WINDOW - 1):]
+                out.append(best)
+        return pa.array(out, pa.float64())
+
+    return contrast(text)
+
+
+def _broadcast_score(model: DataFrame, text: Column, order: int) -> Column:
+    held = model.sparkSession.sparkContext.broadcast(_tables(model, order))
 
     @F.arrow_udf("double")
     def perplexity(column: pa.Array) -> pa.Array:
@@ -242,8 +283,9 @@ def _broadcast_score(model: DataFrame, text: Column, order: int) -> Column:
 
 # ---- scoring by joins ----------------------------------------------------
 
-def _joined_scores(texts: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """``(row, perplexity)`` of ``texts(row, text)`` by joins with the model."""
+def _joined_logs(texts: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """``(row, key, n, x)``: log p of each n-gram of ``texts(row, text)`` by
+    joins with the model."""
 
     def grams(batches):
         for b in batches:
@@ -255,21 +297,49 @@ def _joined_scores(texts: DataFrame, model: DataFrame, order: int) -> DataFrame:
                         [pa.array([row] * len(part), pa.string()), pa.array(part.astype("i8")),
                          pa.array(n[i:i + (1 << 16)].astype("i8"))], ["row", "gram", "n"])
 
-    left = texts.where(F.length("text") > 0).mapInArrow(grams, "row string, gram long, n long").withColumn("back", F.lit(0.0))
+    left = texts.where(F.length("text") > 0).mapInArrow(grams, "row string, gram long, n long").select(
+        "row", F.col("gram").alias("key"), "gram", "n", F.lit(0.0).alias("back"))
     sums = []
     for n in range(order, 0, -1):
         p = model.where((F.col("n") == n) & F.col("p").isNotNull()).select("gram", "p")
         g = model.where((F.col("n") == n) & F.col("p").isNull()).select(F.col("gram").alias("context"), "g")
         both = left.join(p, "gram", "left")
-        sums.append(both.where("p is not null").select("row", "n", (F.col("back") + F.log("p")).alias("x")))
+        sums.append(both.where("p is not null").select("row", "key", "n", (F.col("back") + F.log("p")).alias("x")))
         left = (both.where("p is null").drop("p").withColumn("context", F.shiftright("gram", 8)).join(g, "context", "left")
-                .select("row", F.col("gram").bitwiseAND(F.lit((1 << (8 * (n - 1))) - 1)).alias("gram"), "n",
+                .select("row", "key", F.col("gram").bitwiseAND(F.lit((1 << (8 * (n - 1))) - 1)).alias("gram"), "n",
                         (F.col("back") + F.coalesce(F.log("g"), F.lit(0.0))).alias("back")))
-    sums.append(left.select("row", "n", (F.col("back") + float(np.log(FLOOR))).alias("x")))
+    sums.append(left.select("row", "key", "n", (F.col("back") + float(np.log(FLOOR))).alias("x")))
     whole = sums[0]
     for s in sums[1:]:
         whole = whole.unionByName(s)
-    return whole.groupBy("row").agg(F.exp(-F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("perplexity"))
+    return whole
+
+
+def _joined_scores(texts: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """``(row, perplexity)`` of ``texts(row, text)``."""
+    return _joined_logs(texts, model, order).groupBy("row").agg(
+        F.exp(-F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("perplexity"))
+
+
+def _joined_contrasts(texts: DataFrame, model: DataFrame, against: DataFrame, order: int) -> DataFrame:
+    """``(row, contrast)`` of ``texts(row, text)``."""
+    good = _joined_logs(texts, model, order).select("row", "key", "x")
+    bad = _joined_logs(texts, against, order).select("row", "key", F.col("x").alias("z"))
+    logs = good.join(bad, ["row", "key"]).groupBy("row").agg(
+        F.collect_list(F.struct(
+            "key", (F.greatest("z", F.lit(LOWEST)) - F.greatest("x", F.lit(LOWEST))).alias("x"))).alias("logs"))
+
+    @F.arrow_udf("double")
+    def contrast(text: pa.Array, keys: pa.Array, values: pa.Array) -> pa.Array:
+        out = []
+        for t, k, x in zip(text.to_pylist(), keys.to_pylist(), values.to_pylist()):
+            k, x = np.array(k, "i8"), np.array(x)
+            at = np.argsort(k)
+            grams = text_grams([t.encode()], order).astype("i8")
+            out.append(worst(x[at][np.searchsorted(k[at], grams)]))
+        return pa.array(out, pa.float64())
+
+    return texts.join(logs, "row").select("row", contrast("text", "logs.key", "logs.x").alias("contrast"))
 
 
 def with_perplexity(docs: DataFrame, model: DataFrame, text_col: str = "text", order: int = ORDER,
@@ -283,6 +353,18 @@ def with_perplexity(docs: DataFrame, model: DataFrame, text_col: str = "text", o
     return keyed.drop("perplexity").join(scores, "__kn_row", "left").drop("__kn_row")
 
 
+def with_contrast(docs: DataFrame, model: DataFrame, against: DataFrame, text_col: str = "text", order: int = ORDER,
+                  broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """``docs`` with ``__kn_contrast``; null for null or empty text."""
+    if model.count() + against.count() <= broadcast_grams:
+        return docs.withColumn("__kn_contrast", _broadcast_contrast(model, against, F.col(text_col), order))
+    keyed = docs.withColumn("__kn_row", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    texts = keyed.groupBy(F.col("__kn_row").alias("row")).agg(F.first(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    scores = _joined_contrasts(texts, model, against, order).select(
+        F.col("row").alias("__kn_row"), F.col("contrast").alias("__kn_contrast"))
+    return keyed.join(scores, "__kn_row", "left").drop("__kn_row")
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang", *, order: int = ORDER, quantile: float = QUANTILE,
              hold_out: int = HOLD_OUT, broadcast_grams: int = BROADCAST_GRAMS,
@@ -293,19 +375,36 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if trusted.count() <= broadcast_ids:
         trusted = F.broadcast(trusted)
     slim = docs.select(F.col(id_col).alias("__kn_id"), F.col(text_col).alias("text"),
-                       F.coalesce(F.col(lang_col), F.lit("")).alias("lang"))
-    slim = slim.where(F.length("text") > 0).join(trusted, "__kn_id", "left_semi")
+                       F.coalesce(F.col(lang_col), F.lit("")).alias("lang")).where(F.length("text") > 0)
+    suspect = labels.where("quality = 0 or toxic = 1").select(F.col(id_col).alias("__kn_id")).distinct().join(
+        trusted, "__kn_id", "left_anti")
+    suspect = stored(suspect, "kn-suspect")
+    if suspect.count() <= broadcast_ids:
+        suspect = F.broadcast(suspect)
+    bad = slim.join(suspect, "__kn_id", "left_semi").select("text")
+    against = train(bad, order)
+    slim = slim.join(trusted, "__kn_id", "left_semi")
     aside = F.pmod(F.xxhash64("__kn_id"), F.lit(hold_out)) == 0
     model = train(slim.where(~aside).select("text"), order)
-    held = stored(with_perplexity(slim.where(aside), model, "text", order, broadcast_grams).select("lang", "perplexity"),
-                  "kn-held-out")
-    cut = F.percentile_approx("perplexity", quantile, 10_000)
-    everywhere = held.agg(cut.alias("x")).first()[0]
-    by_lang = held.groupBy(F.col("lang").alias("__kn_lang")).agg(cut.alias("__kn_cut"), F.count("*").alias("n")).where(
-        F.col("n") >= LEAST).drop("n")
+    contrasted = bad.count() >= LEAST and not model.isEmpty()
+
+    def scored(rows: DataFrame, text: str) -> DataFrame:
+        rows = with_perplexity(rows, model, text, order, broadcast_grams)
+        if contrasted:
+            return with_contrast(rows, model, against, text, order, broadcast_grams)
+        return rows.withColumn("__kn_contrast", F.lit(None).cast("double"))
+
+    held = stored(scored(slim.where(aside), "text").select("lang", "perplexity", "__kn_contrast"), "kn-held-out")
+    share = 1 - (1 - quantile) / 2 if contrasted else quantile
+    cuts = [F.percentile_approx(c, share, 10_000) for c in ("perplexity", "__kn_contrast")]
+    everywhere = held.agg(*cuts).first()
+    by_lang = held.groupBy(F.col("lang").alias("__kn_lang")).agg(
+        cuts[0].alias("__kn_cut"), cuts[1].alias("__kn_most"), F.count("*").alias("n")).where(F.col("n") >= LEAST).drop("n")
     lang = F.coalesce(F.col(lang_col), F.lit(""))
-    out = with_perplexity(docs, model, text_col, order, broadcast_grams)
+    out = scored(docs, text_col)
     out = out.withColumn("__kn_lang", lang).join(by_lang, "__kn_lang", "left")
-    out = out.withColumn("threshold", F.coalesce("__kn_cut", F.lit(everywhere).cast("double")))
-    return out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).drop(
-        "__kn_lang", "__kn_cut")
+    out = out.withColumn("threshold", F.coalesce("__kn_cut", F.lit(everywhere[0]).cast("double")))
+    most = F.coalesce("__kn_most", F.lit(everywhere[1]).cast("double"))
+    fine = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) & F.coalesce(
+        F.col("__kn_contrast") <= most, F.lit(True))
+    return out.withColumn("kept", fine).drop("__kn_lang", "__kn_cut", "__kn_most", "__kn_contrast")
