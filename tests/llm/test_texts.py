@@ -232,6 +232,18 @@ def test_classifier_rejects_toxic_passages(spark):
     assert sum(kept[i] != first[i] for i in kept) <= 1          # a score on its threshold
 
 
+def test_classifier_is_not_led_by_short_texts(spark):
+    rng = random.Random(9)
+    clean = [(i, prose(rng, 80), "fr") for i in range(150)]
+    short = [(150 + i, "Z%d!" % i, "fr") for i in range(8)]
+    junk = [(200 + i, " | ".join(w.upper() + "!!" for w in prose(rng, 40).split()), "fr") for i in range(20)]
+    docs = spark.createDataFrame(clean + short + junk, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(158)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in kn_quality.classify(docs, labels).collect()}
+    assert all(kept[i] for i in range(158))                     # trusted
+    assert not any(kept[i] for i in range(200, 220))
+
+
 # ---- pieces -----------------------------------------------------------------
 
 def small_vocabulary():

@@ -20,9 +20,13 @@ trusted one: a document's contrast is its largest sum of log p (second model)
 - log p (trusted) over ``WINDOW`` consecutive bytes.  With fewer
 than ``LEAST`` such documents there is no contrast.
 
-A document is rejected if its perplexity or its contrast exceeds its language's threshold, so
-that both leave ``QUANTILE`` of the held-out trusted documents of that language (of all
-languages, where one has fewer than ``LEAST``).
+A document is rejected if one of its two scores lies too far above those of
+the held-out trusted documents of its language (of all languages, where one
+has fewer than ``LEAST``).  Scores are counted in spreads from the language's
+median; the spread of log perplexity is wider the fewer bytes a text has, so a
+short text sets no threshold for long ones.  The bounds, in spreads, leave
+``QUANTILE`` of the held-out documents of all languages together.  A trusted
+document is never rejected.
 
 Defined results: null or empty text has no perplexity and is kept; a null
 language is the language ""; repeated label rows count if any is trusted;
@@ -365,6 +369,19 @@ def with_contrast(docs: DataFrame, model: DataFrame, against: DataFrame, text_co
     return keyed.join(scores, "__kn_row", "left").drop("__kn_row")
 
 
+def _spreads(held: DataFrame) -> DataFrame:
+    """Of each ``lang``: the median ``mu`` and variance ``a + b / bytes`` of the
+    log perplexity, the median and spread of the contrast, and the count."""
+    half = lambda c: F.percentile_approx(c, 0.5, 10_000)
+    middle = held.groupBy("lang").agg(half("x").alias("mu"), half("bytes").alias("half"), half("contrast").alias("mid"),
+                                      F.count("*").alias("n"))
+    square = F.pow(F.col("x") - F.col("mu"), 2) / 0.455         # the median of a squared normal deviate
+    return held.join(middle, "lang").groupBy("lang", "mu", "mid", "n").agg(
+        F.coalesce(half(F.when(F.col("bytes") >= F.col("half"), square)), F.lit(0.0)).alias("a"),
+        F.coalesce(half(F.when(F.col("bytes") < F.col("half"), square * F.col("bytes"))), F.lit(0.0)).alias("b"),
+        (half(F.abs(F.col("contrast") - F.col("mid"))) * 1.4826).alias("mad"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang", *, order: int = ORDER, quantile: float = QUANTILE,
              hold_out: int = HOLD_OUT, broadcast_grams: int = BROADCAST_GRAMS,
@@ -394,17 +411,27 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             return with_contrast(rows, model, against, text, order, broadcast_grams)
         return rows.withColumn("__kn_contrast", F.lit(None).cast("double"))
 
-    held = stored(scored(slim.where(aside), "text").select("lang", "perplexity", "__kn_contrast"), "kn-held-out")
+    held = stored(scored(slim.where(aside), "text").select(
+        "lang", F.log("perplexity").alias("x"), F.octet_length("text").alias("bytes"),
+        F.col("__kn_contrast").alias("contrast")), "kn-held-out")
+    whole = _spreads(held.withColumn("lang", F.lit(""))).first()
+    names = ("mu", "a", "b", "mid", "mad")
+    by_lang = stored(_spreads(held).where(F.col("n") >= LEAST).select(
+        F.col("lang").alias("__kn_lang"), *[F.col(c).alias(f"__kn_{c}") for c in names]), "kn-spreads")
+    mu, a, b, mid, mad = [F.coalesce(f"__kn_{c}", F.lit(whole[c] if whole else None).cast("double")) for c in names]
+    wide = lambda size: F.sqrt(F.greatest(a + b / size, F.lit(1e-12)))
+    most = F.greatest(mad, F.lit(1e-6))
     share = 1 - (1 - quantile) / 2 if contrasted else quantile
-    cuts = [F.percentile_approx(c, share, 10_000) for c in ("perplexity", "__kn_contrast")]
-    everywhere = held.agg(*cuts).first()
-    by_lang = held.groupBy(F.col("lang").alias("__kn_lang")).agg(
-        cuts[0].alias("__kn_cut"), cuts[1].alias("__kn_most"), F.count("*").alias("n")).where(F.col("n") >= LEAST).drop("n")
-    lang = F.coalesce(F.col(lang_col), F.lit(""))
-    out = scored(docs, text_col)
-    out = out.withColumn("__kn_lang", lang).join(by_lang, "__kn_lang", "left")
-    out = out.withColumn("threshold", F.coalesce("__kn_cut", F.lit(everywhere[0]).cast("double")))
-    most = F.coalesce("__kn_most", F.lit(everywhere[1]).cast("double"))
+    cut = held.withColumn("__kn_lang", F.col("lang")).join(by_lang, "__kn_lang", "left").agg(
+        F.percentile_approx((F.col("x") - mu) / wide(F.col("bytes")), share, 10_000),
+        F.percentile_approx((F.col("contrast") - mid) / most, share, 10_000)).first()
+    cut = [F.lit(c).cast("double") for c in cut]
+    out = scored(docs, text_col).withColumn("__kn_lang", F.coalesce(F.col(lang_col), F.lit("")))
+    out = out.join(by_lang, "__kn_lang", "left").join(
+        trusted.withColumn("__kn_trusted", F.lit(True)), F.col(id_col) == F.col("__kn_id"), "left")
+    size = F.greatest(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1))
+    out = out.withColumn("threshold", F.exp(mu + cut[0] * wide(size)))
     fine = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) & F.coalesce(
-        F.col("__kn_contrast") <= most, F.lit(True))
-    return out.withColumn("kept", fine).drop("__kn_lang", "__kn_cut", "__kn_most", "__kn_contrast")
+        F.col("__kn_contrast") <= mid + cut[1] * most, F.lit(True))
+    return out.withColumn("kept", fine | F.coalesce("__kn_trusted", F.lit(False))).drop(
+        "__kn_lang", "__kn_id", "__kn_trusted", "__kn_contrast", *[f"__kn_{c}" for c in names])
