@@ -25,6 +25,7 @@ from tidemark.llm import kn_quality, line_runs, mixing, ngram_jaccard, piece_nbe
 from tidemark.llm.common import SPACE, stored, table
 
 BROADCAST_IDS = 1_000_000
+COPY_WORDS, COPY_PERCENT = 5, 80        # of the copies stage; op2 has its own
 
 
 def _packed(docs: DataFrame, *names: str) -> DataFrame:
@@ -54,14 +55,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    if rows == ids:
+    plain = rows == ids
+    if plain:
         keyed, key = docs, F.col("doc_id")
-    else:       # ids that are null or repeat: a row's key is a hash of id and text
+    else:       # ids that are null or repeat: rows are told apart by a hash of id and text
         key = F.xxhash64("doc_id", "text")
         has_text = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACE)) != ""
         keyed = docs.where(has_text).dropDuplicates(["doc_id", "text"]).unionByName(docs.where(~has_text))
-    found = ngram_jaccard.jaccard_components(keyed.select(key.alias("doc_id"), "text"))
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "copies-gone")
+    found = ngram_jaccard.jaccard_components(keyed.select(key.alias("doc_id"), "text"), words=COPY_WORDS, percent=COPY_PERCENT)
+    if plain:
+        gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+    else:       # a group's first by id, null last, then by the hash
+        found = stored(found.select(F.col("doc_id").alias("k"), "component_id"), "copies-found")
+        groups = found.where("k <> component_id").select("component_id").distinct()
+        own = keyed.select(key.alias("k"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key.alias("k")).alias("place"))
+        members = found.join(groups, "component_id", "left_semi").join(own, "k")
+        first = members.groupBy("component_id").agg(F.min("place").alias("first"))
+        gone = members.join(first, "component_id").where("k <> first.k").select(F.col("k").alias("__gone"))
+    gone = stored(gone.distinct(), "copies-gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     return keyed.join(gone, key.eqNullSafe(F.col("__gone")), "left_anti").select(docs.columns)

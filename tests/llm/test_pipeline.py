@@ -55,6 +55,28 @@ def test_stages(spark, corpus):
     assert set(seen["mix"]) <= set(seen["copies"]) and sorted(seen["pieces"], key=str) == sorted(seen["mix"], key=str)
 
 
+@pytest.mark.parametrize("odd", [[], [(None, "a text without an id"), (900, "one"), (900, "two")]])
+def test_copies_between_the_bounds(spark, odd):
+    """Five-word similarity at least .80, four-word similarity under .85."""
+    rng = random.Random(3)
+
+    def shingles(t, n):
+        w = t.split()
+        return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+
+    rows = []
+    for i in range(8):
+        words = [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(120)]
+        one, two = " ".join(words[:100]), " ".join(words)
+        for n, low, high in ((5, 0.8, 1), (4, 0, 0.85)):
+            a, b = shingles(one, n), shingles(two, n)
+            assert low <= len(a & b) / len(a | b) < high
+        rows += [(i, one), (100 + i, two)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string")
+    left = [r.doc_id for r in corpus_pipeline.copies(spark, docs, "").collect()]
+    assert sorted(left, key=str) == sorted([*range(8), *[i for i, _ in odd]], key=str)
+
+
 def test_run_and_empty_tables(spark, corpus, tmp_path):
     folder, _ = corpus
     assert corpus_pipeline.run(spark, folder).count() > 50
