@@ -125,3 +125,17 @@ def test_main_text_of_a_table(spark):
     assert len(out) == len(rows) and all(r.n_chars == len(r.text) for r in out)
     want = {i: f"Text {i} é" for i in range(60)} | {None: "", 70: "", 71: "plain words"}
     assert all(r.text == want[r.page_id] for r in out)
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<body><article><p>one</p></article><nav>x</nav><article><p>two and more</p></article></body>", "one\ntwo and more"),
+    ("<body><div class='has-sidebar'><p>the text of it</p></div></body>", "the text of it"),
+    ("<body><article class='post comments-open'><p>the text of it</p></article></body>", "the text of it"),
+    ("<body><div id='content' class='no-sidebar'><p>the text of it</p></div><div class='site-header'>x</div></body>", "the text of it"),
+    ("<body><form><div><p>the text of it</p></div></form></body>", "the text of it"),
+    ("<body><form><main><p>the text of it</p></main><div class='sidebar-left'>x</div></form></body>", "the text of it"),
+    ("<body><div class='menu'><article><p>the text of it</p></article></div></body>", "the text of it"),
+    ("<body><p>the text of it</p><form>search</form><div class='main-menu'>x</div><div id='comments'>y</div></body>", "the text of it"),
+])
+def test_main_text_is_not_lost(html, text):
+    assert wrapper_html.extract_group([html]) == [text]

@@ -7,10 +7,12 @@ is aligned with it by simple tree matching: the largest order-preserving
 matching of equal nodes, top down.  A text that stands at the same aligned
 node in all different pages of the group is template; what varies is content.
 
-Where a page marks its article (article, main, or the like) content is taken
-from there, else from the body; menus, headers, footers, sidebars, notices,
+Where a page marks its articles (article, main, or the like) content is taken
+from all of them in page order, else from the body; menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments are dropped by element,
-role, class or id.  Inside a marked article a constant text counts as
+role, class or id.  A form, or an element known by its class or id only, is
+searched for a marked article if there is none elsewhere, and without one
+stays if it holds most of the body's text.  Inside a marked article a constant text counts as
 template only if constants are a small part of the article, so a host that
 repeats one article keeps it.
 
@@ -59,12 +61,14 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
             "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select", "datalist"}}
 
-# names of page parts around an article
+# names of page parts around an article: a class or id that ends with one, but for states (has-sidebar, comments-open)
 PARTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|banner|promo\w*|pop-?up|modal|cookies?|consent|gdpr|notice|"
+    r"(?:^|\s)(?!(?:has|have|no|not|with|without|is|show|hide|hides)[_-])(?:[^\s_-]+[_-]+)*(?:ads?|advert\w*|adsense|sponsor\w*|banner|promo\w*|pop-?up|modal|cookies?|consent|gdpr|notice|"
     r"alert|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|masthead|header|footer|comments?|comment-?list|"
     r"disqus\w*|replies|respond|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|"
-    r"subscription|widgets?|toolbar|pagination|pager|login|signup|search-?form)(?=$|[\s_-])", re.I)
+    r"subscription|widgets?|toolbar|pagination|pager|login|signup|search-?form)"
+    r"(?:[_-]+(?:left|right|top|bottom|main|primary|secondary|wrap|wrapper|container|inner|outer|box|bar|area|block|"
+    r"section|list|links?|items?|content|text|form|buttons?|icons?|title|widgets?|\d+))*(?=$|\s)", re.I)
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)"
     r"|<[a-zA-Z][^>]*+(?:>|\Z)", re.S)
@@ -73,15 +77,15 @@ SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "sig", "kids", "drop", "article")
+    __slots__ = ("tag", "sig", "kids", "drop", "article", "soft")
 
-    def __init__(self, tag, sig="", drop=False, article=False):
-        self.tag, self.sig, self.kids, self.drop, self.article = tag, sig, [], drop, article
+    def __init__(self, tag, sig="", drop=False, article=False, soft=False):
+        self.tag, self.sig, self.kids, self.drop, self.article, self.soft = tag, sig, [], drop, article, soft
 
 
 def _element(tag: str, attributes: str) -> Node:
     if not attributes.strip(" /\t\r\n"):
-        return Node(tag, tag, tag in DROPPED, tag in ("article", "main"))
+        return Node(tag, tag, tag in DROPPED, tag in ("article", "main"), tag == "form")
     a = {}
     for name, x, y, z in ATTRIBUTE.findall(attributes):
         a.setdefault(name.lower(), html_lib.unescape(x or y or z))
@@ -90,9 +94,10 @@ def _element(tag: str, attributes: str) -> Node:
     article = tag in ("article", "main") or role in ("main", "article") or "articlebody" in a.get("itemprop", "").lower()
     hidden = "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(
         r"display\s*:\s*none", a.get("style", ""), re.I)
-    part = tag not in ("html", "body", "main") and names and PARTS.search(names)
-    drop = tag in DROPPED or role in DROPPED_ROLES or bool(hidden) or bool(part)
-    return Node(tag, f"{tag}.{a.get('class', '')}", drop, article and not drop)
+    part = tag not in ("html", "body") and not article and names and PARTS.search(names)
+    hard = tag in DROPPED and tag != "form" or role in DROPPED_ROLES or bool(hidden)
+    soft = not hard and (tag == "form" or bool(part))
+    return Node(tag, f"{tag}.{a.get('class', '')}", hard or soft, article and not (hard or soft), soft)
 
 
 def parse(text: str) -> Node:
@@ -188,8 +193,9 @@ def blocks(node: Node, skipped=frozenset(), inside: bool = False) -> list[str]:
     return out
 
 
-def content_root(root: Node) -> tuple[Node, bool]:
-    """The article with the most text, or the body."""
+def _articles(root: Node, soft: bool) -> tuple[list[Node], Node]:
+    """Marked articles that are not inside others, in page order, and the body;
+    with ``soft`` also those below parts known by name only."""
     found, body, todo = [], root, [root]
     while todo:
         x = todo.pop()
@@ -198,13 +204,40 @@ def content_root(root: Node) -> tuple[Node, bool]:
             continue
         if x.tag == "body":
             body = x
-        if not x.drop:
+        if not x.drop or soft and x.soft:
             todo.extend(k for k in reversed(x.kids) if not isinstance(k, str))
+    return found, body
+
+
+def _size(node: Node) -> int:
+    """Length of the text below ``node``, with that of parts known by name."""
+    size, todo = 0, [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            size += len(x.strip())
+        elif x is node or not x.drop or x.soft:
+            todo.extend(x.kids)
+    return size
+
+
+def content_root(root: Node) -> tuple[Node, bool]:
+    """The marked articles, below one node, or the body."""
+    found, body = _articles(root, False)
     if not found:
-        return body, False
+        found, _ = _articles(root, True)
     if len(found) == 1:
         return found[0], True
-    return max(found, key=lambda x: sum(map(len, blocks(x, inside=True)))), True
+    if found:
+        whole = Node("#articles", "#articles")
+        whole.kids = found
+        return whole, True
+    whole, x = _size(body), body
+    while x is not None:            # down the elements that hold most of the text
+        x = next((k for k in x.kids if not isinstance(k, str) and (not k.drop or k.soft) and 2 * _size(k) > whole), None)
+        if x is not None:
+            x.drop = False
+    return body, False
 
 
 def runs(node: Node) -> list[tuple[str, list[Node]]]:
