@@ -18,7 +18,7 @@ Joining a region.  Small regions give their pairs that pass the size and
 position bounds.  In a large one a document pivot (the leader) is compared
 with all members; what links is merged.  Regions whose members are by then one
 component are settled, because links inside a component change nothing.  The
-others recur with their component labels: members outside the region's main
+others are split once, with their component labels, and not again: members outside the region's main
 component meet all members, in tiles of bounded size, where distances to a
 document of the tile prune pairs by the triangle inequality, and only links
 that join two components leave the task.  No pair that could link is left
