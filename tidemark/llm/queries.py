@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann_tiles, kn_quality, line_runs, mixing, ngram_jaccard, nn_descent, piece_nbest, suffix_dedup, warc_zip, wrapper_html
+from tidemark.llm import ann_tiles, fill_middle, kn_quality, line_runs, mixing, ngram_jaccard, nn_descent, piece_nbest, suffix_dedup, warc_zip, wrapper_html
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -198,3 +198,34 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+SQL["op13_fill_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), u AS (
+  SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines,
+         [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) for i in range(4)] AS k FROM d
+), c AS (
+  SELECT *, CAST(len(lines) AS BIGINT) AS n, least(k[1] % (len(lines) + 1), k[2] % (len(lines) + 1)) AS a,
+         greatest(k[1] % (len(lines) + 1), k[2] % (len(lines) + 1)) AS b FROM u
+), p AS (
+  SELECT *, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle,
+         array_to_string(lines[b + 1:], '') AS suffix,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR k[3] % 100 >= 100
+              THEN 'plain' WHEN k[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p"""
