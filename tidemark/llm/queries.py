@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann_tiles, fill_middle, kn_quality, line_runs, mixing, ngram_jaccard, nn_descent, piece_nbest, suffix_dedup, warc_zip, wrapper_html
+from tidemark.llm import ann_tiles, fill_middle, kn_quality, line_runs, merkle, mixing, ngram_jaccard, nn_descent, piece_nbest, suffix_dedup, token_lengths, warc_zip, wrapper_html
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -229,3 +229,17 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
               ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
        sha256(text) AS restored_sha256
 FROM p"""
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_lengths.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))\
+        .select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", *merkle.FIELDS)
+    tampered = {"text": merkle.without_line_ends(F.col("text"), F.col("doc_id"))}
+    return merkle.manifest(docs, tampered).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
