@@ -243,3 +243,60 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = {"text": merkle.without_line_ends(F.col("text"), F.col("doc_id"))}
     return merkle.manifest(docs, tampered).select(
         "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+SQL["op11_merkle_manifest"] = """
+WITH RECURSIVE crc_table AS (
+  SELECT CAST(b AS BIGINT) AS b, list_reduce([CAST(b AS BIGINT), 0, 1, 2, 3, 4, 5, 6, 7],
+           lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) t(b)
+), crc(doc_id, s, i, c) AS (
+  SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR), 0, CAST(4294967295 AS BIGINT) FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT doc_id, s, i + 1, xor(c // 256, v) FROM crc JOIN crc_table ON b = xor(c % 256, CAST(ascii(substr(s, i + 1, 1)) AS BIGINT))
+  WHERE i < length(s)
+), changed AS (
+  SELECT doc_id FROM crc WHERE i = length(s) AND xor(c, 4294967295) % 2 = 0
+), d AS (
+  SELECT *, CASE WHEN doc_id IN (FROM changed) THEN replace(text, chr(10), '') ELSE text END AS claim FROM documents
+), f AS (
+  SELECT row_number() OVER () AS r, doc_id, source,
+         concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS front,
+         coalesce(strlen(text) || ':' || text, '-') AS own, coalesce(strlen(claim) || ':' || claim, '-') AS told FROM d
+), leaf AS (
+  SELECT r, doc_id, source, sha256(front || own) AS h, sha256(front || told) AS told FROM f
+), tree AS (
+  SELECT source, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM documents)
+), placed AS (
+  SELECT r, doc_id, tree, h, told, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos
+  FROM leaf JOIN tree ON leaf.source IS NOT DISTINCT FROM tree.source
+), up(level, tree, pos, h, n) AS (
+  SELECT 0, tree, pos, h, count(*) OVER (PARTITION BY tree) FROM placed
+  UNION ALL
+  SELECT level + 1, tree, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), max((n + 2) // 3) FROM up WHERE n > 1 GROUP BY level, tree, pos // 3
+), subroot AS (
+  SELECT tree, h, level FROM up WHERE n = 1
+), over(level, pos, h, n) AS (
+  SELECT 0, tree, h, count(*) OVER () FROM subroot
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), max((n + 2) // 3) FROM over WHERE n > 1 GROUP BY level, pos // 3
+), nodes AS (
+  SELECT 0 AS tier, level, tree, pos, h FROM up WHERE n > 1
+  UNION ALL SELECT 1, level, 0, pos, h FROM over WHERE n > 1
+), runs AS (
+  SELECT a.tier, a.level, a.tree, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS rt
+  FROM nodes a JOIN nodes b ON a.tier = b.tier AND a.level = b.level AND a.tree = b.tree AND a.pos // 3 = b.pos // 3 GROUP BY ALL
+), fold(r, tier, level, tree, pos, got, proof) AS (
+  SELECT r, 0, 0, tree, pos, told, '' FROM placed
+  UNION ALL
+  SELECT r, CASE WHEN u.l IS NULL THEN 1 ELSE f.tier END, CASE WHEN u.l IS NULL THEN 0 ELSE f.level + 1 END,
+         CASE WHEN u.l IS NULL THEN 0 ELSE f.tree END, CASE WHEN u.l IS NULL THEN f.tree ELSE f.pos // 3 END,
+         CASE WHEN u.l IS NULL THEN got ELSE sha256(u.l || got || u.rt) END, proof || coalesce(u.l || u.rt, '')
+  FROM fold f LEFT JOIN runs u ON f.tier = u.tier AND f.level = u.level AND f.tree = u.tree AND f.pos = u.pos
+  WHERE u.l IS NOT NULL OR f.tier = 0
+), ends AS (
+  SELECT r, arg_max(got, tier * 1000 + level) AS got, arg_max(proof, tier * 1000 + level) AS proof FROM fold GROUP BY r
+)
+SELECT doc_id, p.h AS leaf, s.h AS subroot, o.h AS root, sha256(proof) AS proof_sha256, got AS folded_root, got = o.h AS verified
+FROM placed p JOIN ends USING (r) JOIN subroot s ON p.tree = s.tree CROSS JOIN (SELECT h FROM over WHERE n = 1) o"""
