@@ -80,7 +80,18 @@ def tree_nodes(spark: SparkSession, models: DataFrame) -> DataFrame:
     return nodes.join(kinds, "_model")
 
 
-def _compile(nodes: pd.DataFrame):
+def stored_nodes(spark: SparkSession, models: DataFrame) -> DataFrame:
+    """Node rows, keyed by ``_model``, of the models of grouped training runs
+    (``file_path``: the run's node table, ``model_id``).  A run is one path,
+    however many models it holds."""
+    paths = [r["file_path"] for r in models.select("file_path").distinct().collect()]
+    wanted = models.select("model_id", (F.col("algorithm") == "random_forest").alias("average")).distinct()
+    nodes = spark.read.parquet(*paths).where(F.col("error").isNull())
+    return nodes.select("model_id", "tree_id", "node_id", "value", "left", "right", "feature", "threshold", "weight") \
+        .join(wanted, "model_id").withColumnRenamed("model_id", "_model")
+
+
+def compile_nodes(nodes: pd.DataFrame):
     """Flatten one model's trees into global-index arrays."""
     nodes = nodes.sort_values(["tree_id", "node_id"])
     sizes = nodes.groupby("tree_id", sort=True).size()
@@ -142,7 +153,7 @@ def _recursive_group(series_keys: list[str], horizon: int):
                 out.append((*(key if isinstance(key, tuple) else (key,)), None, None, None, why))
         if not groups:
             return pd.DataFrame(out, columns=cols)
-        model = _compile(nodes)
+        model = compile_nodes(nodes)
         s = len(groups)
         buf = np.zeros((s, HISTORY + horizon))
         n_days = np.zeros(s, dtype=np.int64)
@@ -239,6 +250,20 @@ ADDITIVE_PARAMS = ("struct<changepoints: array<double>, band: array<double>, "
                    "coefficients: array<double>, intercept: double>")
 
 
+def additive_score(date_col: str) -> Column:
+    """The additive model's value for ``_t`` (days since the series began)
+    and ``date_col`` under the parameters ``_p``: hinge terms come from
+    ``transform`` over the changepoints, the sum is a ``zip_with`` dot
+    product - the design columns of the fit, in their order."""
+    seasonal = additive_terms(date_col, "_t", [])[1:]
+    terms = F.concat(F.array(F.col("_t")),
+                     F.transform("_p.changepoints", lambda c: F.greatest(F.col("_t") - c, F.lit(0.0))),
+                     F.array(*seasonal))
+    dot = F.aggregate(F.zip_with("_p.coefficients", terms, lambda a, b: a * b),
+                      F.lit(0.0), lambda acc, x: acc + x)
+    return F.col("_p.intercept") + dot
+
+
 def additive_forecast(daily: DataFrame, models: DataFrame, series_keys: Sequence[str],
                       model_keys: Sequence[str], horizon: int = DEFAULT_HORIZON) -> DataFrame:
     """FCT4: direct forecast of the additive model for the ``horizon`` days
@@ -260,13 +285,7 @@ def additive_forecast(daily: DataFrame, models: DataFrame, series_keys: Sequence
         F.posexplode(F.sequence(F.date_add("_last", 1), F.date_add("_last", horizon)))
         .alias("_i", "target_date"))
     t = (F.col("_n") + F.col("_i")).cast("double")
-    seasonal = [c for c in additive_terms("target_date", "_t", [])[1:]]
-    terms = F.concat(F.array(F.col("_t")),
-                     F.transform("_p.changepoints", lambda c: F.greatest(F.col("_t") - c, F.lit(0.0))),
-                     F.array(*seasonal))
-    dot = F.aggregate(F.zip_with("_p.coefficients", terms, lambda a, b: a * b),
-                      F.lit(0.0), lambda acc, x: acc + x)
-    scored = fut.withColumn("_t", t).withColumn("_yhat", F.col("_p.intercept") + dot)
+    scored = fut.withColumn("_t", t).withColumn("_yhat", additive_score("target_date"))
     yhat = F.col("_yhat")
     return scored.select(
         *series_keys, (F.col("_i") + 1).cast("int").alias("step"), "target_date",

@@ -27,6 +27,7 @@ from tidemark.sinks.store import cascade_delete
 from tidemark.plans.dashboard import dashboard_payload
 from tidemark.sources.warehouse import activity_view
 from tidemark.operators import forecast as fc
+from tidemark.operators import grouped_training as grp
 from tidemark.operators import training as trn
 from tidemark.plans.forecasting import forecast_run
 from tidemark.functions.calendar import calendar_features
@@ -275,13 +276,15 @@ _RUNS: dict = {}
 
 
 def _train(spark, sf_dir, algorithms, tune=False, pooled=False):
-    """A training run of the shared tables; queries that ask for the same run
-    of the same files in the same session get the one already made."""
+    """A training run of the shared tables, all datasets in a fixed number of
+    jobs; queries that ask for the same run of the same files in the same
+    session get the one already made."""
     key = (spark.sparkContext.applicationId, snapshot(spark, sf_dir, ORDER_TABLES),
            tuple(algorithms), tune, pooled)
     if key not in _RUNS:
-        _RUNS[key] = trn.train_and_compare(sales_table(spark, sf_dir), ["dataset_id"], algorithms,
-                                           test_size=0.2, tune=tune, pooled=pooled)
+        sales = sales_table(spark, sf_dir)
+        _RUNS[key] = (trn.train_and_compare(sales, ["dataset_id"], algorithms, test_size=0.2, tune=tune, pooled=True) if pooled
+                      else grp.train_grouped(sales, ["dataset_id"], algorithms, test_size=0.2, tune=tune))
     return _RUNS[key]
 
 
@@ -290,6 +293,11 @@ def _metrics_out(run):
                                *[r2(m, 4) for m in METRICS], "is_active")
 
 
+def _tuned_out(run):
+    return run.registry.select("dataset_id", "algorithm", "hyperparameters",
+                               *[r2(m, 4) for m in METRICS], "is_active")
+
+
 @register("train_gbt")
 def train_gbt(spark, sf_dir):
     return _metrics_out(_train(spark, sf_dir, ["gradient_boosting"]))
@@ -302,6 +310,7 @@ def train_rf(spark, sf_dir):
 
 @register("train_compare")
 def train_compare(spark, sf_dir):
+    """All five algorithms for every dataset, compared on the test split."""
     return _metrics_out(_train(spark, sf_dir, trn.AVAILABLE_ALGORITHMS))
 
 
@@ -313,10 +322,23 @@ def train_pooled(spark, sf_dir):
 
 @register("tune_cv")
 def tune_cv(spark, sf_dir):
-    """One random search over all datasets' panels, 3 contiguous folds."""
-    run = _train(spark, sf_dir, ["gradient_boosting"], tune=True, pooled=True)
-    return run.registry.select("dataset_id", "algorithm", "hyperparameters",
-                               *[r2(m, 4) for m in METRICS], "is_active")
+    """Random search with three contiguous folds, per dataset."""
+    return _tuned_out(_train(spark, sf_dir, ["gradient_boosting"], tune=True))
+
+
+@register("tune_cv_forest")
+def tune_cv_forest(spark, sf_dir):
+    return _tuned_out(_train(spark, sf_dir, ["random_forest"], tune=True))
+
+
+@register("tune_cv_xgboost")
+def tune_cv_xgboost(spark, sf_dir):
+    return _tuned_out(_train(spark, sf_dir, ["xgboost"], tune=True))
+
+
+@register("tune_cv_lightgbm")
+def tune_cv_lightgbm(spark, sf_dir):
+    return _tuned_out(_train(spark, sf_dir, ["lightgbm"], tune=True))
 
 
 @register("forecast_recursive")

@@ -60,6 +60,18 @@ def forecast_run(run: TrainingRun, sales: DataFrame, horizon: int = 30,
         points = fc.recursive_forecast(tagged, nodes, series_keys, horizon, salt=salt)
         parts.append(fc.tree_band(points, tree_models, series_keys, keys)
                      .join(tree_models.select(*keys, "algorithm", "model_id"), keys))
+    if "nodes" in kinds:        # models of a grouped run: rows of its node table
+        node_models = models.where(F.col("kind") == "nodes")
+        series_model = node_models.select(*keys, F.col("model_id").alias("_model"),
+                                          F.array().cast("array<double>").alias("_extra"))
+        tagged = daily.join(series_model, keys)
+        salt = 1
+        if len(series_keys) > len(keys):
+            per_model = tagged.groupBy("_model").agg(F.countDistinct(F.struct(*series_keys)).alias("n"))
+            salt = -(-(per_model.agg(F.max("n")).first()[0] or 1) // SERIES_PER_TASK)
+        points = fc.recursive_forecast(tagged, fc.stored_nodes(spark, node_models), series_keys, horizon, salt=salt)
+        parts.append(fc.tree_band(points, node_models, series_keys, keys)
+                     .join(node_models.select(*keys, "algorithm", "model_id"), keys))
     if "additive" in kinds:
         add_models = models.where(F.col("kind") == "additive")
         parts.append(fc.additive_forecast(daily, add_models, series_keys, keys, horizon)

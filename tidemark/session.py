@@ -128,10 +128,16 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
-def write_once(df, name: str):
-    """``df`` as Parquet in the shared folder, read back with its own schema:
-    for rows that several passes of a job need parsed, columns pruned."""
+def written(df, name: str):
+    """``df`` as Parquet in a new folder of the shared one: (path, the rows
+    read back with their own schema)."""
     spark = df.sparkSession
     path = shared_path(spark, name, uuid.uuid4().hex)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def write_once(df, name: str):
+    """``df`` as Parquet in the shared folder, read back with its own schema:
+    for rows that several passes of a job need parsed, columns pruned."""
+    return written(df, name)[1]
