@@ -41,6 +41,7 @@ from tidemark.schema import AVAILABLE_ALGORITHMS, FEATURE_COLS, MIN_FEATURE_ROWS
 from tidemark.session import write_once, written
 
 ADDITIVE = "prophet"
+PARTS_PER_CORE = 8
 PERIODS = [(7.0, WEEKLY_ORDER), (365.25, YEARLY_ORDER)]
 
 # FIXED VALUES - library defaults beside the request's parameters: leaf weight
@@ -86,6 +87,13 @@ def _configs(spark: SparkSession, algorithms: Sequence[str], tune: bool) -> Colu
     return F.array(*rows)
 
 
+def _dealt(fits: DataFrame, *by: str) -> DataFrame:
+    """One group after another is little data but much work: dealt to a fixed
+    number of partitions, which are not merged for being small."""
+    sc = fits.sparkSession.sparkContext
+    return fits.repartition(max(PARTS_PER_CORE * sc.defaultParallelism, int(fits.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 # ---- inside a group ----------------------------------------------------------
 
 def _arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +198,7 @@ def tuned(train: DataFrame, keys: Sequence[str], algorithms: Sequence[str]) -> D
     schema = T.StructType([*_key_fields(train, keys), T.StructField("algorithm", T.StringType()), T.StructField("draw", T.IntegerType()),
                            T.StructField("params", T.StringType()), T.StructField("fold", T.IntegerType()),
                            T.StructField("mae", T.DoubleType()), T.StructField("error", T.StringType())])
-    judged = fits.groupBy(*keys, "algorithm", "draw", "fold").applyInPandas(_fold_group(keys), schema)
+    judged = _dealt(fits, *keys, "algorithm", "draw", "fold").groupBy(*keys, "algorithm", "draw", "fold").applyInPandas(_fold_group(keys), schema)
     draws = judged.groupBy(*keys, "algorithm", "draw").agg(
         F.when(F.count("mae") == TUNE_FOLDS, F.avg("mae")).alias("mae"), F.max("params").alias("params"), F.max("error").alias("error"))
     best = draws.groupBy(*keys, "algorithm").agg(
@@ -205,14 +213,14 @@ def fit_nodes(train: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataF
     keys = list(keys)
     schema = T.StructType([*_key_fields(train, keys), T.StructField("algorithm", T.StringType()), *NODES.fields])
     rows = train.select(*keys, "order_date", "revenue", "x").join(chosen.select(*keys, "algorithm", "params"), keys)
-    return rows.groupBy(*keys, "algorithm").applyInPandas(_fit_group(keys), schema)
+    return _dealt(rows, *keys, "algorithm").groupBy(*keys, "algorithm").applyInPandas(_fit_group(keys), schema)
 
 
 def additive_models(daily: DataFrame, keys: Sequence[str], test_size: float) -> DataFrame:
     """TRN5 for every dataset in one job: keys, algorithm, params, error."""
     keys = list(keys)
     schema = T.StructType([*_key_fields(daily, keys), *[T.StructField(c, T.StringType()) for c in ("algorithm", "params", "error")]])
-    return daily.select(*keys, "order_date", "revenue").groupBy(*keys).applyInPandas(_additive_group(keys, test_size), schema)
+    return _dealt(daily.select(*keys, "order_date", "revenue"), *keys).groupBy(*keys).applyInPandas(_additive_group(keys, test_size), schema)
 
 
 def _additive_predictions(daily: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:

@@ -142,18 +142,34 @@ def grow(order: np.ndarray, codes: np.ndarray, low, high, columns: np.ndarray, g
             _, _, node, part, depth, feature, last = heapq.heappop(heap)
             fresh = [(child, rows, depth + 1) for child, rows in split(node, part, feature, last)]
             leaves += 1
-    level, depth = [(root, order)], 0
-    while level and depth < max_depth:
-        level = [x for x in level if x[1].shape[1] > 1]
-        if not level:
+    nodes, starts, depth = np.array([root]), np.zeros(1, np.int64), 0
+    key = np.zeros(codes.shape[1], np.int16 if codes.shape[1] < 1 << 14 else np.int32)
+    while order.shape[1] > len(nodes) and depth < max_depth:
+        gain, feature, last = best_splits(order, starts, codes, gw, weights, l2, least)
+        chosen = np.flatnonzero(gain > slack)
+        if not len(chosen):
             break
-        starts = np.cumsum([0] + [x[1].shape[1] for x in level[:-1]])
-        found = best_splits(np.concatenate([x[1] for x in level], axis=1), starts, codes, gw, weights, l2, least)
-        below = []
-        for (node, part), start, gain, feature, last in zip(level, starts, *found):
-            if gain > slack:
-                below += split(node, part, int(feature), int(last - start))
-        level, depth = below, depth + 1
+        feature, last = feature[chosen], last[chosen]
+        code = codes[feature, order[feature, last]]
+        above = codes[feature, order[feature, last + 1]]
+        # every row's child: two numbers a split node, in the order of the nodes
+        number = np.full(len(starts), -1)
+        number[chosen] = np.arange(len(chosen))
+        mine = np.repeat(number, np.diff(np.append(starts, order.shape[1])))
+        rows, mine = order[0][mine >= 0], mine[mine >= 0]
+        key[:] = -1
+        key[rows] = 2 * mine + (codes[feature[mine], rows] > code[mine])
+        total, weight = (np.bincount(key[rows], v[rows], 2 * len(chosen)) for v in (gw, w))
+        children = [tree.node(float(v)) for v in total / (weight + l2)]
+        for i, node in enumerate(nodes[chosen].tolist()):
+            f = int(feature[i])
+            tree.left[node], tree.right[node], tree.feature[node] = children[2 * i], children[2 * i + 1], int(columns[f])
+            tree.threshold[node] = float((high[f][code[i]] + low[f][above[i]]) / 2)
+        child = key[order]
+        order = order[child >= 0].reshape(len(order), -1)
+        order = np.take_along_axis(order, np.argsort(key[order], axis=1, kind="stable"), axis=1)
+        starts = np.searchsorted(key[order[0]], np.arange(2 * len(chosen)))
+        nodes, depth = np.array(children), depth + 1
     return tree
 
 
