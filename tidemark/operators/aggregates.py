@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import bucket_end, calendar_by_key, check_freq
-from tidemark.functions.columns import round_half_up
+from tidemark.functions.columns import round_half_up, segment_label
 from tidemark.session import materialize
 
 DEFAULT_KEYS = ("dataset_id",)
@@ -122,3 +122,22 @@ def daily_revenue(sales: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
         .alias("quantity"),
         *extra,
     )
+
+
+def segment_daily(sales: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, date_col: str = "order_date") -> DataFrame:
+    """FCT1 for every segment at once: revenue and quantity per day of each
+    category and region, of each alone and of all, from one aggregate over
+    grouping sets.  ``segment`` is labelled as predictions are (SNK3);
+    ``category`` and ``region`` are null where a level means all; rows whose
+    own category or region is null count under ``all`` only."""
+    keys = list(keys)
+    day = F.col(date_col).alias("order_date")
+    base = sales.groupBy(*keys, day, "category", "region").agg(F.sum("revenue").alias("revenue"), F.sum("quantity").alias("quantity"))
+    dims = [*keys, "order_date"]
+    sets = [[*dims, "category", "region"], [*dims, "category"], [*dims, "region"], dims]
+    cube = base.groupingSets([[F.col(c) for c in s] for s in sets], *dims, "category", "region").agg(
+        F.sum("revenue").alias("revenue"), F.sum("quantity").alias("quantity"),
+        F.grouping("category").alias("_c"), F.grouping("region").alias("_r"))
+    cube = cube.where(((F.col("_c") == 1) | F.col("category").isNotNull()) & ((F.col("_r") == 1) | F.col("region").isNotNull()))
+    return cube.select(*keys, segment_label(F.col("category"), F.col("region")).alias("segment"), "category", "region",
+                       "order_date", "revenue", "quantity")

@@ -23,7 +23,7 @@ from tidemark.plans import baselines
 from tidemark.operators import ingest
 from tidemark.sources import uploads
 from tidemark.operators import activity as act
-from tidemark.sinks.store import cascade_delete
+from tidemark.sinks.store import cascade_delete, select_sales
 from tidemark.plans.dashboard import dashboard_payload
 from tidemark.sources.warehouse import activity_view
 from tidemark.operators import forecast as fc
@@ -461,12 +461,13 @@ def dashboard_payload_q(spark, sf_dir):
     return dashboard_payload(sales_table(spark, sf_dir), "ME")
 
 
-# --- SRC6 (rows-only: streaming) ---------------------------------------------------
+# --- SRC6, SRC3, FCT1, AGG5 ---------------------------------------------------
 
 @register("stream_ingest")
 def stream_ingest(spark, sf_dir):
-    """Each segment of the dirty uploads lands as its own CSV file; the
-    stream ingests every file as a dataset; per file: status, rows, revenue."""
+    """Each segment of the dirty uploads lands as a folder of several CSV
+    files; the stream ingests every folder as a dataset; per dataset: status,
+    rows, revenue."""
     import uuid
 
     from tidemark.session import shared_path
@@ -475,23 +476,19 @@ def stream_ingest(spark, sf_dir):
 
     root = shared_path(spark, "stream_ingest", uuid.uuid4().hex)
     landing = f"{root}/landing"
-    raw = uploads.dirty_upload_view(spark, sf_dir)
-    (raw.repartition("dataset_id").sortWithinPartitions("_row").drop("_row")
+    raw = uploads.dirty_upload_table(spark, sf_dir)
+    # ranges of (dataset, row): a large upload is many files, in row order by name
+    (raw.repartitionByRange("dataset_id", "_row").sortWithinPartitions("dataset_id", "_row").drop("_row")
      .write.partitionBy("dataset_id").option("header", True).csv(f"{root}/staged"))
-    # one file per dataset, moved into the landing folder
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    staged = jvm.org.apache.hadoop.fs.Path(f"{root}/staged")
-    fs = staged.getFileSystem(conf)
-    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(landing))
-    for part_dir in fs.listStatus(staged):
-        name = part_dir.getPath().getName()
-        if not name.startswith("dataset_id="):
-            continue
-        for f in fs.listStatus(part_dir.getPath()):
-            if f.getPath().getName().endswith(".csv"):
-                fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(
-                    f"{landing}/{name.split('=', 1)[1].lower()}_{f.getPath().getName()}"))
+    # each dataset's folder is moved into the landing folder
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    staged = hadoop.Path(f"{root}/staged")
+    fs = staged.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(landing))
+    for folder in fs.listStatus(staged):
+        name = folder.getPath().getName()
+        if name.startswith("dataset_id="):
+            fs.rename(folder.getPath(), hadoop.Path(f"{landing}/{name.split('=', 1)[1].lower()}"))
     store = Store(spark, f"{root}/store")
     q = start_file_ingest(spark, landing, store, f"{root}/checkpoint")
     q.awaitTermination()
@@ -500,10 +497,39 @@ def stream_ingest(spark, sf_dir):
         F.count(F.lit(1)).cast("bigint").alias("stored_rows"),
         F.sum("revenue").alias("revenue"))
     return (cat.join(sales, "dataset_id", "left")
-            .select(F.regexp_extract("original_filename", r"^([a-z]+)_", 1).alias("segment"),
+            .select(F.col("original_filename").alias("segment"),
                     "status", "row_count", "stored_rows", r2("revenue")))
 
 
+@register("sales_scan")
+def sales_scan(spark, sf_dir):
+    """SRC3/FCT1: the sales rows of one dataset and region, as a forecast of
+    that segment reads them (partition pruned, filter pushed)."""
+    rows = select_sales(sales_table(spark, sf_dir), "BUILDING", region="ASIA")
+    return rows.select("dataset_id", "order_date", "product", "category", "region", r2("quantity"), r2("unit_price"), r2("revenue"))
+
+
+@register("segment_daily")
+def segment_daily_q(spark, sf_dir):
+    """FCT1: the daily series of every segment - each category and region,
+    alone, together and over all - labelled as predictions are."""
+    d = agg.segment_daily(sales_table(spark, sf_dir))
+    return d.select("dataset_id", "segment", "order_date", r2("revenue"), r2("quantity"))
+
+
+@register("dashboard_sections")
+def dashboard_sections(spark, sf_dir):
+    """AGG5: the payload's trend and breakdowns, one row an entry."""
+    d = materialize(dashboard_payload(sales_table(spark, sf_dir), "ME"))
+    parts = [d.select("dataset_id", F.lit("revenue_trend").alias("section"), F.explode("revenue_trend").alias("e"))
+             .select("dataset_id", "section", F.col("e.period").cast("string").alias("label"), "e.revenue", "e.units",
+                     F.lit(None).cast("double").alias("share_pct"))]
+    parts += [d.select("dataset_id", F.lit(c).alias("section"), F.explode(c).alias("e"))
+              .select("dataset_id", "section", "e.label", "e.revenue", "e.units", "e.share_pct") for c in ("by_category", "by_region", "by_product")]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return out.select("dataset_id", "section", "label", r2("revenue"), r2("units"), "share_pct")
+
+
 @register("daily_ffill")
 def daily_ffill(spark, sf_dir):
     """FIL1: per (segment, region) day, missing days carry the last value."""

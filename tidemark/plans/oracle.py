@@ -583,3 +583,28 @@ SELECT dataset_id,
        CAST(count(*) AS BIGINT) AS rows, {rnd("sum(r)")} AS revenue
 FROM filled WHERE ts IS NOT NULL AND r >= 0
 GROUP BY ALL"""
+
+
+# --- SRC6, SRC3, FCT1, AGG5 -------------------------------------------------------
+
+ORACLE["stream_ingest"] = with_ctes(DIRTY_BASE_SQL, DIRTY_UPLOAD_SQL, INGEST_SQL) + f"""
+SELECT lower(dataset_id) AS segment, 'processed' AS status, count(*) AS row_count, count(*) AS stored_rows,
+       {rnd("sum(r)")} AS revenue
+FROM filled WHERE ts IS NOT NULL AND r >= 0 GROUP BY dataset_id"""
+
+ORACLE["sales_scan"] = SALES + f"""
+SELECT dataset_id, order_date, product, category, region, {rnd("quantity")} AS quantity,
+       {rnd("unit_price")} AS unit_price, {rnd("revenue")} AS revenue
+FROM sales WHERE dataset_id = 'BUILDING' AND region = 'ASIA'"""
+
+ORACLE["segment_daily"] = SALES + f"""
+SELECT dataset_id, 'category=' || coalesce(category, 'all') || ';region=' || coalesce(region, 'all') AS segment,
+       order_date, {rnd("sum(revenue)")} AS revenue, {rnd("sum(quantity)")} AS quantity
+FROM sales GROUP BY dataset_id, order_date, GROUPING SETS ((category, region), (category), (region), ())
+HAVING (grouping(category) = 1 OR category IS NOT NULL) AND (grouping(region) = 1 OR region IS NOT NULL)"""
+
+ORACLE["dashboard_sections"] = " UNION ALL ".join([
+    f"SELECT dataset_id, 'revenue_trend' AS section, CAST(period AS VARCHAR) AS label, revenue, units, "
+    f"CAST(NULL AS DOUBLE) AS share_pct FROM ({ORACLE['trend_monthly']})",
+    *[f"SELECT dataset_id, '{section}' AS section, label, revenue, units, share_pct FROM ({ORACLE[name]})"
+      for section, name in (("by_category", "breakdown_category"), ("by_region", "breakdown_region"), ("by_product", "top_products"))]])

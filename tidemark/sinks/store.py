@@ -67,15 +67,7 @@ class Store:
               ) -> DataFrame:
         """SRC3: sales of one dataset (partition pruning), optional segment
         filters pushed to the scan; an empty typed frame when none."""
-        df = self.read("sales")
-        if dataset_id is not None:
-            df = df.where(F.col("dataset_id") == F.lit(dataset_id))
-        if category:
-            df = df.where(F.col("category") == category)
-        if region:
-            df = df.where(F.col("region") == region)
-        return df.select("dataset_id", "order_date", "product", "category", "region",
-                         "quantity", "unit_price", "revenue")
+        return select_sales(self.read("sales"), dataset_id, category, region)
 
     # --- catalogue ---------------------------------------------------------
     def register_dataset(self, rows: DataFrame) -> None:
@@ -118,6 +110,14 @@ class Store:
         self.spark.createDataFrame([row], ACTIVITY_SCHEMA).write.mode("append").parquet(
             self.path("activity"))
 
+    def log_activities(self, rows: DataFrame, when: dt.datetime) -> None:
+        """SNK6 for many events at once (``user_id``, ``action``,
+        ``details``), in one write."""
+        first = F.lit(int(when.timestamp() * 1e6))
+        rows.select((first + F.monotonically_increasing_id()).alias("event_id"), "user_id", "action", "details",
+                    F.lit(None).cast("string").alias("ip_address"), F.lit(when).alias("created_at")) \
+            .coalesce(1).write.mode("append").parquet(self.path("activity"))
+
     def activity(self) -> DataFrame:
         return self.read("activity", ACTIVITY_SCHEMA)
 
@@ -152,6 +152,15 @@ class Store:
             _remove(self.spark, f"{self.path(table)}/{key}={escape(str(v))}")
 
 
+def select_sales(sales: DataFrame, dataset_id=None, category: str | None = None, region: str | None = None) -> DataFrame:
+    """SRC3/FCT1: rows of one dataset, category and region (those given)."""
+    for column, value in (("dataset_id", dataset_id), ("category", category), ("region", region)):
+        if value is not None and value != "":
+            sales = sales.where(F.col(column) == F.lit(value))
+    return sales.select("dataset_id", "order_date", "product", "category", "region",
+                        "quantity", "unit_price", "revenue")
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -13,6 +13,8 @@ so the cleaning rules can be checked against SQL on the shared tables.
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,20 +34,56 @@ def check_extension(path: str) -> str:
     return path
 
 
-RESERVED = ("dataset_id", "_row")
+RESERVED = ("dataset_id", "_row", "_file", "_metadata")
 
 
-def read_upload_csv(spark: SparkSession, path: str, dataset_id) -> DataFrame:
-    """SRC1: one upload file as all-string columns + ``dataset_id`` +
-    file-order ``_row``.  Quotes inside quoted fields are doubled and quoted
-    fields may hold line breaks; a header that equals an internal name gets
-    the suffix ``__src``."""
-    check_extension(path)
+def file_uri(spark: SparkSession, path: str) -> str:
+    """``path`` as ``row_file`` names it: qualified and encoded, but for the
+    scheme of local files, which is written in several ways."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p)
+    return re.sub("^file:/+", "/", whole.toUri().toString())
+
+
+def row_file() -> Column:
+    """The file a row was read from."""
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+
+
+def file_layouts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """One row a file: ``file`` (as readers name it), its first line as
+    ``header``, and ``broken``, whether a quoted field of it holds a line
+    break.  Read as plain lines, so that large files are split: a line with
+    an odd number of quotes opens or closes a field of several lines."""
+    lines = spark.read.text(list(paths)).select(
+        row_file().alias("file"), "value",
+        F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")).alias("place"))
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    return lines.groupBy("file").agg(F.min_by("value", "place").alias("header"), F.max(odd).alias("broken"))
+
+
+def read_csv_files(spark: SparkSession, paths: Sequence[str], broken: bool) -> DataFrame:
+    """CSV files of one header as all-string columns + ``_file`` and the
+    file-order ``_row`` (a struct that sorts by file, then place).  Only
+    files with line breaks inside quotes are read whole by one task each;
+    the others are split.  A header that equals an internal name gets the
+    suffix ``__src``."""
     df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("escape", '"').option("multiLine", True).csv(path))
+          .option("escape", '"').option("multiLine", broken).csv(list(paths)))
     named = [F.col(f"`{c}`").alias(f"{c}__src" if c.lower() in RESERVED else c) for c in df.columns]
-    return df.select(F.lit(dataset_id).alias("dataset_id"),
-                     F.monotonically_increasing_id().alias("_row"), *named)
+    file = row_file()
+    place = F.struct(file.alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
+    return df.select(file.alias("_file"), place.alias("_row"), *named)
+
+
+def read_upload_csv(spark: SparkSession, path: str, dataset_id) -> DataFrame:
+    """SRC1: one upload - a file, or a folder of files with one header - as
+    all-string columns + ``dataset_id`` + file-order ``_row``.  Quotes inside
+    quoted fields are doubled and quoted fields may hold line breaks; a
+    header that equals an internal name gets the suffix ``__src``."""
+    check_extension(path)
+    broken = file_layouts(spark, [path]).agg(F.max("broken")).first()[0]
+    return read_csv_files(spark, [path], bool(broken)).drop("_file").select(F.lit(dataset_id).alias("dataset_id"), "*")
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
