@@ -294,3 +294,24 @@ def test_additive_predictions_equal_the_design(spark):
     want = additive_fit.design(day, t, p["changepoints"], grp.PERIODS) @ np.array(p["coefficients"]) + p["intercept"]
     assert [x.predicted_revenue for x in points] == pytest.approx(np.maximum(want, 0).tolist())
     assert all(x.lower_bound <= x.predicted_revenue <= x.upper_bound for x in points)
+
+
+def test_store_is_retrained_and_predicts_from_stored_nodes(spark, tmp_path):
+    from tidemark.plans import workflow as wf
+    from tidemark.sinks.store import Store
+    from tidemark.streaming.file_ingest import ingest_uploads
+    store, paths = Store(spark, str(tmp_path / "tables")), []
+    for name, days in (("a", 70), ("b", 60), ("short", 5)):
+        p = tmp_path / f"{name}.csv"
+        p.write_text("Date,Revenue\n" + "".join(f"{dt.date(2024, 1, 1) + dt.timedelta(days=i)},{100 + i % 7}\n" for i in range(days)))
+        paths.append(str(p))
+    ingest_uploads(spark, paths, store)
+    ids = {r.original_filename: r.dataset_id for r in store.datasets().collect()}
+    run = wf.retrain(store, ["gradient_boosting", "prophet"])
+    assert store.models().count() == 4
+    assert [r.dataset_id for r in run.errors.collect()] == [ids["short.csv"]]
+    assert run.registry.where("kind = 'nodes'").first().file_path.startswith(store.root)
+    for name in ("a.csv", "b.csv"):
+        for algorithm in ("gradient_boosting", "prophet"):
+            assert len(wf.predict(spark, store, ids[name], horizon=3, algorithm=algorithm).collect()) == 3
+    assert store.predictions().count() == 12

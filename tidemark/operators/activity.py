@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,9 @@ from pyspark.sql import types as T
 from tidemark.schema import RECENT_ACTIVITY_ALL_LIMIT, RECENT_ACTIVITY_USER_LIMIT, REPORT_SCHEMA
 
 
+_DAY_FOLDER = re.compile(r"/day=(\d{4}-\d{2}-\d{2})/")
+
+
 def recent_activity(activity: DataFrame, user_id: int | None = None,
                     limit: int | None = None) -> DataFrame:
     """SRT1/SRT2: newest first; one user's last 200 or everyone's last 500.
@@ -23,6 +28,22 @@ def recent_activity(activity: DataFrame, user_id: int | None = None,
     return df.orderBy(F.col("created_at").desc(), F.col("event_id").desc()).limit(limit)
 
 
+def latest_activity(log: DataFrame, user_id: int | None = None, limit: int | None = None) -> DataFrame:
+    """SRT1/SRT2 over a log stored by ``day``: the newest days are counted in
+    windows of 1, 2, 4, ... days until they hold enough rows, and the result
+    reads no older day.  The driver sees names of day folders only."""
+    limit = limit or (RECENT_ACTIVITY_ALL_LIMIT if user_id is None else RECENT_ACTIVITY_USER_LIMIT)
+    days = sorted(set(_DAY_FOLDER.findall("\n".join(log.inputFiles()))), reverse=True)
+    own = log if user_id is None else log.where(F.col("user_id") == F.lit(user_id))
+    window = 1
+    while window < len(days):
+        recent = F.col("day") >= F.lit(days[window - 1]).cast("date")
+        if own.where(recent).limit(limit).count() >= limit:
+            return recent_activity(log.where(recent), user_id, limit).drop("day")
+        window *= 2
+    return recent_activity(log, user_id, limit).drop("day")
+
+
 def visible_datasets(datasets: DataFrame, user_id: int, is_admin: bool) -> DataFrame:
     """SRC4 + SRT3: admins see every dataset, others their own; newest
     upload first."""

@@ -235,10 +235,12 @@ def _additive_predictions(daily: DataFrame, models: DataFrame, keys: list[str])
 
 def train_grouped(sales: DataFrame, keys: Sequence[str] = ("dataset_id",), algorithms: Sequence[str] = AVAILABLE_ALGORITHMS,
                   test_size: float = 0.2, tune: bool = False, version: str | None = None,
-                  trained_at: dt.datetime | None = None) -> TrainingRun:
+                  trained_at: dt.datetime | None = None, model_root: str | None = None) -> TrainingRun:
     """TRN6/TRN9: every requested algorithm for every dataset, judged on the
     chronological test split, the best of each dataset flagged.  Unknown
-    algorithms are skipped; refusals and failing fits are in ``errors``."""
+    algorithms are skipped; refusals and failing fits are in ``errors``.  The
+    run's node table is a folder of ``model_root`` (the shared folder, if
+    none is named)."""
     if not 0.0 < test_size < 0.5:
         raise ValueError("test_size must be in (0, 0.5)")
     keys, version = list(keys), version or new_version()
@@ -265,7 +267,7 @@ def train_grouped(sales: DataFrame, keys: Sequence[str] = ("dataset_id",), algor
         else:
             chosen = ready.withColumn("config", F.explode(_configs(spark, trees, False))).select(*keys, "config.algorithm", "config.params")
         fitted = fit_nodes(train, chosen, keys).withColumn("model_id", model_id(keys, version))
-        nodes_path, nodes = written(fitted, "training-nodes")
+        nodes_path, nodes = written(fitted, "training-nodes", model_root)
         failed = nodes.where(F.col("error").isNotNull())
         errors.append(failed.select(*keys, "error"))
         models.append(chosen.join(failed.select(*keys, "algorithm"), [*keys, "algorithm"], "left_anti")

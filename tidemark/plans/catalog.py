@@ -436,6 +436,15 @@ def recent_activity_all(spark, sf_dir):
         "user_id", "event_id", "action", "details", "ip_address", "created_at")
 
 
+@register("latest_activity")
+def latest_activity_q(spark, sf_dir):
+    """SRT2 over the log stored by day: only the newest days are read."""
+    log = stored_table(spark, sf_dir, "activity_days",
+                       lambda sp, d: activity_view(sp, d).withColumn("day", F.to_date("created_at")).repartition("day"),
+                       sources=("events",), partition_by="day")
+    return act.latest_activity(log).select("user_id", "event_id", "action", "details", "ip_address", "created_at")
+
+
 @register("cascade_delete")
 def cascade_delete_q(spark, sf_dir):
     """Delete user 1's datasets: the sales and models that remain."""

@@ -608,3 +608,5 @@ ORACLE["dashboard_sections"] = " UNION ALL ".join([
     f"CAST(NULL AS DOUBLE) AS share_pct FROM ({ORACLE['trend_monthly']})",
     *[f"SELECT dataset_id, '{section}' AS section, label, revenue, units, share_pct FROM ({ORACLE[name]})"
       for section, name in (("by_category", "breakdown_category"), ("by_region", "breakdown_region"), ("by_product", "top_products"))]])
+
+ORACLE["latest_activity"] = ORACLE["recent_activity_all"]

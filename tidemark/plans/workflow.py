@@ -12,16 +12,20 @@ ids, statuses and counts.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import activity as act
 from tidemark.operators import forecast as fc
 from tidemark.operators import kpi
+from tidemark.operators.grouped_training import train_grouped
 from tidemark.operators.selection import current_active, resolve_model
 from tidemark.operators.training import TrainingRun, train_and_compare
 from tidemark.plans.dashboard import dashboard_payload
 from tidemark.plans.forecasting import forecast_run
+from tidemark.schema import AVAILABLE_ALGORITHMS
 from tidemark.sinks.store import Store
 from tidemark.streaming.file_ingest import ingest_file
 
@@ -62,6 +66,20 @@ def train(store: Store, dataset_id, algorithms, test_size: float = 0.2, tune: bo
     return run
 
 
+def retrain(store: Store, algorithms: Sequence[str] = AVAILABLE_ALGORITHMS, test_size: float = 0.2, tune: bool = False,
+            user_id: int = 1) -> TrainingRun:
+    """The scheduled job (TRN9): every processed dataset of the store trained
+    and compared in one run; its models are appended.  Datasets that are
+    refused are in the run's errors."""
+    active = store.datasets().where(F.col("status") == "processed").select("dataset_id")
+    sales = store.sales().join(active, "dataset_id", "left_semi")
+    run = train_grouped(sales, ["dataset_id"], algorithms, test_size=test_size, tune=tune, model_root=f"{store.root.rstrip('/')}/model_nodes")
+    if run.registry is not None:
+        store.append_models(run.registry.select(*REGISTRY_COLUMNS))
+    store.log_activity(user_id, "model_train", {"dataset_id": "all", "algorithms": list(algorithms)})
+    return run
+
+
 def predict(spark: SparkSession, store: Store, dataset_id, horizon: int = 30,
             algorithm: str | None = None, category: str | None = None,
             region: str | None = None, user_id: int = 1) -> DataFrame:

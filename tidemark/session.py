@@ -128,11 +128,12 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
-def written(df, name: str):
-    """``df`` as Parquet in a new folder of the shared one: (path, the rows
-    read back with their own schema)."""
+def written(df, name: str, root: str | None = None):
+    """``df`` as Parquet in a new folder of ``root``, or of the shared one:
+    (path, the rows read back with their own schema)."""
     spark = df.sparkSession
-    path = shared_path(spark, name, uuid.uuid4().hex)
+    folder = (name, uuid.uuid4().hex)
+    path = os.path.join(root, *folder) if root else shared_path(spark, *folder)
     df.write.parquet(path)
     return path, spark.read.schema(df.schema).parquet(path)
 

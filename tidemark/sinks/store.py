@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.operators.activity import latest_activity
 from tidemark.session import has_data_files
 from tidemark.schema import (ACTIVITY_ACTIONS, ACTIVITY_SCHEMA, DATASET_SCHEMA, DATASET_STATUSES,
                              PREDICTION_SCHEMA, SALES_COLUMNS, SALES_SCHEMA)
@@ -25,6 +28,8 @@ REGISTRY_SCHEMA = (
     "status string, mae double, rmse double, mape double, r2 double, hyperparameters string, "
     "is_active boolean, trained_at timestamp_ntz, kind string, implementation string, "
     "series_index double")
+FOLD_FILES = 32             # files of a folder, beyond which appends are folded
+FOLD_BYTES = 128 << 20
 TABLE_SCHEMAS = {"sales": SALES_SCHEMA, "datasets": DATASET_SCHEMA, "models": REGISTRY_SCHEMA,
                  "predictions": PREDICTION_SCHEMA, "activity": ACTIVITY_SCHEMA}
 
@@ -87,14 +92,16 @@ class Store:
     def append_models(self, registry: DataFrame) -> None:
         """SNK4: a run's model rows are appended; nothing is updated."""
         registry.write.mode("append").parquet(self.path("models"))
+        self._fold("models")
 
     def models(self) -> DataFrame:
         return self.read("models")
 
     def append_predictions(self, records: DataFrame) -> None:
         """SNK3."""
-        records.select(*[f.name for f in PREDICTION_SCHEMA.fields]).write.mode("append") \
-            .partitionBy("model_id").parquet(self.path("predictions"))
+        records = records.select(*[f.name for f in PREDICTION_SCHEMA.fields])
+        records.write.mode("append").partitionBy("model_id").parquet(self.path("predictions"))
+        self._fold("predictions")
 
     def predictions(self) -> DataFrame:
         return self.read("predictions", PREDICTION_SCHEMA)
@@ -107,19 +114,49 @@ class Store:
         when = when or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         row = (int(when.timestamp() * 1e6), int(user_id), action, json.dumps(details or {}),
                ip_address, when)
-        self.spark.createDataFrame([row], ACTIVITY_SCHEMA).write.mode("append").parquet(
-            self.path("activity"))
+        self._append_activity(self.spark.createDataFrame([row], ACTIVITY_SCHEMA))
 
     def log_activities(self, rows: DataFrame, when: dt.datetime) -> None:
         """SNK6 for many events at once (``user_id``, ``action``,
         ``details``), in one write."""
         first = F.lit(int(when.timestamp() * 1e6))
-        rows.select((first + F.monotonically_increasing_id()).alias("event_id"), "user_id", "action", "details",
-                    F.lit(None).cast("string").alias("ip_address"), F.lit(when).alias("created_at")) \
-            .coalesce(1).write.mode("append").parquet(self.path("activity"))
+        self._append_activity(rows.select(
+            (first + F.monotonically_increasing_id()).alias("event_id"), "user_id", "action", "details",
+            F.lit(None).cast("string").alias("ip_address"), F.lit(when).cast("timestamp").alias("created_at")))
+
+    def _append_activity(self, rows: DataFrame) -> None:
+        """The log is stored by day, so that its newest rows are in its
+        newest folders."""
+        rows.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(self.path("activity"))
+        self._fold("activity")
 
     def activity(self) -> DataFrame:
-        return self.read("activity", ACTIVITY_SCHEMA)
+        return self.activity_by_day().drop("day")
+
+    def activity_by_day(self) -> DataFrame:
+        return self.read("activity", T.StructType([*ACTIVITY_SCHEMA.fields, T.StructField("day", T.DateType())]))
+
+    def recent_activity(self, user_id: int | None = None, limit: int | None = None) -> DataFrame:
+        """SRT1/SRT2: newest rows first, older days unread."""
+        return latest_activity(self.activity_by_day(), user_id, limit)
+
+    def _fold(self, table: str) -> None:
+        """Folders that appends left with more than ``FOLD_FILES`` files get
+        one file for each ``FOLD_BYTES`` of them, written beside the folder and
+        swapped in whole.  A table has one writer at a time."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(self.path(table))
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files: dict[str, list[int]] = {}
+        found = fs.listFiles(path, True)
+        while found.hasNext():
+            f = found.next()
+            if f.getPath().getName().endswith(".parquet"):
+                files.setdefault(f.getPath().getParent().toString(), []).append(f.getLen())
+        for folder, sizes in files.items():
+            if len(sizes) > FOLD_FILES:
+                rows = self.spark.read.parquet(folder).coalesce(max(1, sum(sizes) // FOLD_BYTES))
+                _rewrite(rows, folder, f"{self.root.rstrip('/')}/_fold/{uuid.uuid4().hex}")
 
     # --- delete ------------------------------------------------------------
     def delete_datasets(self, ids: DataFrame) -> None:
@@ -174,15 +211,15 @@ def cascade_delete(child: DataFrame, deleted: DataFrame, keys: Sequence[str] = (
     return child.join(deleted.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def _rewrite(df: DataFrame, path: str) -> None:
-    """Written to a sibling folder, then swapped in: the old table is renamed
+def _rewrite(df: DataFrame, path: str, beside: str | None = None) -> None:
+    """Written to a folder beside, then swapped in: the old one is renamed
     away first and removed last, so one whole copy exists at any moment."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(path + ".rewrite")
+    spark, beside = df.sparkSession, beside or path
+    df.write.mode("overwrite").parquet(beside + ".rewrite")
     hadoop = spark._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    old = hadoop.Path(path + ".old")
+    old = hadoop.Path(beside + ".old")
     fs.delete(old, True)
     fs.rename(hadoop.Path(path), old)
-    fs.rename(hadoop.Path(path + ".rewrite"), hadoop.Path(path))
+    fs.rename(hadoop.Path(beside + ".rewrite"), hadoop.Path(path))
     fs.delete(old, True)
