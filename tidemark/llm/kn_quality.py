@@ -49,7 +49,8 @@ LEAST = 20                      # held-out documents a language needs, and a sec
 BROADCAST_GRAMS = 4_000_000     # model entries, 12 to 24 bytes each
 BROADCAST_IDS = 1_000_000       # trusted ids
 WINDOW = 32                     # bytes of the worst passage
-STRIP = 4 << 20                 # bytes of text scored at once
+STRIP = 4 << 20                 # bytes of text counted at once
+SCORED = 1 << 20                # bytes of text scored at once
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 FLOOR = 1.0 / 256               # below the unigrams: all bytes alike
 LOWEST = 4 * float(np.log(FLOOR))   # of a byte's log p in a contrast
@@ -79,13 +80,13 @@ def _inside(texts: list[bytes], order: int) -> np.ndarray:
     return keep[order - 1:]
 
 
-def strips(column: pa.Array, order: int):
+def strips(column: pa.Array, order: int, most: int | None = None):
     """``(first row, texts)`` of bounded size; null is empty."""
-    held, size, first = [], 0, 0
-    for i, t in enumerate(column.to_pylist()):
-        held.append((t or "").encode())
+    held, size, first, most = [], 0, 0, most or STRIP
+    for i in range(len(column)):
+        held.append((column[i].as_py() or "").encode())
         size += len(held[-1])
-        if size >= STRIP:
+        if size >= most:
             yield first, held
             held, size, first = [], 0, i + 1
     if held:
@@ -238,51 +239,46 @@ def worst(x: np.ndarray) -> float:
     return float((total[v:] - total[:len(total) - v]).max())
 
 
-def _broadcast_contrast(model: DataFrame, against: DataFrame, text: Column, order: int) -> Column:
-    held = model.sparkSession.sparkContext.broadcast((_tables(model, order), _tables(against, order)))
+def _broadcast_scores(model: DataFrame, against: DataFrame | None, text: Column, order: int) -> Column:
+    """``(perplexity, contrast)`` of a text in one pass over it, both models
+    in one broadcast; the log p of the trusted model serves both."""
+    held = model.sparkSession.sparkContext.broadcast((_tables(model, order), _tables(against, order) if against is not None else None))
 
-    @F.arrow_udf("double")
-    def contrast(column: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<perplexity:double,contrast:double>")
+    def scores(column: pa.Array) -> pa.Array:
         good, bad = held.value
-        out = []
-        for _, texts in strips(column, order):
-            for t in texts:
-                best, last, data = None, np.zeros(0), _padded([t], order)
-                for at in range(0, len(t), STRIP):      # a very long text, in overlapping strips
-                    keys = gram_keys(data[at:at + STRIP + order - 1], order)
-                    x = np.concatenate([last, np.maximum(log_p(keys, bad, order), LOWEST)
-                                                - np.maximum(log_p(keys, good, order), LOWEST)])
-                    best = worst(x) if best is None else max(best, worst(x))
-                    last = x[-(WINDOW - 1):]
-                out.append(best)
-        return pa.array(out, pa.float64())
-
-    return contrast(text)
-
-
-def _broadcast_score(model: DataFrame, text: Column, order: int) -> Column:
-    held = model.sparkSession.sparkContext.broadcast(_tables(model, order))
-
-    @F.arrow_udf("double")
-    def perplexity(column: pa.Array) -> pa.Array:
-        out = []
-        for _, texts in strips(column, order):
-            sizes = np.array([len(t) for t in texts])
-            ends = np.cumsum(sizes)
-            if ends[-1] <= 4 * STRIP:
-                total = np.concatenate([[0], np.cumsum(log_p(text_grams(texts, order), held.value, order))])
-                sums = total[ends] - total[ends - sizes]
-            else:                   # a very long text, in overlapping strips
-                sums = np.zeros(len(texts))
-                for i, t in enumerate(texts):
-                    data = _padded([t], order)
-                    for at in range(0, len(t), STRIP):
-                        keys = gram_keys(data[at:at + STRIP + order - 1], order)
-                        sums[i] += log_p(keys, held.value, order).sum()
-            out += [None if not s else float(np.exp(-x / s)) for x, s in zip(sums, sizes)]
-        return pa.array(out, pa.float64())
-
-    return perplexity(text)
+        perplexity, contrast = [], []
+
+        def apart(keys, x):
+            return np.maximum(log_p(keys, bad, order), LOWEST) - np.maximum(x, LOWEST)
+
+        for _, texts in strips(column, order, SCORED):
+            if sum(map(len, texts)) <= 2 * SCORED:
+                keys = text_grams(texts, order)
+                x = log_p(keys, good, order)
+                z = apart(keys, x) if bad else None
+                at = 0
+                for t in texts:
+                    end = at + len(t)
+                    perplexity.append(float(np.exp(-x[at:end].sum() / len(t))) if t else None)
+                    contrast.append(worst(z[at:end]) if t and bad else None)
+                    at = end
+                continue
+            for t in texts:             # very long texts, in overlapping strips
+                total, best, last, data = 0.0, None, np.zeros(0), _padded([t], order)
+                for at in range(0, len(t), SCORED):
+                    keys = gram_keys(data[at:at + SCORED + order - 1], order)
+                    x = log_p(keys, good, order)
+                    total += x.sum()
+                    if bad:
+                        z = np.concatenate([last, apart(keys, x)])
+                        best = worst(z) if best is None else max(best, worst(z))
+                        last = z[-(WINDOW - 1):]
+                perplexity.append(float(np.exp(-total / len(t))) if t else None)
+                contrast.append(best)
+        return pa.StructArray.from_arrays([pa.array(perplexity, pa.float64()), pa.array(contrast, pa.float64())], ["perplexity", "contrast"])
+
+    return scores(text)
 
 
 # ---- scoring by joins ----------------------------------------------------
@@ -350,18 +346,21 @@ def with_perplexity(docs: DataFrame, model: DataFrame, text_col: str = "text", o
                     broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """``docs`` with ``perplexity``."""
     if model.count() <= broadcast_grams:
-        return docs.withColumn("perplexity", _broadcast_score(model, F.col(text_col), order))
+        return docs.withColumn("perplexity", _broadcast_scores(model, None, F.col(text_col), order)["perplexity"])
     keyed = docs.withColumn("__kn_row", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     texts = keyed.groupBy(F.col("__kn_row").alias("row")).agg(F.first(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     scores = _joined_scores(texts, model, order).withColumnRenamed("row", "__kn_row")
     return keyed.drop("perplexity").join(scores, "__kn_row", "left").drop("__kn_row")
 
 
-def with_contrast(docs: DataFrame, model: DataFrame, against: DataFrame, text_col: str = "text", order: int = ORDER,
-                  broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """``docs`` with ``__kn_contrast``; null for null or empty text."""
+def with_scores(docs: DataFrame, model: DataFrame, against: DataFrame, text_col: str = "text", order: int = ORDER,
+                broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """``docs`` with ``perplexity`` and ``__kn_contrast``; null for null or
+    empty text."""
     if model.count() + against.count() <= broadcast_grams:
-        return docs.withColumn("__kn_contrast", _broadcast_contrast(model, against, F.col(text_col), order))
+        both = docs.withColumn("__kn_scores", _broadcast_scores(model, against, F.col(text_col), order))
+        return both.withColumns({"perplexity": F.col("__kn_scores.perplexity"), "__kn_contrast": F.col("__kn_scores.contrast")}).drop("__kn_scores")
+    docs = with_perplexity(docs, model, text_col, order, broadcast_grams)
     keyed = docs.withColumn("__kn_row", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     texts = keyed.groupBy(F.col("__kn_row").alias("row")).agg(F.first(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     scores = _joined_contrasts(texts, model, against, order).select(
@@ -406,10 +405,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     contrasted = bad.count() >= LEAST and not model.isEmpty()
 
     def scored(rows: DataFrame, text: str) -> DataFrame:
-        rows = with_perplexity(rows, model, text, order, broadcast_grams)
         if contrasted:
-            return with_contrast(rows, model, against, text, order, broadcast_grams)
-        return rows.withColumn("__kn_contrast", F.lit(None).cast("double"))
+            return with_scores(rows, model, against, text, order, broadcast_grams)
+        return with_perplexity(rows, model, text, order, broadcast_grams).withColumn("__kn_contrast", F.lit(None).cast("double"))
 
     held = stored(scored(slim.where(aside), "text").select(
         "lang", F.log("perplexity").alias("x"), F.octet_length("text").alias("bytes"),
