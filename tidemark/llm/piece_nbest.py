@@ -8,7 +8,7 @@ paths in order of score: the first N are the N best.
 
 No piece spans a blank followed by a word's end, nor a character that is in
 no longer piece; there the lattice falls into units that share only a node.
-Units repeat, so each is solved once per task and kept in a bounded cache:
+Units repeat, so each is solved once per worker and kept in a bounded cache:
 Viterbi forwards and backwards for many units at once, which also gives the
 loss of a unit's second-best path.  The N best paths of the text differ from
 the best one in at most N - 1 units, those of least loss, so only these are
@@ -30,6 +30,9 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
+import types
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +43,10 @@ from tidemark.llm.kn_quality import hash_table, look_up
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
-CACHE_UNITS = 500_000
+CACHE_UNITS = 200_000       # of a worker, kept from task to task
+BEST_UNITS = 40_000         # units whose N best paths are kept
 SOLVE_CHARS = 250_000       # characters of units solved together
-STRIP = 2 << 20             # characters encoded at once
+STRIP = 1 << 20             # characters encoded at once
 LONG_UNIT = 48              # longer units are solved one by one
 SPACE = "▁"
 UNKNOWN = 10.0              # below the worst score
@@ -315,6 +319,8 @@ class Encoder:
             if loss[i] < np.inf:
                 w = words[i]
                 if w not in self.best:
+                    if len(self.best) >= BEST_UNITS:
+                        self.best.clear()
                     self.best[w] = self._alternatives(w, self.flat[self.start[at[i]]:][:count[i]].tolist(), float(self.score[at[i]]))
                 if self.best[w]:
                     options.append((int(ends[i] - count[i]), int(count[i]), self.best[w]))
@@ -338,6 +344,17 @@ class Encoder:
         return [(score - s, ids) for s, ids in found if ids != best][:self.n - 1]
 
 
+def worker_encoder(token: str, v: Vocabulary, n: int) -> Encoder:
+    """The encoder of one ``encode`` call in this Python worker, with what its
+    earlier tasks there have solved."""
+    home = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker"))
+    kept = home.__dict__.setdefault("encoders", {})
+    if token not in kept:
+        kept.clear()
+        kept[token] = Encoder(v, n)
+    return kept[token]
+
+
 NBEST = "array<struct<score:double,n_pieces:int,edits:array<struct<at:int,gone:int,ids:array<int>>>>>"
 _EDIT = pa.struct([("at", pa.int32()), ("gone", pa.int32()), ("ids", pa.list_(pa.int32()))])
 _NBEST = pa.list_(pa.struct([("score", pa.float64()), ("n_pieces", pa.int32()), ("edits", pa.list_(_EDIT))]))
@@ -350,9 +367,10 @@ def encode(docs: DataFrame, text_col: str = "text", *, model_path: str = MODEL,
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in ("ids", "nbest")]
     v = docs.sparkSession.sparkContext.broadcast(vocabulary or load_vocabulary(model_path))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__sp_text")
+    token = uuid.uuid4().hex
 
     def run(batches):
-        encoder = Encoder(v.value, n)
+        encoder = worker_encoder(token, v.value, n)
         for b in batches:
             texts = b.column("__sp_text")
             sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
