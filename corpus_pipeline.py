@@ -58,10 +58,13 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain = rows == ids
     if plain:
         keyed, key = docs, F.col("doc_id")
-    else:       # ids that are null or repeat: rows are told apart by a hash of id and text
+    else:       # ids that are null or repeat: rows are told apart by a hash of id and text,
+                # and of rows equal in both the first by its other columns stays
         key = F.xxhash64("doc_id", "text")
         has_text = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACE)) != ""
-        keyed = docs.where(has_text).dropDuplicates(["doc_id", "text"]).unionByName(docs.where(~has_text))
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        first = docs.where(has_text).groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias("__first"))
+        keyed = first.select(*[F.col(f"__first.`{c}`") for c in docs.columns]).unionByName(docs.where(~has_text))
     found = ngram_jaccard.jaccard_components(keyed.select(key.alias("doc_id"), "text"), words=COPY_WORDS, percent=COPY_PERCENT)
     if plain:
         gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))

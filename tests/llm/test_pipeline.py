@@ -124,3 +124,13 @@ def test_components(spark):
     ids = spark.range(140).select("id")
     out = connected_components(ids, spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.id: r.component for r in out} == {i: root(i) for i in range(140)}
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_of_rows_equal_in_id_and_text_one_stays_whatever_their_order(spark, turned):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(5, text, "en", s, 48) for s in ("b", "a", None, "c")] + [(6, "", "en", "d", 0)] * 2
+    docs = spark.createDataFrame(rows[::-1] if turned else rows, SCHEMA).repartition(3)
+    out = corpus_pipeline.copies(spark, docs, "").collect()
+    assert [r.source for r in out if r.doc_id == 5] == [None]      # the first as JSON text, which leaves nulls out
+    assert [r.source for r in out if r.doc_id == 6] == ["d", "d"]
