@@ -43,7 +43,7 @@ from tidemark.llm.kn_quality import hash_table, look_up
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
-CACHE_UNITS = 300_000       # of a worker, kept from task to task
+CACHE_UNITS = 500_000       # of a worker, kept from task to task
 BEST_UNITS = 40_000         # units whose N best paths are kept
 SOLVE_CHARS = 250_000       # characters of units solved together
 STRIP = 2 << 20             # characters encoded at once
