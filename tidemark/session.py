@@ -11,6 +11,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -97,6 +98,35 @@ def file_signature(spark: SparkSession, path: str) -> tuple:
     return (path, tuple(sorted(found)))
 
 
+SCAN_BYTES = 16 << 20        # of a file, read by one task of a build
+TASK_BYTES = 8 << 20         # of a shuffle, read by one task of a build
+
+
+def _bytes_conf(spark: SparkSession, key: str) -> int:
+    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)))
+
+
+@contextmanager
+def bounded_tasks(spark: SparkSession, source_bytes: int):
+    """Jobs run in the block deal their rows to more tasks as the sources
+    grow, instead of more rows to a task: what a task sorts (for a merge join,
+    for a partitioned write) then stays the same at every scale.  Settings
+    that are finer already are kept, all are put back after the block."""
+    wanted = {
+        "spark.sql.shuffle.partitions": max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * source_bytes // TASK_BYTES)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": min(_bytes_conf(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes"), TASK_BYTES),
+        "spark.sql.files.maxPartitionBytes": min(_bytes_conf(spark, "spark.sql.files.maxPartitionBytes"), SCAN_BYTES),
+    }
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def has_data_files(spark: SparkSession, path: str, suffix: str = ".parquet") -> bool:
     """True when a table folder holds at least one data file (any depth)."""
     fs, hpath = _fs_and_path(spark, path)

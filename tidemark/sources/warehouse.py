@@ -87,16 +87,18 @@ ORDER_TABLES = ["lineitem", "orders", "customer", "nation", "region", "part"]
 def stored_table(spark: SparkSession, sf_dir: str, name: str, build, sources=ORDER_TABLES,
                  partition_by: str | None = "dataset_id") -> DataFrame:
     """``build(spark, sf_dir)`` written once per (session, source snapshot)
-    to the shared folder and read back by every caller."""
-    from tidemark.session import path_exists, shared_path  # local: avoids an import cycle
+    to the shared folder and read back by every caller.  The build sorts rows
+    (merge joins, partitioned write), so its tasks are kept small."""
+    from tidemark.session import bounded_tasks, path_exists, shared_path  # local: avoids an import cycle
 
-    key = (name, spark.sparkContext.applicationId, sf_dir.rstrip("/"),
-           snapshot(spark, sf_dir, sources))
+    files = snapshot(spark, sf_dir, sources)
+    key = (name, spark.sparkContext.applicationId, sf_dir.rstrip("/"), files)
     path = _SALES_TABLES.get(key)
     if path is None or not path_exists(spark, path.rstrip("/") + "/_SUCCESS"):
         path = shared_path(spark, name, f"{abs(hash(key)):x}")
-        w = build(spark, sf_dir).write.mode("overwrite")
-        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+        with bounded_tasks(spark, sum(size for _, found in files for _, size, _ in found or ())):
+            w = build(spark, sf_dir).write.mode("overwrite")
+            (w.partitionBy(partition_by) if partition_by else w).parquet(path)
         _SALES_TABLES[key] = path
     return spark.read.parquet(path)
 
