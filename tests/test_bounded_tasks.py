@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.ingest import _first_rows, validate_and_clean
 from tidemark.sources.warehouse import stored_table
 
 KEYS = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
@@ -23,3 +24,26 @@ def test_build_has_more_tasks_for_larger_sources_and_settings_return(spark, tmp_
     assert int(before[0]) < int(seen[0][0]) and 2 * size <= int(seen[0][0]) * (8 << 20)
     assert int(seen[0][1]) <= 8 << 20 and int(seen[0][2]) <= 16 << 20
     assert [spark.conf.get(k) for k in KEYS] == before
+
+
+def _row_exchanges(df) -> int:
+    """Shuffles in the plan, run and all."""
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_decisions_reach_the_rows_without_a_shuffle_of_them(spark):
+    raw = spark.createDataFrame([(d, i, "2024-01-01", str(i)) for d in (1, 2) for i in range(4)], "dataset_id bigint, _row bigint, Date string, Revenue string")
+    clean, _ = validate_and_clean(raw)
+    assert clean.count() == 8
+    assert _row_exchanges(clean) == 0
+
+
+def test_first_row_by_place_without_sorting_rows(spark):
+    rows = [(1, ("f", 8, 0), "a"), (1, ("f", 0, 9), "a"), (1, ("e", 3, 4), "b"), (1, ("e", 3, 2), "b"), (2, ("e", 0, 7), "a")]
+    df = spark.createDataFrame(rows, "dataset_id bigint, _row struct<file:string,at:bigint,row:bigint>, order_date string")
+    first = _first_rows(df)
+    assert {(r.dataset_id, r.order_date, tuple(r._at)) for r in first.collect()} == {(1, "a", ("f", 0, 9)), (1, "b", ("e", 3, 2)), (2, "a", ("e", 0, 7))}
+    assert first.schema["_at"].dataType.names == ["file", "at", "row"]
+    flat = _first_rows(df.withColumn("_row", F.col("_row.row")))
+    assert {(r.dataset_id, r.order_date, r._at) for r in flat.collect()} == {(1, "a", 0), (1, "b", 2), (2, "a", 7)}

@@ -33,9 +33,9 @@ def safe_ratio(num: str | Column, den: str | Column) -> Column:
     return F.try_divide(col_or(num), F.nullif(col_or(den), F.lit(0)))
 
 
-# Plain decimal / scientific numbers, and the special float words.
-_NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-_SPECIAL = r"(?i)^[+-]?(inf|infinity)$"
+# Plain decimal / scientific numbers, and the special float words, told apart
+# in one match: most text columns are neither.
+_NUMBER = r"^[+-]?(?:(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 
 
 def to_double_strict(c: str | Column) -> Column:
@@ -47,8 +47,7 @@ def to_double_strict(c: str | Column) -> Column:
     per row).  NaN becomes null.
     """
     s = F.trim(col_or(c).cast("string"))
-    looks_numeric = s.rlike(_NUMBER) | s.rlike(_SPECIAL)
-    return F.when(looks_numeric, s.try_cast("double")).otherwise(F.lit(None).cast("double"))
+    return F.when(s.rlike(_NUMBER), s.try_cast("double")).otherwise(F.lit(None).cast("double"))
 
 
 def confidence_from_mape(mape: str | Column) -> Column:
