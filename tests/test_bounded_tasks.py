@@ -4,8 +4,12 @@ import os
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import to_double_strict
 from tidemark.operators.ingest import _first_rows, validate_and_clean
+from tidemark.session import write_once
+from tidemark.sinks.store import Store
 from tidemark.sources.warehouse import stored_table
+from tidemark.streaming import file_ingest
 
 KEYS = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
 
@@ -47,3 +51,26 @@ def test_first_row_by_place_without_sorting_rows(spark):
     assert first.schema["_at"].dataType.names == ["file", "at", "row"]
     flat = _first_rows(df.withColumn("_row", F.col("_row.row")))
     assert {(r.dataset_id, r.order_date, r._at) for r in flat.collect()} == {(1, "a", 0), (1, "b", 2), (2, "a", 7)}
+
+
+def test_reports_of_a_batch_read_the_typed_rows_once(spark, tmp_path, monkeypatch):
+    path, reads = tmp_path / "a.csv", []
+    path.write_text("Date,Revenue\n2024-01-01,5\n2024-01-02,6\n")
+
+    def recorded(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        reads.append(sum("Relation [" in line and "_ts#" in line for line in plan))
+        return write_once(df, name)
+
+    monkeypatch.setattr(file_ingest, "write_once", recorded)
+    store = Store(spark, str(tmp_path / "tables"))
+    report = file_ingest.ingest_uploads(spark, [str(path)], store)
+    assert report.first()["valid_rows"] == 2 and store.read("sales").count() == 2
+    assert sum(reads) == 1
+
+
+def test_numbers_are_told_by_their_first_character_and_shape(spark):
+    texts = ["5", " +1.5e3 ", ".5", "-inf", "Infinity", "3d", "iron", "1,000", "", "NaN", "x5", "-", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(to_double_strict("t")).collect()]
+    assert got == [5.0, 1500.0, 0.5, float("-inf"), float("inf")] + [None] * 8

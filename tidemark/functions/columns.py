@@ -36,6 +36,7 @@ def safe_ratio(num: str | Column, den: str | Column) -> Column:
 # Plain decimal / scientific numbers, and the special float words, told apart
 # in one match: most text columns are neither.
 _NUMBER = r"^[+-]?(?:(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
+_NUMBER_STARTS = [ord(c) for c in "+-.0123456789iI"]
 
 
 def to_double_strict(c: str | Column) -> Column:
@@ -44,10 +45,10 @@ def to_double_strict(c: str | Column) -> Column:
     Only text shaped like a number is cast, so Spark's extra leniency (a
     trailing type suffix such as ``1d`` / ``2f``) is rejected, and text
     that is not a number never reaches the parser (a failed cast is costly
-    per row).  NaN becomes null.
+    per row).  Other first characters spare the regex.  NaN becomes null.
     """
     s = F.trim(col_or(c).cast("string"))
-    return F.when(s.rlike(_NUMBER), s.try_cast("double")).otherwise(F.lit(None).cast("double"))
+    return F.when(F.ascii(s).isin(_NUMBER_STARTS) & s.rlike(_NUMBER), s.try_cast("double")).otherwise(F.lit(None).cast("double"))
 
 
 def confidence_from_mape(mape: str | Column) -> Column:

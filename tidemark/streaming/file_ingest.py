@@ -91,6 +91,7 @@ def _ingest_group(spark: SparkSession, uploads: DataFrame, parts: list[tuple[lis
     ids = F.broadcast(uploads.select("dataset_id", F.col("file").alias("_file")))      # files of one batch
     raw = raw.join(ids, "_file").drop("_file")
     clean, report = validate_and_clean(raw, match=match, date_mode=date_mode)
+    report = write_once(report, "ingest_reports")
     nothing = _refused(spark, uploads, "The file holds no data rows.")
     report = write_once(report.unionByName(nothing.join(report, "dataset_id", "left_anti")), "ingest_reports")
     _store(spark, uploads, clean, report, store, owner_id)
