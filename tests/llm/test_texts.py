@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -296,6 +297,40 @@ def test_long_units_and_batches_agree():
             assert found[0][0] - found[1][0] == pytest.approx(loss[0])
 
 
+def test_units_met_again_stay_when_the_cache_is_full(monkeypatch):
+    v, solved = small_vocabulary(), []
+    plain = piece_nbest.solve_codes
+    monkeypatch.setattr(piece_nbest, "solve_codes", lambda code, sizes, v: (solved.append(len(sizes)), plain(code, sizes, v))[1])
+    encoder = piece_nbest.Encoder(v, 3, cache_units=6)
+    for text in ("ab", "ab bc", "ab c", "ab a", "ab ca", "ab abc", "ab cab", "ab aab"):
+        encoder.encode([text])
+    assert solved[0] == 1 and max(solved[1:]) == 1      # "ab" is solved once
+    assert len(encoder.key) <= 6
+
+
+def test_units_that_share_a_hash(monkeypatch):
+    v, plain = small_vocabulary(), piece_nbest.unit_hash
+    texts = ["ab ca é", "ca ab", "", "bc  ab", "cab é"]
+    want = piece_nbest.Encoder(v, 3).encode(texts)
+    monkeypatch.setattr(piece_nbest, "unit_hash", lambda code, place, start, size, seed: (
+        size.astype(np.uint64) if seed < 2 else plain(code, place, start, size, seed)))
+    for several in (True, False):           # within a call, and with a unit kept from one before
+        encoder = piece_nbest.Encoder(v, 3)
+        got = encoder.encode(texts) if several else [x for t in texts for x in encoder.encode([t])]
+        assert [(i.tolist(), b) for i, b in got] == [(i.tolist(), b) for i, b in want] and encoder.seed == 2
+
+
+def test_memory_of_the_encoder_is_bounded():
+    rng, v = random.Random(3), small_vocabulary()
+    text = " ".join("".join(rng.choice("abc") for _ in range(rng.randint(6, 12))) for _ in range(60_000))
+    encoder = piece_nbest.Encoder(v, 3)
+    tracemalloc.start()
+    encoder.encode([text])
+    kept, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(encoder.key) > 30_000 and kept / len(encoder.key) < 150      # bytes a unit kept
+
+
 def test_encode_decode_round_trip(spark):
     sentencepiece = pytest.importorskip("sentencepiece")
     texts = ["Hello  world\nfoo!! a", "", None, "Éauxé 你 \t", " lead", "x" * 3000, "the the"]

@@ -43,10 +43,10 @@ from tidemark.llm.kn_quality import hash_table, look_up
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
-CACHE_UNITS = 500_000       # of a worker, kept from task to task
+CACHE_UNITS = 600_000       # of a worker, kept from task to task
 BEST_UNITS = 40_000         # units whose N best paths are kept
-SOLVE_CHARS = 250_000       # characters of units solved together
-STRIP = 2 << 20             # characters encoded at once
+SOLVE_CHARS = 120_000       # characters of units solved together
+STRIP = 1 << 20             # characters encoded at once
 LONG_UNIT = 48              # longer units are solved one by one
 SPACE = "▁"
 UNKNOWN = 10.0              # below the worst score
@@ -69,13 +69,18 @@ class Vocabulary:
         self.longest = max(map(len, self.ids), default=1)
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("a piece goes on after a blank; units can't be cut there")
-        inner = "".join(sorted({c for p in self.ids if len(p) > 1 for c in p} - {SPACE}))
-        inner = re.escape(inner)
-        self.units = re.compile(f"{SPACE}+[{inner}]*|[{inner}]+|.", re.S) if inner else re.compile(f"{SPACE}+|.", re.S)
-        keys = np.array([self._key(p) for p in self.ids], np.uint64)
+        self.inner = np.zeros(0x110000, bool)           # characters of longer pieces
+        self.inner[[ord(c) for p in self.ids if len(p) > 1 for c in p]] = True
+        self.inner[ord(SPACE)] = False
+        # pieces by number, and -1 for what only begins one
+        stems = {p[:i] for p in self.ids for i in range(1, len(p))}
+        self.goes_on = np.zeros(self.n, bool)
+        self.goes_on[[k for p, k in self.ids.items() if p in stems]] = True
+        known = {**dict.fromkeys(sorted(stems), -1), **self.ids}
+        keys = np.array([self._key(p) for p in known], np.uint64)
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces share a hash")
-        self.table = hash_table(keys, np.array(list(self.ids.values()), "f4"))
+        self.table = hash_table(keys, np.array(list(known.values()), "f4"))
 
     @staticmethod
     def _key(piece: str) -> int:
@@ -84,6 +89,16 @@ class Vocabulary:
             h = (h * int(BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return (h ^ (len(piece) << 58)) & 0xFFFFFFFFFFFFFFFF
 
+    def cut(self, code: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Starts of the units of texts laid end to end: blanks and the inner
+        characters after them, inner characters, or one other character."""
+        blank, inner = code == ord(SPACE), self.inner[code]
+        begins = ~inner & ~blank
+        begins[1:] |= np.where(blank[1:], ~blank[:-1], begins[:-1])
+        begins[0] = True
+        begins[texts[texts < len(code)]] = True
+        return np.flatnonzero(begins)
+
     def spell(self, char: str) -> list[int]:
         return [self.bytes.get(b, self.unknown_id) for b in char.encode("utf-8", "surrogatepass")]
 
@@ -165,163 +180,259 @@ def solve_one(unit: str, v: Vocabulary):
 
 # ---- many units at once ----------------------------------------------------
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places ``begin[i] .. begin[i] + size[i] - 1`` of all i, end to end."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+
+
 def solve_units(units: list[str], v: Vocabulary):
     """``(ids of all units, counts, scores, losses)``."""
-    ids, counts = [None] * len(units), np.zeros(len(units), "i8")
-    score, loss = np.zeros(len(units)), np.zeros(len(units))
-    held, size = [], 0
-    for at in sorted(range(len(units)), key=lambda i: -len(units[i])):     # longest first
-        if len(units[at]) > LONG_UNIT:
-            got, score[at], loss[at] = solve_one(units[at], v)
-            ids[at], counts[at] = np.array(got, "i4"), len(got)
-            continue
-        held.append(at)
-        size += len(units[at])
-        if size > SOLVE_CHARS:
-            _solve_together(units, held, v, ids, counts, score, loss)
-            held, size = [], 0
-    if held:
-        _solve_together(units, held, v, ids, counts, score, loss)
-    flat = np.concatenate(ids).astype("i4") if ids else np.zeros(0, "i4")
-    return flat, counts, score, loss
-
-
-def _solve_together(units, members, v, ids, counts, score, loss) -> None:
+    flat, begin, counts, score, loss = solve_codes(_codes("".join(units)), np.array([len(u) for u in units], "i8"), v)
+    return flat[_runs(begin, counts)], counts, score, loss
+
+
+def solve_codes(code: np.ndarray, sizes: np.ndarray, v: Vocabulary):
+    """``(ids, begins, counts, scores, losses)`` of units laid end to end."""
+    start = np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")                               # longest first
+    begin, counts = np.zeros(len(sizes), "i8"), np.zeros(len(sizes), "i8")
+    score, loss, parts, done = np.zeros(len(sizes)), np.zeros(len(sizes)), [], 0
+    far = int((sizes > LONG_UNIT).sum())
+    for at in order[:far].tolist():
+        unit = code[start[at]:start[at] + sizes[at]].tobytes().decode("utf-32-le", "surrogatepass")
+        got, score[at], loss[at] = solve_one(unit, v)
+        begin[at], counts[at] = done, len(got)
+        parts.append(np.array(got, "i4"))
+        done += len(got)
+    chars = np.cumsum(sizes[order])
+    while far < len(order):
+        upto = max(far + 1, int(np.searchsorted(chars, (chars[far - 1] if far else 0) + SOLVE_CHARS)))
+        at = order[far:upto]
+        got, counts[at], score[at], loss[at] = _solve_together(code[_runs(start[at], sizes[at])], sizes[at], v)
+        begin[at] = done + np.cumsum(counts[at]) - counts[at]
+        parts.append(got)
+        done += len(got)
+        far = upto
+    return np.concatenate(parts) if parts else np.zeros(0, "i4"), begin, counts, score, loss
+
+
+def _solve_together(chars: np.ndarray, sizes: np.ndarray, v: Vocabulary):
     """Viterbi both ways over units sorted by falling length, laid end to end:
-    one table look-up per piece width, one step per place in the units."""
-    n = len(members)
-    code = np.frombuffer("".join(units[at] for at in members).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-    sizes = np.array([len(units[at]) for at in members])
+    one table look-up per piece width, going on only where a longer piece
+    begins alike, and one step per place in the units over the edges there."""
+    n, total, longest = len(sizes), len(chars), int(sizes[0])
+    code = chars.astype(np.uint64) + np.uint64(1)
     start = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(n), sizes)
-    place = np.arange(len(code)) - start[owner]
+    place = np.arange(total) - start[owner]
     room = sizes[owner] - place                         # characters left in the unit
-    node, first = np.arange(len(code)) + owner, start + np.arange(n)
-    longest = int(sizes[0])
-    longer = np.searchsorted(-sizes, -np.arange(longest + 2), side="right")     # units of at least that length
-    h, piece, cost = np.zeros(len(code), np.uint64), [None], [None]
-    for width in range(1, min(longest, v.longest) + 1):
-        fits = np.flatnonzero(room >= width)
-        h[fits] = h[fits] * BASE + code[fits + (width - 1)]
-        k, hit = look_up(v.table, h[fits] ^ (np.uint64(width) << np.uint64(58)))
-        piece.append(np.full(len(code), -1, "i4"))
-        piece[width][fits[hit]] = k[hit].astype("i4")
-        cost.append(np.where(piece[width] >= 0, v.score[piece[width]], v.unknown if width == 1 else -np.inf))
-    widths = range(1, len(cost))
-    f, b = np.full(len(code) + n, -np.inf), np.full(len(code) + n, -np.inf)
+    first = start + np.arange(n)
+    at, h = np.arange(total), np.zeros(total, np.uint64)
+    edge, width = [], 1                                 # per width: places, pieces (-1: to spell), scores
+    while len(at):
+        h = h * BASE + code[at + (width - 1)]
+        k, hit = look_up(v.table, h ^ (np.uint64(width) << np.uint64(58)))
+        k = np.where(hit, k, -1).astype("i4")
+        is_piece = k >= 0
+        if width == 1:
+            edge.append((at, k, np.where(is_piece, v.score[k], v.unknown)))
+        else:
+            edge.append((at[is_piece], k[is_piece], v.score[k[is_piece]]))
+        more = np.flatnonzero(hit & (~is_piece | v.goes_on[k]) & (room[at] > width))
+        at, h, width = at[more], h[more], width + 1
+    wide = np.repeat(np.arange(1, len(edge) + 1), [len(e[0]) for e in edge])
+    source, cost = np.concatenate([e[0] for e in edge]), np.concatenate([e[2] for e in edge])
+    group = place[source] * (len(edge) + 1) + wide      # by place, then width
+    order = np.argsort(group.astype("u2") if longest * (len(edge) + 1) + len(edge) < 1 << 16 else group, kind="stable")
+    group = group[order]
+    node, wide, cost = (source + owner[source])[order], wide[order], cost[order]
+    bound = np.searchsorted(group, np.arange((longest + 1) * (len(edge) + 1) + 1)).tolist()
+    f, b = np.full(total + n, -np.inf), np.full(total + n, -np.inf)
     f[first] = b[first + sizes] = 0
-    last = np.zeros(len(code) + n, "i4")
+    last = np.zeros(total + n, "i4")
     for i in range(longest):
-        for width in widths:
-            m = longer[i + width] if i + width <= longest else 0
-            if not m:
-                break
-            to = first[:m] + (i + width)
-            new = f[first[:m] + i] + cost[width][start[:m] + i]
-            better = new > f[to]
-            f[to[better]], last[to[better]] = new[better], width
-    for i in range(longest - 1, -1, -1):
-        for width in widths:
-            m = longer[i + width] if i + width <= longest else 0
-            if not m:
-                break
-            at = first[:m] + i
-            b[at] = np.maximum(b[at], cost[width][start[:m] + i] + b[at + width])
-    on, at = np.zeros(len(code), "i4"), sizes.copy()
+        e = slice(bound[i * (len(edge) + 1)], bound[(i + 1) * (len(edge) + 1)])
+        to, new = node[e] + wide[e], f[node[e]] + cost[e]
+        better = new > f[to]
+        f[to[better]], last[to[better]] = new[better], wide[e][better]
+    for g in range(len(bound) - 2, -1, -1):
+        if bound[g] < bound[g + 1]:
+            e = slice(bound[g], bound[g + 1])
+            x = node[e]
+            b[x] = np.maximum(b[x], cost[e] + b[x + wide[e]])
+    on, at = np.zeros(total, "i4"), sizes.copy()
     live = np.arange(n)
     while len(live):
-        width = last[first[live] + at[live]]
-        at[live] -= width
-        on[start[live] + at[live]] = width
+        step = last[first[live] + at[live]]
+        at[live] -= step
+        on[start[live] + at[live]] = step
         live = live[at[live] > 0]
-    second, chosen = np.full(len(code), -np.inf), np.full(len(code), -2, "i4")
-    for width in widths:
-        fits = np.flatnonzero((room >= width) & (on != width))
-        x = node[fits]
-        second[fits] = np.maximum(second[fits], f[x] + cost[width][fits] + b[x + width])
-        used = on == width
-        chosen[used] = piece[width][used]
-    where = np.asarray(members)
-    score[where] = f[first + sizes]
-    loss[where] = score[where] - np.maximum.reduceat(second, start)
+    second, chosen = np.full(total, -np.inf), np.full(total, -2, "i4")
+    for w, (at, k, s) in enumerate(edge, 1):
+        used = on[at] == w
+        chosen[at[used]] = k[used]
+        at, s = at[~used], s[~used]
+        x = at + owner[at]
+        second[at] = np.maximum(second[at], f[x] + s + b[x + w])
+    score = f[first + sizes]
     taken = chosen != -2
-    many = np.add.reduceat(taken.astype("i8"), start)
-    counts[where] = many
-    flat, ends = chosen[taken], np.cumsum(many)
-    for at, i, j in zip(members, (ends - many).tolist(), ends.tolist()):
-        ids[at] = flat[i:j]
-    for r in np.unique(owner[chosen == -1]).tolist():   # characters to spell
-        out, at = [], members[r]
-        for i, k in enumerate(chosen[start[r]:start[r] + sizes[r]].tolist()):
-            if k != -2:
-                out += v.spell(units[at][i]) if k < 0 else [k]
-        ids[at], counts[at] = np.array(out, "i4"), len(out)
+    flat, many = chosen[taken], taken.astype("i8")
+    spelled = np.flatnonzero(chosen == -1)
+    if len(spelled):
+        kinds, kind = np.unique(chars[spelled], return_inverse=True)
+        byte_ids = [np.array(v.spell(c), "i4") for c in kinds.tobytes().decode("utf-32-le", "surrogatepass")]
+        many[spelled] = np.array([len(x) for x in byte_ids])[kind]
+        flat = np.repeat(flat, many[taken])
+        flat[flat == -1] = np.concatenate([byte_ids[j] for j in kind.tolist()])
+    return flat, np.add.reduceat(many, start), score, score - np.maximum.reduceat(second, start)
+
+
+def unit_hash(code: np.ndarray, place: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of units laid end to end; ``place`` of each character in its unit."""
+    odd = np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1)) & 0xFFFFFFFFFFFFFFFF)
+    power = np.cumprod(np.full(int(size.max()), odd, np.uint64))
+    x = code.astype(np.uint64)
+    x += np.uint64(seed + 1)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= power[place]
+    x = np.add.reduceat(x, start)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
 class Encoder:
-    """Encodes texts with a bounded cache of solved units."""
+    """Encodes texts with a bounded cache of solved units.
+
+    Units are runs of code points, found by a hash and then compared in full;
+    two units with one hash make all hashes anew."""
 
     def __init__(self, v: Vocabulary, n: int, cache_units: int = CACHE_UNITS):
-        self.v, self.n, self.cache_units = v, n, cache_units
+        self.v, self.n, self.cache_units, self.seed = v, n, cache_units, 0
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.start = np.zeros(0, "i4"), np.zeros(0, "i8")
-        self.count, self.score, self.loss = np.zeros(0, "i8"), np.zeros(0), np.zeros(0)
+        self.key, self.row = np.zeros(0, np.uint64), np.zeros(0, "i4")      # by hash
+        self._fill(np.zeros(0, "<u4"), np.zeros(0, "i8"), np.zeros(0, "i4"), np.zeros(0, "i8"), np.zeros(0), np.zeros(0))
+        self.used = np.zeros(0, bool)
         self.best: dict[str, list] = {}
 
-    def _learn(self, new: list[str]) -> None:
-        flat, count, score, loss = solve_units(new, self.v)
-        base = len(self.flat)
-        self.place.update(zip(new, range(len(self.count), len(self.count) + len(new))))
-        self.start = np.concatenate([self.start, base + np.cumsum(count) - count])
-        self.flat = np.concatenate([self.flat, flat])
-        self.count, self.score = np.concatenate([self.count, count]), np.concatenate([self.score, score])
-        self.loss = np.concatenate([self.loss, loss])
+    def _fill(self, code, size, flat, count, score, loss) -> None:
+        self.code, self.size, self.flat, self.count, self.score, self.loss = code, size, flat, count, score, loss
+
+    def _drop(self, room: int) -> None:
+        """Makes room: units not met since the last time go, or all."""
+        keep = np.flatnonzero(self.used)
+        if len(keep) > min(room, self.cache_units // 2):
+            keep = keep[:0]
+        begin, first = np.cumsum(self.size) - self.size, np.cumsum(self.count) - self.count
+        new = np.full(len(self.size), -1, "i4")
+        new[keep] = np.arange(len(keep))
+        stay = new[self.row] >= 0
+        self.key, self.row = self.key[stay], new[self.row[stay]]
+        self._fill(self.code[_runs(begin[keep], self.size[keep])], self.size[keep],
+                   self.flat[_runs(first[keep], self.count[keep])], self.count[keep], self.score[keep], self.loss[keep])
+        self.used = np.zeros(len(keep), bool)
+
+    def _learn(self, key, code, size, flat, count, score, loss) -> None:
+        if len(key) + len(self.key) > self.cache_units:
+            self._drop(self.cache_units - len(key))
+            if len(key) + len(self.key) > self.cache_units:
+                return
+        base = len(self.size)
+        at = np.searchsorted(self.key, key)
+        self.key, self.row = np.insert(self.key, at, key), np.insert(self.row, at, base + np.arange(len(key), dtype="i4"))
+        self._fill(*(np.concatenate(x) for x in zip((self.code, self.size, self.flat, self.count, self.score, self.loss),
+                                                    (code, size, flat, count, score, loss))))
+        self.used = np.concatenate([self.used, np.zeros(len(key), bool)])
 
     def encode(self, texts: list[str]):
         """Per text: piece ids and the N best, each (score, pieces, edits);
         an edit (at, gone, ids) replaces pieces of the best segmentation."""
-        cut = [self.v.units.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        get = self.place.get
-        at = [list(map(get, words)) for words in cut]
-        unknown = [i for i, places in enumerate(at) if None in places]
-        if unknown:
-            new = list(dict.fromkeys(w for i in unknown for w, k in zip(cut[i], at[i]) if k is None))
-            if len(self.place) + len(new) > self.cache_units:
-                self.clear()
-                get = self.place.get
-                new, unknown = list(dict.fromkeys(w for words in cut for w in words)), range(len(cut))
-            self._learn(new)
-            for i in unknown:
-                at[i] = list(map(get, cut[i]))
-        return [self._one(words, np.array(places, "i8")) for words, places in zip(cut, at)]
-
-    def _one(self, words: list[str], at: np.ndarray):
-        """One text: its units and their places in the cache."""
-        if not words:
-            return np.zeros(0, "i4"), [(0.0, 0, [])]
-        count = self.count[at]
-        ends = np.cumsum(count)
-        total = int(ends[-1])
-        ids = self.flat[np.arange(total) + np.repeat(self.start[at] - (ends - count), count)]
-        score, loss = float(self.score[at].sum()), self.loss[at]
+        code = _codes("".join([SPACE + t for t in texts if t]))
+        if not len(code):
+            return [self._none() for _ in texts]
+        code = np.where(code == 0x20, np.uint32(ord(SPACE)), code)
+        ends = np.cumsum([len(t) + 1 if t else 0 for t in texts])
+        start = self.v.cut(code, ends[:-1])
+        size = np.diff(start, append=len(code))
+        place = np.arange(len(code)) - np.repeat(start, size)
+        while (solved := self._solve(code, place, start, size)) is None:
+            self.seed += 1              # two units share a hash
+            self.clear()
+        unit, flat, begin, count, score, loss = solved
+        first, out = 0, []
+        count_at, score_at, loss_at = count[unit], score[unit], loss[unit]
+        ids = flat[_runs(begin[unit], count_at)]
+        after = np.cumsum(count_at)
+        gone = 0
+        for last in np.searchsorted(start, ends).tolist():
+            if last == first:
+                out.append(self._none())
+                continue
+            x = slice(first, last)
+            upto = int(after[last - 1])
+            out.append(self._one(ids[gone:upto], code, start[x], size[x], count_at[x], after[x] - gone, score_at[x], loss_at[x]))
+            first, gone = last, upto
+        return out
+
+    def _none(self):
+        return np.zeros(0, "i4"), [(0.0, 0, [])]
+
+    def _solve(self, code, place, start, size):
+        """Each unit's number among the different ones, and the solutions of
+        those; None if two units share a hash."""
+        key, kind, unit = np.unique(unit_hash(code, place, start, size, self.seed), return_index=True, return_inverse=True)
+        if (size[kind][unit] != size).any() or (code[np.repeat(start[kind][unit], size) + place] != code).any():
+            return None
+        kinds_size = size[kind]
+        at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+        hit = self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
+        old, new = np.flatnonzero(hit), np.flatnonzero(~hit)
+        row = self.row[at[old]] if len(old) else np.zeros(0, "i4")
+        if (self.size[row] != kinds_size[old]).any() or (
+                self.code[_runs((np.cumsum(self.size) - self.size)[row], self.size[row])]
+                != code[_runs(start[kind[old]], kinds_size[old])]).any():
+            return None
+        self.used[row] = True
+        fresh_code = code[_runs(start[kind[new]], kinds_size[new])]
+        fresh, fresh_begin, fresh_count, fresh_score, fresh_loss = solve_codes(fresh_code, kinds_size[new], self.v)
+        begin, count = np.zeros(len(key), "i8"), np.zeros(len(key), "i8")
+        score, loss = np.zeros(len(key)), np.zeros(len(key))
+        count[old], score[old], loss[old] = self.count[row], self.score[row], self.loss[row]
+        count[new], score[new], loss[new] = fresh_count, fresh_score, fresh_loss
+        flat = self.flat[_runs((np.cumsum(self.count) - self.count)[row], self.count[row])]
+        begin[old] = np.cumsum(count[old]) - count[old]
+        begin[new] = len(flat) + fresh_begin
+        flat = np.concatenate([flat, fresh])
+        self._learn(key[new], fresh_code, kinds_size[new], fresh[_runs(fresh_begin, fresh_count)], fresh_count, fresh_score, fresh_loss)
+        return unit, flat, begin, count, score, loss
+
+    def _one(self, ids, code, start, size, count, ends, scores, loss):
+        """One text: its pieces, units, and their solutions."""
+        total = len(ids)
+        score = float(scores.sum())
         # ties of loss go to the earlier unit
-        few = min(self.n - 1, len(words))
-        if few and few < len(words):
+        few = min(self.n - 1, len(start))
+        if few and few < len(start):
             bound = np.partition(loss, few - 1)[few - 1]
             few_at = np.concatenate([np.flatnonzero(loss < bound), np.flatnonzero(loss == bound)])[:few]
         else:
-            few_at = np.arange(len(words))[:few]
+            few_at = np.arange(len(start))[:few]
         options = []
         for i in sorted(few_at.tolist()):
             if loss[i] < np.inf:
-                w = words[i]
+                w = code[start[i]:start[i] + size[i]].tobytes().decode("utf-32-le", "surrogatepass")
                 if w not in self.best:
                     if len(self.best) >= BEST_UNITS:
                         self.best.clear()
-                    self.best[w] = self._alternatives(w, self.flat[self.start[at[i]]:][:count[i]].tolist(), float(self.score[at[i]]))
+                    self.best[w] = self._alternatives(w, ids[ends[i] - count[i]:ends[i]].tolist(), float(scores[i]))
                 if self.best[w]:
                     options.append((int(ends[i] - count[i]), int(count[i]), self.best[w]))
         out, heap, seen = [], [(0.0, (0,) * len(options))], set()
