@@ -81,6 +81,34 @@ def test_jaccard_tiles_are_exact(spark, monkeypatch):
     assert sorted(tuple(r) for r in out.collect()) == classes(rows, 88)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85, 100])
+def test_sketches_let_no_link_go_and_stop_chance_pairs(percent):
+    rng, stopped = np.random.default_rng(percent), 0
+    words = lambda x: np.frombuffer(ngram_jaccard.sketch(x), "<u8")
+    for n in (1, 3, 40, 63, 64, 130, 400, 2000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for gone, more in ((0, 0), (n // 20, n // 20), (n // 12, 0), (0, n // 6), (n // 7, n // 9)):
+            y = np.unique(np.concatenate([x[gone:], rng.integers(0, 1 << 63, more, dtype=np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                assert ngram_jaccard.may_link(words(x), words(y), len(x), len(y), percent)
+        other = np.unique(np.concatenate([x[:1], rng.integers(0, 1 << 63, n, dtype=np.uint64)]))
+        stopped += not ngram_jaccard.may_link(words(x), words(other), len(x), len(other), percent)
+    assert stopped >= (5 if percent >= 80 else 0)
+
+
+def test_sets_of_chance_pairs_are_not_sent(spark, monkeypatch):
+    rng = random.Random(5)
+    phrase = prose(rng, 6)                  # rare n-grams that many texts share by chance
+    rows = [(i, f"{prose(rng, 60)} {phrase} {prose(rng, 60)}") for i in range(40)]
+    rows += [(100 + i, near(rng, rows[i][1], 0.01)) for i in range(3)]
+    sent, plain = [], ngram_jaccard._verified
+    monkeypatch.setattr(ngram_jaccard, "_verified", lambda p, *a: (sent.extend(map(tuple, p.collect())), plain(p, *a))[1])
+    out = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA), hot_share=0.9)
+    assert sorted(tuple(r) for r in out.collect()) == classes(rows, 85)
+    assert len(sent) <= 3
+
+
 def test_jaccard_nulls_repeats_clashes_and_empty(spark):
     rows = [(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (5, None), (6, ""), (6, "")]
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("node", F.lit(1)).withColumn("n", F.lit("x"))

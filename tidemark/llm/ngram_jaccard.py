@@ -14,15 +14,21 @@ a pivot, the symmetric difference is a metric, and its triangle inequality
 says that x can meet y only at one of its first ``floor((100 - percent)% of
 |x|) + 1`` pivots.  x is replicated to exactly these windows.
 
-Joining a region.  Small regions give their pairs that pass the size and
-position bounds.  In a large one a document pivot (the leader) is compared
-with all members; what links is merged.  Regions whose members are by then one
-component are settled, because links inside a component change nothing.  The
-others are split once, with their component labels, and not again: members outside the region's main
-component meet all members, in tiles of bounded size, where distances to a
-document of the tile prune pairs by the triangle inequality, and only links
-that join two components leave the task.  No pair that could link is left
-out, so components are exact.
+Joining a region.  A document pivot (the leader) is compared with all members;
+what links is merged.  Small regions also give their other pairs that pass the
+size and position bounds; those inside a component go.  Large regions whose
+members are by then one component are settled, because links inside a component
+change nothing.  The others are split once, with their component labels, and
+not again: members outside the region's main component meet all members, in
+tiles of bounded size, where distances to a document of the tile prune pairs by
+the triangle inequality, and only links that join two components leave the
+task.  No pair that could link is left out, so components are exact.
+
+Sketches.  A set's sketch has a bit per bucket of n-grams: the parity of their
+number.  Two sets differ in at least as many n-grams as their sketches in bits,
+so most pairs that share a rare n-gram by chance go before a set is sent
+anywhere, and no pair that links goes.  Tiles run on sketches first; only
+members that still may link outside their component meet again as sets.
 
 The order needs n-grams held by more than ``HOT_SHARE`` of the documents.
 Tasks report n-grams frequent among their own documents; the list's length is
@@ -167,12 +173,45 @@ def _node(x: np.ndarray, seed: int) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-ROWS = "id long, n long, node long, check long, window array<long>"
+def sketch(x: np.ndarray) -> bytes:
+    """Parities of ``x`` over a power of two of buckets, more than it has n-grams."""
+    bits = max(64, 1 << len(x).bit_length())
+    return np.packbits(np.bincount((x & np.uint64(bits - 1)).astype("i8"), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) over ``width`` words: buckets merge in twos."""
+    while x.shape[-1] > width:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
+
+
+def may_link(x: np.ndarray, y: np.ndarray, nx, ny, percent: int) -> np.ndarray:
+    """Whether sets of ``nx`` and ``ny`` n-grams with these sketches can link:
+    ``100 * both >= percent * (nx + ny - both)``, where the sketches differ in
+    at most ``nx + ny - 2 * both`` bits."""
+    width = min(x.shape[-1], y.shape[-1])
+    apart = np.bitwise_count(_folded(x, width) ^ _folded(y, width)).sum(axis=-1, dtype="i8")
+    return (100 + percent) * (nx + ny - apart) >= 2 * percent * (nx + ny)
+
+
+def _by_width(sketches: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of equally long sketches and these as one array."""
+    size = np.array([len(s) for s in sketches])
+    out = []
+    for w in np.unique(size).tolist():
+        at = np.flatnonzero(size == w)
+        out.append((at, np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), "<u8").reshape(len(at), -1)))
+    return out
+
+
+ROWS = "id long, n long, node long, check long, window array<long>, sketch binary"
 
 
 def document_rows(docs: DataFrame, hot, words: int, percent: int, seed: int) -> DataFrame:
     """Per document its set's size and node, and, once per node and task, the
-    n-grams of its window."""
+    n-grams of its window and its sketch."""
     held = docs.sparkSession.sparkContext.broadcast(hot)
 
     def rows(batches):
@@ -181,7 +220,7 @@ def document_rows(docs: DataFrame, hot, words: int, percent: int, seed: int) ->
         for b in batches:
             for first, texts in _strips(b.column("text")):
                 ids = b.column("id").slice(first, len(texts))
-                n, node, check, window = [], [], [], []
+                n, node, check, window, sketches = [], [], [], [], []
                 for x in hasher.sets(texts):
                     k, c = _node(x, seed) if len(x) else (None, None)
                     n.append(len(x))
@@ -189,8 +228,10 @@ def document_rows(docs: DataFrame, hot, words: int, percent: int, seed: int) ->
                     check.append(c)
                     if k is None or k in seen:
                         window.append(None)
+                        sketches.append(None)
                         continue
                     seen.add(k)
+                    sketches.append(sketch(x))
                     if len(hot_gram):
                         at = np.minimum(np.searchsorted(hot_gram, x), len(hot_gram) - 1)
                         often = hot_gram[at] == x
@@ -200,14 +241,16 @@ def document_rows(docs: DataFrame, hot, words: int, percent: int, seed: int) ->
                     window.append(x[:(100 - percent) * len(x) // 100 + 1].view("i8"))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()),
-                     pa.array(window, pa.list_(pa.int64()))], ["id", "n", "node", "check", "window"])
+                     pa.array(window, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                    ["id", "n", "node", "check", "window", "sketch"])
 
     return stored(docs.mapInArrow(rows, ROWS), "jaccard-rows")
 
 
 def _first_pairs(regions: DataFrame, percent: int) -> DataFrame:
-    """From region rows sorted by n-gram: pairs to compare (``kind`` 0) and
-    the rows of large regions (``kind`` 1: n-gram, node)."""
+    """From region rows sorted by n-gram: pairs to compare (``kind`` 0 with
+    the region's leader, ``kind`` 2 others) and the rows of large regions
+    (``kind`` 1: n-gram, node)."""
 
     def scan(batches):
         carry: list[np.ndarray] = [np.zeros(0, "i8")] * 3
@@ -222,7 +265,8 @@ def _first_pairs(regions: DataFrame, percent: int) -> DataFrame:
                     need = -(-percent * (size[i] + size[j]) // (100 + percent))
                     most = 1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1
                     ok = most >= need
-                    return [(0, node[i][ok], node[j][ok])]
+                    lead, rest = ok & (i == 0), ok & (i > 0)
+                    return [(0, node[i][lead], node[j][lead]), (2, node[i][rest], node[j][rest])]
             if leader is None:
                 leader = (g, node[0], size[0])
             near = (percent * np.maximum(size, leader[2]) <= 100 * np.minimum(size, leader[2])) & (node != leader[1])
@@ -292,6 +336,24 @@ def node_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, se
     return stored(docs.join(ids, "id", "left_semi").mapInArrow(sets, "node long, grams binary"), "jaccard-sets")
 
 
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b, kind)`` whose sketches let them link."""
+    left, right = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+
+    def compare(batches):
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            sb, na, nb = b.column("sb").to_pylist(), b.column("na").to_numpy(), b.column("nb").to_numpy()
+            for at, x in _by_width(b.column("sa").to_pylist()):
+                for inner, y in _by_width([sb[i] for i in at.tolist()]):
+                    both = at[inner]
+                    keep[both] = may_link(x[inner], y, na[both], nb[both], percent)
+            yield b.select(["a", "b", "kind"]).filter(pa.array(keep))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "kind", "na", "nb", "sa", "sb").mapInArrow(
+        compare, "a long, b long, kind int")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that link."""
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
@@ -309,20 +371,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(compare, "a long, b long")
 
 
-def _tile_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that join components inside unsettled large regions.
-    ``members(g, node, comp)``."""
+def _tiles(members: DataFrame, held: DataFrame, *columns: str):
+    """Both sides of the tiles of unsettled large regions: members outside the
+    main component, and all members, with ``columns`` of ``held(node, ..)``."""
     per = members.groupBy("g", "comp").agg(F.count("*").alias("k"))
     shape = per.groupBy("g").agg(F.sum("k").alias("k"), F.max(F.struct("k", "comp")).alias("main"), F.count("*").alias("c"))
     shape = shape.where("c > 1").select(
         "g", F.col("main.comp").alias("main"), F.ceil(F.col("k") / TILE).cast("int").alias("across"),
         F.ceil((F.col("k") - F.col("main.k")) / TILE).cast("int").alias("down"))
-    open_ = members.join(shape, "g").join(sets.dropDuplicates(["node"]), "node")
+    open_ = members.join(shape, "g").join(held.dropDuplicates(["node"]), "node")
     slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = open_.where("comp <> main").select("g", slot("down").alias("i"), each("across").alias("j"), "node", "comp", "grams")
+    left = open_.where("comp <> main").select("g", slot("down").alias("i"), each("across").alias("j"), "node", "comp", *columns)
     right = open_.select(F.col("g").alias("g"), each("down").alias("i"), slot("across").alias("j"),
-                         *[F.col(c).alias(c) for c in ("node", "comp", "grams")])
+                         *[F.col(c).alias(c) for c in ("node", "comp", *columns)])
+    return left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j"))
+
+
+def _live_members(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """``(g, node)`` of the members of large regions that may link outside
+    their component, as far as sketches tell."""
+
+    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
+        live: set = set()
+        if a.num_rows and b.num_rows:
+            g = a.column("g")[0].as_py()
+            nx, cx, kx = (a.column(c).to_numpy() for c in ("n", "comp", "node"))
+            ny, cy, ky = (b.column(c).to_numpy() for c in ("n", "comp", "node"))
+            xs = [np.frombuffer(x, "<u8") for x in a.column("sketch").to_pylist()]
+            for at, y in _by_width(b.column("sketch").to_pylist()):
+                n, c, k = ny[at], cy[at], ky[at]
+                for i, x in enumerate(xs):
+                    may = np.flatnonzero((percent * np.maximum(n, nx[i]) <= 100 * np.minimum(n, nx[i])) & (c != cx[i]))
+                    if len(may):
+                        may = may[may_link(x, y[may], nx[i], n[may], percent)]
+                        if len(may):
+                            live.add(int(kx[i]))
+                            live.update(k[may].tolist())
+        node = sorted(live)
+        return pa.table({"g": pa.array([g] * len(node) if node else [], pa.int64()), "node": pa.array(node, pa.int64())})
+
+    return _tiles(members, sketches, "n", "sketch").applyInArrow(tile, "g long, node long").distinct()
+
+
+def _tile_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join components inside unsettled large regions.
+    ``members(g, node, comp)``."""
     gap = 1 - percent / 100 + 1e-9
 
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -368,8 +462,7 @@ def _tile_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         p, q = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(p, pa.int64()), "b": pa.array(q, pa.int64())})
 
-    keys = ["g", "i", "j"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, "a long, b long")
+    return _tiles(members, sets, "grams").applyInArrow(tile, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
@@ -391,18 +484,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "g", "node", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("packed"))
     regions = regions.repartition(width, "g").sortWithinPartitions("g", "node")
     found = _first_pairs(regions, percent)
-    pairs = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = found.where("kind <> 1").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("kind").alias("kind"))
     large = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("node"))
-    pairs = stored(pairs, "jaccard-distinct")
-    touched = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(large.select("node")).distinct()
-    sets = node_sets(base, rows, touched, words, seed)
-    links = stored(_verified(pairs, sets, percent), "jaccard-links")
+    sketches = rows.where("sketch is not null").select("node", "n", "sketch").dropDuplicates(["node"])
+    near = stored(_near(pairs, sketches, percent), "jaccard-near")
+    sets = node_sets(base, rows, near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct(), words, seed)
+    links = stored(_verified(near.where("kind = 0").drop("kind"), sets, percent), "jaccard-links")
     ids = nodes.select(F.col("node").alias("id"))
-    first = stored(connected_components(ids, links), "jaccard-components")
-    members = large.join(first.withColumnRenamed("id", "node"), "node").select("g", "node", F.col("component").alias("comp"))
-    more = stored(_tile_links(members, sets, percent), "jaccard-links")
-    final = connected_components(ids, links.unionByName(more)) if more.limit(1).count() else first
-    final = stored(final.withColumnRenamed("id", "node"), "jaccard-components")
+    first = stored(connected_components(ids, links).withColumnRenamed("id", "node"), "jaccard-components")
+    of = lambda x: first.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    others = near.where("kind = 2").join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select("a", "b")
+    more = stored(_verified(others, sets, percent), "jaccard-links")
+    members = large.join(first, "node").select("g", "node", F.col("component").alias("comp"))
+    live = stored(_live_members(members, sketches, percent), "jaccard-live")
+    if live.limit(1).count():
+        sets = node_sets(base, rows, live.select("node").distinct(), words, seed)
+        tiled = _tile_links(members.join(live, ["g", "node"]), sets, percent)
+        more = stored(more.unionByName(tiled), "jaccard-links")
+    final = first
+    if more.limit(1).count():
+        final = connected_components(ids, links.unionByName(more)).withColumnRenamed("id", "node")
+        final = stored(final, "jaccard-components")
     low = nodes.join(final, "node").groupBy("component").agg(F.min("least").alias("component_id"))
     named = final.join(low, "component").select("node", "component_id")
     out = rows.join(named, "node", "left")
