@@ -43,10 +43,10 @@ from tidemark.llm.kn_quality import hash_table, look_up
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
-CACHE_UNITS = 600_000       # of a worker, kept from task to task
-BEST_UNITS = 40_000         # units whose N best paths are kept
-SOLVE_CHARS = 120_000       # characters of units solved together
-STRIP = 1 << 20             # characters encoded at once
+CACHE_UNITS = 200_000       # of a worker, kept from task to task
+BEST_UNITS = 15_000         # units whose N best paths are kept
+SOLVE_CHARS = 80_000       # characters of units solved together
+STRIP = 1 << 18             # characters encoded at once
 LONG_UNIT = 48              # longer units are solved one by one
 SPACE = "▁"
 UNKNOWN = 10.0              # below the worst score
